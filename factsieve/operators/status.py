@@ -1,0 +1,459 @@
+"""Criterion and topic states from verified entries.
+
+Everything a document needs is in its own row (lines, entries, uncertain ranges), so the
+whole evaluation is a chain of projections: no shuffle, no Python. ``criterion_status``,
+``topic_status`` and the other tables are explosions of the evaluated rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from factsieve import schemas
+from factsieve.functions.arrays import unnest, unnest_values
+from factsieve.functions.text import SPACE_CHARS, as_digits, matches
+from factsieve.operators.verify import literals, verify_calc
+from factsieve.packs import korean as K
+from factsieve.packs.model import RulePack
+
+_QUOTES = f"array<{schemas.QUOTE}>"
+_DERIVED = f"array<{schemas.DERIVED}>"
+
+
+def _none(kind: str = "string") -> Column:
+    return F.lit(None).cast(kind)
+
+
+def _entry(entries: str | Column, cid: str) -> Column:
+    return F.get(F.filter(entries, lambda e: e["criterion_id"] == cid), F.lit(0))
+
+
+def _quotes_of(entries: str | Column, *ids: str) -> Column:
+    """Quote texts of some criteria, in the order of ``ids``."""
+    parts = [F.coalesce(_entry(entries, i)["quotes"], F.array().cast(_QUOTES)) for i in ids]
+    return F.transform(F.concat(*parts), lambda q: q["text"])
+
+
+# ---- sub status and boundary rules -------------------------------------------------
+
+
+def sub_status(e: Column, pack: RulePack) -> Column:
+    """Finding to criterion status."""
+    negated = F.lit(None).cast("string")
+    for cid, (status, _) in pack.negation_status.items():
+        negated = F.when(e["criterion_id"] == cid, status).otherwise(negated)
+    return (
+        F.when(e["finding"] == "specific", "CONFIRMED")
+        .when(e["finding"] == "coarse", "PARTIAL")
+        .when(e["finding"].isin("undecided", "conflict"), "UNCLEAR")
+        .when(e["finding"] == "negated", F.coalesce(negated, F.lit("UNAVAILABLE")))
+        .otherwise("MISSING")
+    )
+
+
+def boundary_rule(e: Column, status: Column, calculated: Column, lines: Column, entries: str) -> Column:
+    """struct(status, diag): fixed limits on what counts as confirmed."""
+    texts = F.transform(e["quotes"], lambda q: q["text"])
+    cid, confirmed = e["criterion_id"], status == "CONFIRMED"
+
+    def out(value, diag: str | None) -> Column:
+        return F.struct(F.lit(value).alias("status") if isinstance(value, str) else value.alias("status"),
+                        F.lit(diag).cast("string").alias("diag"))
+
+    wage = F.concat(texts, _quotes_of(entries, "01-a"))
+    context = F.transform(e["quotes"], lambda q: F.when(matches(q["text"], K.HOLIDAY_LABEL), q["text"]).otherwise(
+        F.coalesce(F.get(lines, q["line"] - 1)["text"], q["text"])))
+    rest_only = F.forall(context, lambda t: matches(t, K.REST_DAY) & ~matches(t, K.DESIGNATED_HOLIDAY))
+    outside_only = F.forall(texts, lambda t: matches(t, K.EXTERNAL_REFERENCE) & ~matches(t, K.GRANT_WORD))
+    return (
+        F.when((cid == "01-b") & confirmed & ~F.exists(wage, lambda t: matches(t, K.WAGE_UNIT)),
+               out("MISSING", "unit_not_stated"))
+        .when((cid == "02-a") & confirmed & ~calculated & ~F.exists(texts, lambda t: matches(t, K.STATED_HOURS)),
+              out("PARTIAL", "hours_not_quoted"))
+        .when((cid == "09-a") & confirmed & rest_only, out("PARTIAL", "rest_day_not_designated_holiday"))
+        .when((cid == "10-a") & confirmed & (e["finding"] != "negated") & outside_only,
+              out("PARTIAL", "external_reference_only"))
+        .otherwise(out(status, None))
+    )
+
+
+# ---- uncertain ranges ---------------------------------------------------------------
+
+
+def quote_range(q: Column, lines: Column) -> Column:
+    """Where a quote stands in the text; the whole line if it is not there literally."""
+    line = F.get(lines, q["line"] - 1)
+    at = F.position(q["text"], line["text"])
+    start = F.when(at > 0, line["start"] + at - 1).otherwise(line["start"])
+    end = F.when(at > 0, line["start"] + at - 1 + F.length(q["text"])).otherwise(line["end"])
+    return F.when(line.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+
+
+def overlaps(r: Column, ranges: Column) -> Column:
+    return F.exists(ranges, lambda x: (x["start"] < r["end"]) & (r["start"] < x["end"]))
+
+
+def range_contexts(r: Column, lines: Column) -> Column:
+    """The words around an uncertain range, per line: widened to word edges plus one word each side."""
+    not_space, space = f"[^{SPACE_CHARS}]", f"[{SPACE_CHARS}]"
+    touched = F.filter(lines, lambda l: (l["end"] > r["start"]) & (l["start"] < r["end"]))
+
+    def around(l: Column) -> Column:
+        a = F.greatest(r["start"], l["start"]) - l["start"]
+        b = F.least(r["end"], l["end"]) - l["start"]
+        before = F.regexp_extract(F.substring(l["text"], F.lit(1), a), f"({not_space}*{space}*{not_space}*)\\z", 1)
+        after = F.regexp_extract(F.substring(l["text"], b + 1, F.length(l["text"])),
+                                 f"^({not_space}*{space}*{not_space}*)", 1)
+        return F.concat(before, F.substring(l["text"], a + 1, b - a), after)
+
+    return F.transform(touched, around)
+
+
+def _with_uncertainty(df: DataFrame, pack: RulePack, entries: str, ranges: str | None) -> DataFrame:
+    """Adds ``_touched`` (criteria whose evidence is uncertain) and ``_affected`` (topics)."""
+    empty = F.array().cast("array<string>")
+    if ranges is None:
+        return df.withColumn("_touched", empty).withColumn("_affected", empty)
+    lines = F.col("lines")
+    df = df.withColumn("_low", F.filter(
+        F.coalesce(F.col(ranges), F.array().cast(f"array<{schemas.RANGE}>")), lambda r: r["end"] > r["start"]))
+    low = F.col("_low")
+
+    def placed(e: Column) -> Column:
+        where = F.transform(e["quotes"], lambda q: F.struct(q["text"].alias("text"), quote_range(q, lines).alias("r")))
+        return F.struct(
+            e["criterion_id"].alias("id"), e["source_value"].alias("value"),
+            F.filter(where, lambda w: w["r"].isNotNull()).alias("where"))
+
+    live = F.filter(entries, lambda e: ~e["unavailable"] & (e["finding"] != "absent"))
+    df = df.withColumn("_placed", F.when(F.size(low) > 0, F.transform(live, placed)))
+
+    def touched(p: Column) -> Column:
+        whole = F.exists(p["where"], lambda w: overlaps(w["r"], low))
+        # presence criteria: only where the stated value itself stands
+        spots = F.filter(
+            F.transform(p["where"], lambda w: F.struct(
+                F.position(p["value"], w["text"]).alias("at"), w["text"].alias("text"), w["r"].alias("r"))),
+            lambda s: (s["at"] > 0) & (s["r"]["end"] - s["r"]["start"] == F.length(s["text"])))
+        spot_hit = F.exists(spots, lambda s: overlaps(
+            F.struct((s["r"]["start"] + s["at"] - 1).alias("start"),
+                     (s["r"]["start"] + s["at"] - 1 + F.length(p["value"])).alias("end")), low))
+        narrow = p["id"].isin(*pack.presence_only) & p["value"].isNotNull() & (F.size(spots) > 0)
+        return F.when(narrow, spot_hit).otherwise(whole)
+
+    core_ids = pack.core_ids
+
+    def topics_named(r: Column) -> Column:
+        contexts = range_contexts(r, lines)
+        named = [F.when(F.exists(contexts, lambda c: matches(c, t.core) | matches(as_digits(c), t.core)), F.lit(t.id))
+                 for t in pack.topics]
+        return F.struct(r["start"].alias("start"), r["end"].alias("end"),
+                        F.array_compact(F.array(*named)).alias("topics"))
+
+    df = df.withColumn("_named", F.when(F.size(low) > 0, F.transform(low, topics_named)))
+
+    def affected(t: Column) -> Column:
+        spots = F.flatten(F.transform(
+            F.filter("_placed", lambda p: p["id"].isin(core_ids) & (F.substring(p["id"], 1, 2) == t)),
+            lambda p: F.transform(p["where"], lambda w: w["r"])))
+        return F.exists("_named", lambda r: F.array_contains(r["topics"], t) & ~overlaps(r, spots))
+
+    return df.select(
+        "*",
+        F.coalesce(F.transform(F.filter("_placed", touched), lambda p: p["id"]), empty).alias("_touched"),
+        F.when(F.size(low) > 0, F.filter(literals(pack.topic_ids), affected)).otherwise(empty).alias("_affected"),
+    ).drop("_low", "_placed", "_named")
+
+
+# ---- evaluation ---------------------------------------------------------------------
+
+
+def evaluate(docs: DataFrame, pack: RulePack, entries: str = "entries", ranges: str | None = None) -> DataFrame:
+    """Adds ``criteria``, ``topics`` and ``diagnostics`` to document rows."""
+    lines = F.col("lines")
+    korean = pack.name == "employment_ko"
+    df = _with_uncertainty(docs, pack, entries, ranges)
+
+    # facts that several criteria of one document share
+    term_texts = F.array_join(_quotes_of(entries, "05-a", "06-a", "06-b"), " ")
+    calc_texts = _quotes_of(entries, "02-a", "02-b", "02-c", "02-d")
+    hours_entry = _entry(entries, pack.hours_id) if pack.hours_id else None
+    df = df.withColumn("_part_time", matches(term_texts, K.PART_TIME) if korean else F.lit(False))
+    df = df.withColumn(
+        "_fixed_term",
+        matches(term_texts, K.FIXED_TERM) | F.coalesce(_entry(entries, "06-a")["term_type"] == "fixed", F.lit(False))
+        if korean else F.lit(False))
+    df = df.withColumn(
+        "_calc",
+        F.when(hours_entry["value_kind"] == "calculated", verify_calc(hours_entry["calc"], calc_texts))
+        if korean else _none("struct<ok:boolean,reason:string,derived:" + _DERIVED + ">"))
+
+    def first_state(e: Column) -> Column:
+        is_calc = (e["criterion_id"] == F.lit(pack.hours_id)) & F.coalesce(e["value_kind"] == "calculated", F.lit(False))
+        base = sub_status(e, pack)
+        failed_calc = is_calc & ~F.col("_calc")["ok"]
+        status = F.when(failed_calc & (base == "CONFIRMED"), "PARTIAL").otherwise(base)
+        tag = _none()
+        for cid, (_, name) in pack.negation_status.items():
+            if name:
+                tag = F.when((e["criterion_id"] == cid) & (e["finding"] == "negated"), name).otherwise(tag)
+        out_reason = (
+            F.when(e["unavailable"], F.coalesce(e["reason"], F.lit("missing")))
+            .when(F.array_contains("_touched", e["criterion_id"]), "ocr_low_confidence"))
+        return F.struct(
+            e.alias("e"), status.alias("base"), is_calc.alias("is_calc"),
+            (is_calc & F.col("_calc")["ok"]).alias("calculated"), tag.alias("provisional"),
+            out_reason.alias("out_reason"))
+
+    def ruled(x: Column) -> Column:
+        rule = (
+            boundary_rule(x["e"], x["base"], x["calculated"], lines, entries) if korean
+            else F.struct(x["base"].alias("status"), _none().alias("diag")))
+        return F.struct(x.alias("x"), rule.alias("rule"))
+
+    def settled(y: Column) -> Column:
+        x, e, rule = y["x"], y["x"]["e"], y["rule"]
+        out = x["out_reason"].isNotNull()
+        core = e["criterion_id"].isin(pack.core_ids)
+        related = ~out & core & F.array_contains("_affected", F.substring(e["criterion_id"], 1, 2))
+        gone = out | related
+        is_hours = e["criterion_id"] == F.lit(pack.hours_id)
+        kind = (
+            F.when(x["calculated"], "calculated")
+            .when(is_hours & (x["base"] == "CONFIRMED") & ~x["is_calc"], "quoted")
+            .when(e["source_value"].isNotNull(), "quoted"))
+        diags = F.when(out, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(
+            F.when(x["is_calc"] & ~F.col("_calc")["ok"], F.col("_calc")["reason"]),
+            rule["diag"],
+            F.when(F.size(e["excluded"]) > 0, "excluded_quotes"),
+            F.when(x["provisional"].isNotNull(), F.concat(F.lit("provisional_negation:"), x["provisional"])),
+        )))
+        return F.struct(
+            e["criterion_id"].alias("criterion_id"),
+            F.when(gone, "UNAVAILABLE").otherwise(rule["status"]).alias("status"),
+            F.when(gone, F.array().cast(_QUOTES)).otherwise(e["quotes"]).alias("evidence"),
+            F.when(~gone, e["source_value"]).alias("source_value"),
+            # an entry that is out keeps its finding only for the checks below
+            F.when(~e["unavailable"], e["finding"]).alias("finding"),
+            F.when(~gone, e["term_type"]).alias("term_type"),
+            F.when(~gone & x["calculated"], F.col("_calc")["derived"]).alias("derived"),
+            F.when(~gone, kind).alias("value_kind"),
+            F.when(out, x["out_reason"]).when(related, "ocr_low_confidence_related").alias("reason"),
+            F.when(~gone, x["provisional"]).alias("provisional"),
+            diags.alias("diags"),
+        )
+
+    states = F.transform(F.transform(F.transform(entries, first_state), ruled), settled)
+    df = df.withColumn("_states", states)
+
+    # branches that the document itself decides
+    def state_of(cid: str) -> Column:
+        return F.get(F.filter("_states", lambda s: s["criterion_id"] == cid), F.lit(0))
+
+    def sure(cid: str) -> Column:
+        return F.coalesce(state_of(cid)["status"] == "CONFIRMED", F.lit(False))
+
+    def negated(cid: str) -> Column:
+        return F.coalesce(state_of(cid)["finding"] == "negated", F.lit(False))
+
+    if korean:
+        df = df.withColumn("_term", F.when(sure("06-a"), state_of("06-a")["term_type"]))
+        df = df.withColumns({
+            "_probation": sure("07-a") & ~negated("07-a"),
+            "_no_probation": sure("07-a") & negated("07-a"),
+            "_leave": sure("10-a") & ~negated("10-a"),
+            "_no_leave": sure("10-a") & negated("10-a"),
+        })
+        branch = lambda cid: (
+            F.when((cid == "06-b") & F.coalesce(F.col("_term") == "indefinite", F.lit(False)), "indefinite_term")
+            .when((cid == "07-b") & F.col("_no_probation"), "no_probation")
+            .when((cid == "10-b") & F.col("_no_leave"), "no_leave"))
+        met = {
+            "fixed_term": F.coalesce(F.col("_term") == "fixed", F.lit(False)),
+            "probation_applies": F.col("_probation"),
+            "leave_granted": F.col("_leave"),
+        }
+    else:
+        branch = lambda cid: _none()
+        met = {}
+
+    def is_required(cid: Column) -> Column:
+        plain = [c.id for c in pack.criteria if c.role == "C" and not c.condition]
+        out = cid.isin(plain)
+        for c in pack.criteria:
+            if c.role == "C" and c.condition:
+                out = out | ((cid == c.id) & met[c.condition])
+        return out
+
+    def codes_of(cid: Column) -> Column:
+        out = _none("array<string>")
+        for c in pack.criteria:
+            if not c.codes:
+                continue
+            mine = literals(c.codes)
+            if c.codes_fixed_or_part_time:
+                mine = F.when(F.col("_fixed_term") | F.col("_part_time"), literals(c.codes_fixed_or_part_time)).otherwise(mine)
+            if c.codes_part_time:
+                mine = F.when(F.col("_part_time"), literals(c.codes_part_time)).otherwise(mine)
+            out = F.when(cid == c.id, mine).otherwise(out)
+        return out
+
+    def branched(s: Column) -> Column:
+        na = branch(s["criterion_id"])
+        is_na = na.isNotNull()
+        status = F.when(is_na, "NOT_APPLICABLE").otherwise(s["status"])
+        # an entry that turned not applicable keeps no evidence
+        gone = status == "UNAVAILABLE"
+        basis = (
+            F.when(gone, s["reason"]).when(is_na, na)
+            .when(s["finding"] == "negated", "negated")
+            .when(status == "UNCLEAR", s["finding"]))
+        return F.struct(
+            s["criterion_id"].alias("criterion_id"), F.substring(s["criterion_id"], 1, 2).alias("topic_id"),
+            status.alias("status"),
+            F.when(is_na, F.array().cast(_QUOTES)).otherwise(s["evidence"]).alias("evidence"),
+            F.when(~is_na, s["source_value"]).alias("source_value"),
+            F.when(~gone, s["finding"]).alias("finding"),
+            F.when(status == "CONFIRMED", s["term_type"]).alias("term_type"),
+            F.when(~is_na, s["derived"]).alias("derived"),
+            F.when(~gone, s["value_kind"]).alias("value_kind"),
+            F.when(gone, s["reason"]).otherwise(na).alias("reason"),
+            basis.alias("basis"),
+            is_required(s["criterion_id"]).alias("required"),
+            F.when(~gone, s["provisional"]).alias("provisional"),
+            codes_of(s["criterion_id"]).alias("sources"),
+        )
+
+    df = df.withColumn("criteria", F.transform("_states", branched))
+    shows_conditional = F.col("_probation") if korean else F.lit(True)
+
+    def topic(t) -> Column:
+        mine = F.filter("criteria", lambda c: c["topic_id"] == t.id)
+        need = F.filter(mine, lambda c: c["required"])
+        visible = shows_conditional if t.conditional else F.lit(True)
+        done = F.forall(need, lambda c: c["status"].isin("CONFIRMED", "NOT_APPLICABLE"))
+        status = (
+            F.when(F.exists(need, lambda c: c["status"] == "UNAVAILABLE"), "MAIN_UNAVAILABLE")
+            .when(done, "MAIN_FOUND")
+            .when(F.exists(mine, lambda c: F.size(c["evidence"]) > 0), "MAIN_PARTIAL")
+            .otherwise("MAIN_MISSING"))
+        denied = lambda ids: F.exists(
+            mine, lambda c: c["criterion_id"].isin(*ids) & (c["finding"] == "negated") & (c["status"] != "UNAVAILABLE")
+        ) if ids else F.lit(False)
+        applicability = F.coalesce(denied(pack.applicability_targets), F.lit(False))
+        hold = ~F.col("_probation") & ~F.col("_no_probation") if korean and t.id == "07" else F.lit(False)
+        notes = F.array_compact(F.array(
+            F.when(F.coalesce(denied(pack.neutral_targets), F.lit(False)), "neutral"),
+            F.when(applicability, "applicability"), F.when(hold, "probationHold")))
+        links = literals([pack.links[k] for k in t.links]) if t.links else F.array().cast("array<string>")
+        more = (
+            F.when(applicability, literals([pack.links[k] for k in pack.applicability_links]))
+            if pack.applicability_links else None)
+        nothing = F.array().cast("array<string>")
+        values = F.array_distinct(F.array_compact(F.transform(mine, lambda c: F.when(
+            c["criterion_id"].isin(pack.core_ids) & ~c["status"].isin("UNAVAILABLE", "NOT_APPLICABLE"),
+            c["source_value"]))))
+        first = F.coalesce(
+            F.get(F.filter(mine, lambda c: c["required"] & (F.size(c["evidence"]) > 0)), F.lit(0)),
+            F.get(F.filter(mine, lambda c: F.size(c["evidence"]) > 0), F.lit(0)))
+        count = lambda cond: F.size(F.filter(mine, cond))
+        shown = lambda col, kind=None: F.when(visible, col)
+        return F.struct(
+            F.lit(t.id).alias("topic_id"), visible.alias("visible"), shown(status).alias("status"),
+            F.when(visible, notes).otherwise(nothing).alias("notes"),
+            F.when(visible, F.transform(
+                F.filter(mine, lambda c: c["status"].isin("MISSING", "UNCLEAR")), lambda c: c["criterion_id"]))
+            .otherwise(nothing).alias("unconfirmed"),
+            F.when(visible, links).otherwise(nothing).alias("links"),
+            (F.when(visible, F.coalesce(more, nothing)).otherwise(nothing) if more is not None else nothing)
+            .alias("applicability_links"),
+            shown(F.when(F.size(values) > 0, F.array_join(values, " · "))).alias("value"),
+            shown(F.get(first["evidence"], F.lit(0))).alias("first_evidence"),
+            shown(count(lambda c: c["required"] & (c["status"] == "CONFIRMED"))).alias("core_confirmed"),
+            shown(count(lambda c: c["required"] & ~c["status"].isin("CONFIRMED", "NOT_APPLICABLE"))).alias("core_open"),
+            shown(count(lambda c: ~c["criterion_id"].isin(pack.core_ids) & c["status"].isin("MISSING", "UNCLEAR")))
+            .alias("extra_open"),
+            shown(count(lambda c: c["required"] & F.coalesce(c["basis"] == "conflict", F.lit(False))))
+            .alias("conflicts"),
+        )
+
+    df = df.withColumn("topics", F.array(*[topic(t) for t in pack.topics]))
+    per_entry = F.flatten(F.transform("_states", lambda s: F.transform(
+        s["diags"], lambda d: F.struct(s["criterion_id"].alias("id"), d.alias("diag")))))
+    per_topic = F.transform("_affected", lambda t: F.struct(t.alias("id"), F.lit("ocr_low_confidence_core_context").alias("diag")))
+    df = df.withColumn("diagnostics", F.concat(per_entry, per_topic))
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
+# ---- tables -------------------------------------------------------------------------
+
+
+def criterion_status(evaluated: DataFrame, *keys: str) -> DataFrame:
+    return unnest(evaluated, "criteria", *(keys or ("doc_id",)), present="criterion_id")
+
+
+def topic_status(evaluated: DataFrame, *keys: str) -> DataFrame:
+    return unnest(evaluated, "topics", *(keys or ("doc_id",)), present="topic_id")
+
+
+def diagnostics(evaluated: DataFrame, key: str = "doc_id") -> DataFrame:
+    return unnest(evaluated, "diagnostics", key, present="id")
+
+
+def published_quotes(evaluated: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every quote that is shown, one row each."""
+    each = unnest_values(evaluated, "criteria", "c", key)
+    return unnest(each, "c.evidence", key, F.col("c.criterion_id"), present="line")
+
+
+def status_counts(evaluated: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Shown topics and topics per state, per document."""
+
+    def in_state(state: str):
+        return lambda t: t["visible"] & (t["status"] == state)
+
+    return evaluated.select(
+        key, F.size(F.filter("topics", lambda t: t["visible"])).alias("shown"),
+        *[F.size(F.filter("topics", in_state(s))).alias(s.removeprefix("MAIN_").lower())
+          for s in ("MAIN_FOUND", "MAIN_PARTIAL", "MAIN_MISSING", "MAIN_UNAVAILABLE")])
+
+
+def merge_in_row(ranges: Column) -> Column:
+    """Sorted, touching or overlapping ranges of one row merged (array<struct<start,end>>)."""
+    ordered = F.array_sort(ranges)
+
+    def step(acc: Column, r: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        return F.when(last.isNotNull() & (r["start"] <= last["end"]),
+                      F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), joined)).otherwise(F.array_append(acc, r))
+
+    return F.aggregate(ordered, F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
+def highlight_ranges(evaluated: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Merged ranges to mark per line; offsets count from the line's start."""
+    quotes = F.flatten(F.transform("criteria", lambda c: c["evidence"]))
+    marked = evaluated.select(key, "lines", quotes.alias("quotes"))
+
+    def per_line(l: Column) -> Column:
+        mine = F.filter("quotes", lambda q: q["line"] == l["line_no"])
+        at = lambda q: F.position(q["text"], l["text"])
+        ranges = F.transform(mine, lambda q: F.struct(
+            F.when(at(q) > 0, at(q) - 1).otherwise(0).alias("start"),
+            F.when(at(q) > 0, at(q) - 1 + F.length(q["text"])).otherwise(F.length(l["text"])).alias("end")))
+        return F.struct(l["line_no"].alias("line_no"), merge_in_row(ranges).alias("ranges"))
+
+    spots = F.filter(F.transform("lines", per_line), lambda x: F.size(x["ranges"]) > 0)
+    each = unnest_values(marked, spots, "s", key)
+    return unnest(each, "s.ranges", key, F.col("s.line_no"), present="start")
+
+
+def low_conf_overlap(docs: DataFrame, pack: RulePack, ranges: str = "low_confidence", key: str = "doc_id") -> DataFrame:
+    """Criteria and topics an uncertain range bears on, one row each."""
+    df = _with_uncertainty(docs, pack, "entries", ranges)
+    hit = F.concat(
+        F.transform("_touched", lambda c: F.struct(c.alias("id"), F.lit("evidence").alias("scope"))),
+        F.transform("_affected", lambda t: F.struct(t.alias("id"), F.lit("context").alias("scope"))))
+    return unnest(df, hit, key, present="id")
