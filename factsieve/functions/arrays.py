@@ -19,3 +19,8 @@ def unnest(df: DataFrame, array: str | Column, *keep: str | Column, present: str
 def unnest_values(df: DataFrame, array: str | Column, name: str, *keep: str | Column) -> DataFrame:
     """One row per value of ``array``, nulls left out."""
     return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once inside a lambda: body(value)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factsieve import schemas
 from factsieve.functions.arrays import unnest, unnest_values
-from factsieve.functions.text import extract_all, matches, norm_ws
+from factsieve.functions.text import extract_all, matches, may_match, norm_ws
 from factsieve.packs import korean as K
 from factsieve.packs.model import RulePack
 
@@ -29,10 +29,18 @@ def _line_hits(pack: RulePack, criterion) -> Callable[[Column], Column]:
     return test
 
 
-def match_lines(docs: DataFrame, pack: RulePack, lines: str = "lines") -> DataFrame:
-    """Adds ``hits``: per criterion, all matching lines in order."""
+def match_lines(docs: DataFrame, pack: RulePack, text: str = "text") -> DataFrame:
+    """Adds ``hits``: per criterion, all matching lines in order.
+
+    Most criteria are not spoken of in most documents: a plain search for the words a
+    pattern needs decides whether the lines are looked at.
+    """
+    no_lines = F.slice("lines", 1, 0)
     per_criterion = [
-        F.struct(F.lit(c.id).alias("criterion_id"), F.filter(lines, _line_hits(pack, c)).alias("found"))
+        F.struct(
+            F.lit(c.id).alias("criterion_id"),
+            F.when(may_match(F.col(text), c.line), F.filter("lines", _line_hits(pack, c))).otherwise(no_lines)
+            .alias("found"))
         for c in pack.criteria
     ]
     return docs.withColumn("hits", F.array(*per_criterion))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from factsieve import schemas
 from factsieve.functions.arrays import unnest, unnest_values
 from factsieve.functions.text import SPACE_CHARS, as_digits, matches
-from factsieve.operators.verify import literals, verify_calc
+from factsieve.operators.verify import at, literals, verify_calc
 from factsieve.packs import korean as K
 from factsieve.packs.model import RulePack
 
@@ -25,57 +25,50 @@ def _none(kind: str = "string") -> Column:
     return F.lit(None).cast(kind)
 
 
-def _entry(entries: str | Column, cid: str) -> Column:
-    return F.get(F.filter(entries, lambda e: e["criterion_id"] == cid), F.lit(0))
-
-
-def _quotes_of(entries: str | Column, *ids: str) -> Column:
+def _quotes_of(entries: str | Column, pack: RulePack, *ids: str) -> Column:
     """Quote texts of some criteria, in the order of ``ids``."""
-    parts = [F.coalesce(_entry(entries, i)["quotes"], F.array().cast(_QUOTES)) for i in ids]
+    parts = [F.coalesce(at(entries, pack, i)["quotes"], F.array().cast(_QUOTES)) for i in ids]
     return F.transform(F.concat(*parts), lambda q: q["text"])
 
 
 # ---- sub status and boundary rules -------------------------------------------------
 
 
-def sub_status(e: Column, pack: RulePack) -> Column:
+def sub_status(cid: str, e: Column, pack: RulePack) -> Column:
     """Finding to criterion status."""
-    negated = F.lit(None).cast("string")
-    for cid, (status, _) in pack.negation_status.items():
-        negated = F.when(e["criterion_id"] == cid, status).otherwise(negated)
+    negated = pack.negation_status.get(cid, ("UNAVAILABLE", None))[0]
     return (
         F.when(e["finding"] == "specific", "CONFIRMED")
         .when(e["finding"] == "coarse", "PARTIAL")
         .when(e["finding"].isin("undecided", "conflict"), "UNCLEAR")
-        .when(e["finding"] == "negated", F.coalesce(negated, F.lit("UNAVAILABLE")))
+        .when(e["finding"] == "negated", negated)
         .otherwise("MISSING")
     )
 
 
-def boundary_rule(e: Column, status: Column, calculated: Column, lines: Column, entries: str) -> Column:
-    """struct(status, diag): fixed limits on what counts as confirmed."""
+def boundary_rule(cid: str, e: Column, status: Column, calculated: Column, entries: str, pack: RulePack) -> Column | None:
+    """Why a criterion is not confirmed after all, null if it is; None where there is no limit."""
+    lines, confirmed = F.col("lines"), status == "CONFIRMED"
     texts = F.transform(e["quotes"], lambda q: q["text"])
-    cid, confirmed = e["criterion_id"], status == "CONFIRMED"
-
-    def out(value, diag: str | None) -> Column:
-        return F.struct(F.lit(value).alias("status") if isinstance(value, str) else value.alias("status"),
-                        F.lit(diag).cast("string").alias("diag"))
-
-    wage = F.concat(texts, _quotes_of(entries, "01-a"))
-    context = F.transform(e["quotes"], lambda q: F.when(matches(q["text"], K.HOLIDAY_LABEL), q["text"]).otherwise(
-        F.coalesce(F.get(lines, q["line"] - 1)["text"], q["text"])))
-    rest_only = F.forall(context, lambda t: matches(t, K.REST_DAY) & ~matches(t, K.DESIGNATED_HOLIDAY))
-    outside_only = F.forall(texts, lambda t: matches(t, K.EXTERNAL_REFERENCE) & ~matches(t, K.GRANT_WORD))
-    return (
-        F.when((cid == "01-b") & confirmed & ~F.exists(wage, lambda t: matches(t, K.WAGE_UNIT)),
-               out("MISSING", "unit_not_stated"))
-        .when((cid == "02-a") & confirmed & ~calculated & ~F.exists(texts, lambda t: matches(t, K.STATED_HOURS)),
-              out("PARTIAL", "hours_not_quoted"))
-        .when((cid == "09-a") & confirmed & rest_only, out("PARTIAL", "rest_day_not_designated_holiday"))
-        .when((cid == "10-a") & confirmed & (e["finding"] != "negated") & outside_only,
-              out("PARTIAL", "external_reference_only"))
-        .otherwise(out(status, None))
-    )
+    if cid == "01-b":
+        wage = F.concat(texts, _quotes_of(entries, pack, "01-a"))
+        return F.when(confirmed & ~F.exists(wage, lambda t: matches(t, K.WAGE_UNIT)), "unit_not_stated")
+    if cid == "02-a":
+        stated = F.exists(texts, lambda t: matches(t, K.STATED_HOURS))
+        return F.when(confirmed & ~calculated & ~stated, "hours_not_quoted")
+    if cid == "09-a":
+        context = F.transform(e["quotes"], lambda q: F.when(matches(q["text"], K.HOLIDAY_LABEL), q["text"]).otherwise(
+            F.coalesce(F.get(lines, q["line"] - 1)["text"], q["text"])))
+        rest = F.forall(context, lambda t: matches(t, K.REST_DAY) & ~matches(t, K.DESIGNATED_HOLIDAY))
+        return F.when(confirmed & rest, "rest_day_not_designated_holiday")
+    if cid == "10-a":
+        outside = F.forall(texts, lambda t: matches(t, K.EXTERNAL_REFERENCE) & ~matches(t, K.GRANT_WORD))
+        return F.when(confirmed & (e["finding"] != "negated") & outside, "external_reference_only")
+    return None
+
+
+# what a limit turns "confirmed" into
+LIMITED_STATUS = {"01-b": "MISSING", "02-a": "PARTIAL", "09-a": "PARTIAL", "10-a": "PARTIAL"}
 
 
 # ---- uncertain ranges ---------------------------------------------------------------
@@ -170,219 +163,184 @@ def _with_uncertainty(df: DataFrame, pack: RulePack, entries: str, ranges: str |
 
 
 def evaluate(docs: DataFrame, pack: RulePack, entries: str = "entries", ranges: str | None = None) -> DataFrame:
-    """Adds ``criteria``, ``topics`` and ``diagnostics`` to document rows."""
-    lines = F.col("lines")
+    """Adds ``criteria``, ``topics`` and ``diagnostics`` to document rows.
+
+    Entries stand in the order of the pack, so each criterion gets its own expression and
+    the generated code is straight-line; loops remain only over quotes.
+    """
     korean = pack.name == "employment_ko"
     df = _with_uncertainty(docs, pack, entries, ranges)
+    uncertain = ranges is not None
+    false = F.lit(False)
+    nothing = F.array().cast("array<string>")
+    no_quotes = F.array().cast(_QUOTES)
 
     # facts that several criteria of one document share
-    term_texts = F.array_join(_quotes_of(entries, "05-a", "06-a", "06-b"), " ")
-    calc_texts = _quotes_of(entries, "02-a", "02-b", "02-c", "02-d")
-    hours_entry = _entry(entries, pack.hours_id) if pack.hours_id else None
-    df = df.withColumn("_part_time", matches(term_texts, K.PART_TIME) if korean else F.lit(False))
-    df = df.withColumn(
-        "_fixed_term",
-        matches(term_texts, K.FIXED_TERM) | F.coalesce(_entry(entries, "06-a")["term_type"] == "fixed", F.lit(False))
-        if korean else F.lit(False))
-    df = df.withColumn(
-        "_calc",
-        F.when(hours_entry["value_kind"] == "calculated", verify_calc(hours_entry["calc"], calc_texts))
-        if korean else _none("struct<ok:boolean,reason:string,derived:" + _DERIVED + ">"))
-
-    def first_state(e: Column) -> Column:
-        is_calc = (e["criterion_id"] == F.lit(pack.hours_id)) & F.coalesce(e["value_kind"] == "calculated", F.lit(False))
-        base = sub_status(e, pack)
-        failed_calc = is_calc & ~F.col("_calc")["ok"]
-        status = F.when(failed_calc & (base == "CONFIRMED"), "PARTIAL").otherwise(base)
-        tag = _none()
-        for cid, (_, name) in pack.negation_status.items():
-            if name:
-                tag = F.when((e["criterion_id"] == cid) & (e["finding"] == "negated"), name).otherwise(tag)
-        out_reason = (
-            F.when(e["unavailable"], F.coalesce(e["reason"], F.lit("missing")))
-            .when(F.array_contains("_touched", e["criterion_id"]), "ocr_low_confidence"))
-        return F.struct(
-            e.alias("e"), status.alias("base"), is_calc.alias("is_calc"),
-            (is_calc & F.col("_calc")["ok"]).alias("calculated"), tag.alias("provisional"),
-            out_reason.alias("out_reason"))
-
-    def ruled(x: Column) -> Column:
-        rule = (
-            boundary_rule(x["e"], x["base"], x["calculated"], lines, entries) if korean
-            else F.struct(x["base"].alias("status"), _none().alias("diag")))
-        return F.struct(x.alias("x"), rule.alias("rule"))
-
-    def settled(y: Column) -> Column:
-        x, e, rule = y["x"], y["x"]["e"], y["rule"]
-        out = x["out_reason"].isNotNull()
-        core = e["criterion_id"].isin(pack.core_ids)
-        related = ~out & core & F.array_contains("_affected", F.substring(e["criterion_id"], 1, 2))
-        gone = out | related
-        is_hours = e["criterion_id"] == F.lit(pack.hours_id)
-        kind = (
-            F.when(x["calculated"], "calculated")
-            .when(is_hours & (x["base"] == "CONFIRMED") & ~x["is_calc"], "quoted")
-            .when(e["source_value"].isNotNull(), "quoted"))
-        diags = F.when(out, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(
-            F.when(x["is_calc"] & ~F.col("_calc")["ok"], F.col("_calc")["reason"]),
-            rule["diag"],
-            F.when(F.size(e["excluded"]) > 0, "excluded_quotes"),
-            F.when(x["provisional"].isNotNull(), F.concat(F.lit("provisional_negation:"), x["provisional"])),
-        )))
+    if korean:
+        term_texts = F.array_join(_quotes_of(entries, pack, "05-a", "06-a", "06-b"), " ")
+        hours_entry = at(entries, pack, pack.hours_id)
+        df = df.withColumn("_term_texts", term_texts).withColumns({
+            "_part_time": matches(F.col("_term_texts"), K.PART_TIME),
+            "_fixed_term": matches(F.col("_term_texts"), K.FIXED_TERM)
+            | F.coalesce(at(entries, pack, "06-a")["term_type"] == "fixed", false),
+            "_calc": F.when(
+                F.coalesce(hours_entry["value_kind"] == "calculated", false),
+                verify_calc(hours_entry["calc"], _quotes_of(entries, pack, "02-a", "02-b", "02-c", "02-d"))),
+        })
+
+    def state(c) -> Column:
+        e = at(entries, pack, c.id)
+        is_calc = F.col("_calc").isNotNull() if korean and c.id == pack.hours_id else None
+        status = sub_status(c.id, e, pack)
+        calculated, diags = false, []
+        if is_calc is not None:
+            calculated = is_calc & F.col("_calc.ok")
+            status = F.when(is_calc & ~F.col("_calc.ok") & (status == "CONFIRMED"), "PARTIAL").otherwise(status)
+            diags.append(F.when(is_calc & ~F.col("_calc.ok"), F.col("_calc.reason")))
+        limit = boundary_rule(c.id, e, status, calculated, entries, pack) if korean else None
+        if limit is not None:
+            diags.append(limit)
+        diags.append(F.when(F.size(e["excluded"]) > 0, "excluded_quotes"))
+        tag = pack.negation_status.get(c.id, (None, None))[1]
+        provisional = F.when(e["finding"] == "negated", tag) if tag else _none()
+        if tag:
+            diags.append(F.when(e["finding"] == "negated", f"provisional_negation:{tag}"))
+        reason = F.when(e["unavailable"], F.coalesce(e["reason"], F.lit("missing")))
+        if uncertain:
+            reason = reason.when(F.array_contains("_touched", c.id), "ocr_low_confidence")
+        settled = F.when(limit.isNotNull(), LIMITED_STATUS[c.id]).otherwise(status) if limit is not None else status
+        kind = F.when(e["source_value"].isNotNull(), "quoted")
+        if is_calc is not None:
+            kind = F.when(calculated, "calculated").when(~is_calc & (status == "CONFIRMED"), "quoted").otherwise(kind)
         return F.struct(
-            e["criterion_id"].alias("criterion_id"),
-            F.when(gone, "UNAVAILABLE").otherwise(rule["status"]).alias("status"),
-            F.when(gone, F.array().cast(_QUOTES)).otherwise(e["quotes"]).alias("evidence"),
-            F.when(~gone, e["source_value"]).alias("source_value"),
-            # an entry that is out keeps its finding only for the checks below
-            F.when(~e["unavailable"], e["finding"]).alias("finding"),
-            F.when(~gone, e["term_type"]).alias("term_type"),
-            F.when(~gone & x["calculated"], F.col("_calc")["derived"]).alias("derived"),
-            F.when(~gone, kind).alias("value_kind"),
-            F.when(out, x["out_reason"]).when(related, "ocr_low_confidence_related").alias("reason"),
-            F.when(~gone, x["provisional"]).alias("provisional"),
-            diags.alias("diags"),
-        )
-
-    states = F.transform(F.transform(F.transform(entries, first_state), ruled), settled)
-    df = df.withColumn("_states", states)
+            reason.alias("out"), settled.alias("status"), kind.alias("value_kind"), provisional.alias("provisional"),
+            F.array_compact(F.array(*diags)).alias("diags"))
 
-    # branches that the document itself decides
-    def state_of(cid: str) -> Column:
-        return F.get(F.filter("_states", lambda s: s["criterion_id"] == cid), F.lit(0))
+    df = df.withColumn("_states", F.array(*[state(c) for c in pack.criteria]))
+
+    def gone(c) -> Column:
+        """Why a criterion has no result."""
+        own = at("_states", pack, c.id)["out"]
+        if not uncertain or c.role != "C":
+            return own
+        return F.coalesce(own, F.when(F.array_contains("_affected", c.topic), "ocr_low_confidence_related"))
 
     def sure(cid: str) -> Column:
-        return F.coalesce(state_of(cid)["status"] == "CONFIRMED", F.lit(False))
+        c = next(x for x in pack.criteria if x.id == cid)
+        return gone(c).isNull() & (at("_states", pack, cid)["status"] == "CONFIRMED")
 
     def negated(cid: str) -> Column:
-        return F.coalesce(state_of(cid)["finding"] == "negated", F.lit(False))
+        return F.coalesce(at(entries, pack, cid)["finding"] == "negated", false)
 
+    # branches that the document itself decides
+    branch, met = {}, {}
     if korean:
-        df = df.withColumn("_term", F.when(sure("06-a"), state_of("06-a")["term_type"]))
         df = df.withColumns({
+            "_term": F.when(sure("06-a"), at(entries, pack, "06-a")["term_type"]),
             "_probation": sure("07-a") & ~negated("07-a"),
             "_no_probation": sure("07-a") & negated("07-a"),
             "_leave": sure("10-a") & ~negated("10-a"),
             "_no_leave": sure("10-a") & negated("10-a"),
         })
-        branch = lambda cid: (
-            F.when((cid == "06-b") & F.coalesce(F.col("_term") == "indefinite", F.lit(False)), "indefinite_term")
-            .when((cid == "07-b") & F.col("_no_probation"), "no_probation")
-            .when((cid == "10-b") & F.col("_no_leave"), "no_leave"))
+        branch = {
+            "06-b": F.when(F.coalesce(F.col("_term") == "indefinite", false), "indefinite_term"),
+            "07-b": F.when(F.col("_no_probation"), "no_probation"),
+            "10-b": F.when(F.col("_no_leave"), "no_leave"),
+        }
         met = {
-            "fixed_term": F.coalesce(F.col("_term") == "fixed", F.lit(False)),
+            "fixed_term": F.coalesce(F.col("_term") == "fixed", false),
             "probation_applies": F.col("_probation"),
             "leave_granted": F.col("_leave"),
         }
-    else:
-        branch = lambda cid: _none()
-        met = {}
-
-    def is_required(cid: Column) -> Column:
-        plain = [c.id for c in pack.criteria if c.role == "C" and not c.condition]
-        out = cid.isin(plain)
-        for c in pack.criteria:
-            if c.role == "C" and c.condition:
-                out = out | ((cid == c.id) & met[c.condition])
-        return out
 
-    def codes_of(cid: Column) -> Column:
-        out = _none("array<string>")
-        for c in pack.criteria:
-            if not c.codes:
-                continue
-            mine = literals(c.codes)
-            if c.codes_fixed_or_part_time:
-                mine = F.when(F.col("_fixed_term") | F.col("_part_time"), literals(c.codes_fixed_or_part_time)).otherwise(mine)
-            if c.codes_part_time:
-                mine = F.when(F.col("_part_time"), literals(c.codes_part_time)).otherwise(mine)
-            out = F.when(cid == c.id, mine).otherwise(out)
+    def codes(c) -> Column:
+        out = literals(c.codes) if c.codes else _none("array<string>")
+        if c.codes_fixed_or_part_time:
+            out = F.when(F.col("_fixed_term") | F.col("_part_time"), literals(c.codes_fixed_or_part_time)).otherwise(out)
+        if c.codes_part_time:
+            out = F.when(F.col("_part_time"), literals(c.codes_part_time)).otherwise(out)
         return out
 
-    def branched(s: Column) -> Column:
-        na = branch(s["criterion_id"])
-        is_na = na.isNotNull()
-        status = F.when(is_na, "NOT_APPLICABLE").otherwise(s["status"])
-        # an entry that turned not applicable keeps no evidence
-        gone = status == "UNAVAILABLE"
-        basis = (
-            F.when(gone, s["reason"]).when(is_na, na)
-            .when(s["finding"] == "negated", "negated")
-            .when(status == "UNCLEAR", s["finding"]))
+    def result(c) -> Column:
+        e, s, why = at(entries, pack, c.id), at("_states", pack, c.id), gone(c)
+        na = branch.get(c.id, _none())
+        live = why.isNull() & na.isNull()
+        # a branch decided by the document outranks a failed check
+        status = F.when(na.isNotNull(), "NOT_APPLICABLE").when(why.isNotNull(), "UNAVAILABLE").otherwise(s["status"])
+        known = F.when(na.isNotNull() | why.isNull(), e["finding"])
+        required = F.lit(c.role == "C") & (met.get(c.condition, false) if c.condition else F.lit(True))
+        derived = F.when(live & (s["value_kind"] == "calculated"), F.col("_calc.derived")) if (
+            korean and c.id == pack.hours_id) else _none(_DERIVED)
         return F.struct(
-            s["criterion_id"].alias("criterion_id"), F.substring(s["criterion_id"], 1, 2).alias("topic_id"),
-            status.alias("status"),
-            F.when(is_na, F.array().cast(_QUOTES)).otherwise(s["evidence"]).alias("evidence"),
-            F.when(~is_na, s["source_value"]).alias("source_value"),
-            F.when(~gone, s["finding"]).alias("finding"),
-            F.when(status == "CONFIRMED", s["term_type"]).alias("term_type"),
-            F.when(~is_na, s["derived"]).alias("derived"),
-            F.when(~gone, s["value_kind"]).alias("value_kind"),
-            F.when(gone, s["reason"]).otherwise(na).alias("reason"),
-            basis.alias("basis"),
-            is_required(s["criterion_id"]).alias("required"),
-            F.when(~gone, s["provisional"]).alias("provisional"),
-            codes_of(s["criterion_id"]).alias("sources"),
-        )
-
-    df = df.withColumn("criteria", F.transform("_states", branched))
-    shows_conditional = F.col("_probation") if korean else F.lit(True)
+            F.lit(c.id).alias("criterion_id"), F.lit(c.topic).alias("topic_id"), status.alias("status"),
+            F.when(live, e["quotes"]).otherwise(no_quotes).alias("evidence"),
+            F.when(live, e["source_value"]).alias("source_value"),
+            known.alias("finding"),
+            F.when(live & (s["status"] == "CONFIRMED"), e["term_type"]).alias("term_type"),
+            derived.alias("derived"),
+            F.when(live, s["value_kind"]).alias("value_kind"),
+            F.coalesce(na, why).alias("reason"),
+            F.when(na.isNotNull(), na).when(why.isNotNull(), why).when(known == "negated", "negated")
+            .when(s["status"] == "UNCLEAR", known).alias("basis"),
+            required.alias("required"),
+            F.when(live, s["provisional"]).alias("provisional"),
+            codes(c).alias("sources"))
+
+    df = df.withColumn("criteria", F.array(*[result(c) for c in pack.criteria]))
 
     def topic(t) -> Column:
-        mine = F.filter("criteria", lambda c: c["topic_id"] == t.id)
-        need = F.filter(mine, lambda c: c["required"])
-        visible = shows_conditional if t.conditional else F.lit(True)
-        done = F.forall(need, lambda c: c["status"].isin("CONFIRMED", "NOT_APPLICABLE"))
+        mine = [(c, at("criteria", pack, c.id)) for c in t.criteria]
+        visible = F.col("_probation") if korean and t.conditional else F.lit(True)
+        number = lambda tests: sum((F.when(x, 1).otherwise(0) for x in tests), F.lit(0))
+        any_of = lambda tests: number(tests) > 0
+        core = [c for c, _ in mine if c.role == "C"]
+        need = [x for c, x in mine if c.role == "C"]
+        extra = [x for c, x in mine if c.role == "D"]
+        done = lambda x: x["status"].isin("CONFIRMED", "NOT_APPLICABLE")
         status = (
-            F.when(F.exists(need, lambda c: c["status"] == "UNAVAILABLE"), "MAIN_UNAVAILABLE")
-            .when(done, "MAIN_FOUND")
-            .when(F.exists(mine, lambda c: F.size(c["evidence"]) > 0), "MAIN_PARTIAL")
+            F.when(any_of([x["required"] & (x["status"] == "UNAVAILABLE") for x in need]), "MAIN_UNAVAILABLE")
+            .when(~any_of([x["required"] & ~done(x) for x in need]), "MAIN_FOUND")
+            .when(any_of([F.size(x["evidence"]) > 0 for _, x in mine]), "MAIN_PARTIAL")
             .otherwise("MAIN_MISSING"))
-        denied = lambda ids: F.exists(
-            mine, lambda c: c["criterion_id"].isin(*ids) & (c["finding"] == "negated") & (c["status"] != "UNAVAILABLE")
-        ) if ids else F.lit(False)
-        applicability = F.coalesce(denied(pack.applicability_targets), F.lit(False))
-        hold = ~F.col("_probation") & ~F.col("_no_probation") if korean and t.id == "07" else F.lit(False)
+        denied = lambda ids: any_of([
+            (x["finding"] == "negated") & (x["status"] != "UNAVAILABLE") for c, x in mine if c.id in ids])
+        applicability = denied(pack.applicability_targets)
+        hold = ~F.col("_probation") & ~F.col("_no_probation") if korean and t.id == "07" else false
         notes = F.array_compact(F.array(
-            F.when(F.coalesce(denied(pack.neutral_targets), F.lit(False)), "neutral"),
-            F.when(applicability, "applicability"), F.when(hold, "probationHold")))
-        links = literals([pack.links[k] for k in t.links]) if t.links else F.array().cast("array<string>")
-        more = (
-            F.when(applicability, literals([pack.links[k] for k in pack.applicability_links]))
-            if pack.applicability_links else None)
-        nothing = F.array().cast("array<string>")
-        values = F.array_distinct(F.array_compact(F.transform(mine, lambda c: F.when(
-            c["criterion_id"].isin(pack.core_ids) & ~c["status"].isin("UNAVAILABLE", "NOT_APPLICABLE"),
-            c["source_value"]))))
-        first = F.coalesce(
-            F.get(F.filter(mine, lambda c: c["required"] & (F.size(c["evidence"]) > 0)), F.lit(0)),
-            F.get(F.filter(mine, lambda c: F.size(c["evidence"]) > 0), F.lit(0)))
-        count = lambda cond: F.size(F.filter(mine, cond))
-        shown = lambda col, kind=None: F.when(visible, col)
+            F.when(denied(pack.neutral_targets), "neutral"), F.when(applicability, "applicability"),
+            F.when(hold, "probationHold")))
+        links = literals([pack.links[k] for k in t.links]) if t.links else nothing
+        more = F.when(applicability, literals([pack.links[k] for k in pack.applicability_links])).otherwise(
+            nothing) if pack.applicability_links else nothing
+        values = F.array_distinct(F.array_compact(F.array(*[
+            F.when(~x["status"].isin("UNAVAILABLE", "NOT_APPLICABLE"), x["source_value"]) for x in need])))
+        quote = lambda x: F.get(x["evidence"], F.lit(0))
+        first = F.coalesce(*[F.when(x["required"], quote(x)) for x in need], *[quote(x) for _, x in mine])
+        open_ones = F.array_compact(F.array(*[
+            F.when(x["status"].isin("MISSING", "UNCLEAR"), F.lit(c.id)) for c, x in mine]))
+        shown = lambda col: col if not t.conditional else F.when(visible, col)
+        listed = lambda col: col if not t.conditional else F.when(visible, col).otherwise(nothing)
         return F.struct(
             F.lit(t.id).alias("topic_id"), visible.alias("visible"), shown(status).alias("status"),
-            F.when(visible, notes).otherwise(nothing).alias("notes"),
-            F.when(visible, F.transform(
-                F.filter(mine, lambda c: c["status"].isin("MISSING", "UNCLEAR")), lambda c: c["criterion_id"]))
-            .otherwise(nothing).alias("unconfirmed"),
-            F.when(visible, links).otherwise(nothing).alias("links"),
-            (F.when(visible, F.coalesce(more, nothing)).otherwise(nothing) if more is not None else nothing)
-            .alias("applicability_links"),
+            listed(notes).alias("notes"), listed(open_ones).alias("unconfirmed"),
+            listed(links).alias("links"), listed(more).alias("applicability_links"),
             shown(F.when(F.size(values) > 0, F.array_join(values, " · "))).alias("value"),
-            shown(F.get(first["evidence"], F.lit(0))).alias("first_evidence"),
-            shown(count(lambda c: c["required"] & (c["status"] == "CONFIRMED"))).alias("core_confirmed"),
-            shown(count(lambda c: c["required"] & ~c["status"].isin("CONFIRMED", "NOT_APPLICABLE"))).alias("core_open"),
-            shown(count(lambda c: ~c["criterion_id"].isin(pack.core_ids) & c["status"].isin("MISSING", "UNCLEAR")))
-            .alias("extra_open"),
-            shown(count(lambda c: c["required"] & F.coalesce(c["basis"] == "conflict", F.lit(False))))
-            .alias("conflicts"),
-        )
+            shown(first).alias("first_evidence"),
+            shown(number([x["required"] & (x["status"] == "CONFIRMED") for x in need])).alias("core_confirmed"),
+            shown(number([x["required"] & ~done(x) for x in need])).alias("core_open"),
+            shown(number([x["status"].isin("MISSING", "UNCLEAR") for x in extra])).alias("extra_open"),
+            shown(number([x["required"] & (x["basis"] == "conflict") for x in need])).alias("conflicts"))
 
     df = df.withColumn("topics", F.array(*[topic(t) for t in pack.topics]))
-    per_entry = F.flatten(F.transform("_states", lambda s: F.transform(
-        s["diags"], lambda d: F.struct(s["criterion_id"].alias("id"), d.alias("diag")))))
-    per_topic = F.transform("_affected", lambda t: F.struct(t.alias("id"), F.lit("ocr_low_confidence_core_context").alias("diag")))
-    df = df.withColumn("diagnostics", F.concat(per_entry, per_topic))
+    per_entry = F.flatten(F.array(*[
+        F.when(at("_states", pack, c.id)["out"].isNull(), F.transform(
+            at("_states", pack, c.id)["diags"], lambda d: F.struct(cid.alias("id"), d.alias("diag"))))
+        .otherwise(F.array().cast("array<struct<id:string,diag:string>>"))
+        for c in pack.criteria for cid in [F.lit(c.id)]]))
+    if uncertain:
+        per_entry = F.concat(per_entry, F.transform("_affected", lambda t: F.struct(
+            t.alias("id"), F.lit("ocr_low_confidence_core_context").alias("diag"))))
+    df = df.withColumn("diagnostics", per_entry)
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 

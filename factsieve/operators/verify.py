@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsieve import schemas
-from factsieve.functions.arrays import unnest_values
+from factsieve.functions.arrays import let, unnest_values
 from factsieve.functions.text import contains, matches, norm_ws, trim_space
 from factsieve.packs.model import RulePack
 
@@ -85,7 +85,10 @@ def check_completeness(claims: Column, expected: Column) -> Column:
         )
         return F.struct(p["id"].alias("id"), F.get(p["found"], F.lit(0)).alias("c"), code.alias("code"))
 
-    return F.transform(F.transform(expected, pick), judge)
+    as_asked = F.coalesce(F.transform(claims, lambda c: c["criterion_id"]) == expected, F.lit(False))
+    in_order = F.transform(claims, lambda c: F.struct(
+        c["criterion_id"].alias("id"), c.alias("c"), F.lit(None).cast("string").alias("code")))
+    return F.when(as_asked, in_order).otherwise(F.transform(F.transform(expected, pick), judge))
 
 
 def check_quotes(quotes: Column, lines: Column) -> Column:
@@ -200,29 +203,57 @@ def verify(docs: DataFrame, pack: RulePack, expected: Column | None = None, clai
             F.lit(None).cast("string").alias("reason"),
         )
 
-    steps = check_completeness(F.col(claims), wanted)
-    for step in (with_checks, with_verified, with_errors, with_drops, with_quotes, entry):
-        steps = F.transform(steps, step)
-    return docs.withColumn(out, steps)
+    empty = F.struct(
+        *[F.lit(None).cast("string").alias(n) for n in ("source_value", "term_type", "value_kind")],
+        F.lit(None).cast(schemas.CALC).alias("calc"))
+
+    def nothing(p: Column) -> Column:
+        """The entry of a well-formed 'not mentioned': most claims are, and need no checks."""
+        return F.struct(
+            p["id"].alias("criterion_id"), F.lit("absent").alias("finding"), _no(_QUOTES).alias("quotes"),
+            *[empty[n].alias(n) for n in ("source_value", "term_type", "value_kind", "calc")],
+            _no("array<struct<line:int,text:string,reason:string>>").alias("excluded"),
+            _no(_STRINGS).alias("errors"),
+            _no("array<struct<line:int,text:string,code:string>>").alias("error_quotes"),
+            F.lit(False).alias("unavailable"), F.lit(None).cast("string").alias("reason"))
+
+    def checked(p: Column) -> Column:
+        chain = [with_checks, with_verified, with_errors, with_drops, with_quotes, entry]
+
+        def run(value: Column, rest: list) -> Column:
+            return rest[0](value) if len(rest) == 1 else let(rest[0](value), lambda v: run(v, rest[1:]))
+
+        plain = (
+            p["code"].isNull() & (p["c"]["finding"] == "absent") & (F.size(p["c"]["quotes"]) == 0)
+            & p["c"]["source_value"].isNull())
+        return F.when(plain, nothing(p)).otherwise(run(p, chain))
+
+    return docs.withColumn(out, F.transform(check_completeness(F.col(claims), wanted), checked))
 
 
 def failed(entry: Column) -> Column:
     return F.size(entry["errors"]) > 0
 
 
+def at(entries: str | Column, pack: RulePack, cid: str) -> Column:
+    """The entry of one criterion; entries stand in the order of the pack."""
+    return F.get(entries, F.lit(pack.criterion_ids.index(cid)))
+
+
 def plan_holds(docs: DataFrame, pack: RulePack, entries: str = "entries") -> DataFrame:
     """Adds ``held`` (topics to ask again) and ``independent`` (extras that fail on their own)."""
-    all_entries, lines = F.col(entries), F.col("lines")
+    lines = F.col("lines")
+
+    def any_of(tests: list[Column]) -> Column:
+        out = F.lit(False)
+        for t in tests:
+            out = out | t
+        return out
 
     def judge(topic) -> Column:
-        core_ids = [c.id for c in topic.criteria if c.role == "C"]
-        extra_ids = [c.id for c in topic.criteria if c.role == "D"]
-        core = F.filter(all_entries, lambda e: e["criterion_id"].isin(core_ids))
-        extra = (
-            F.filter(all_entries, lambda e: e["criterion_id"].isin(extra_ids) & failed(e))
-            if extra_ids else F.filter(all_entries, lambda e: F.lit(False))
-        )
-        core_lines = F.flatten(F.transform(core, lambda e: F.transform(e["quotes"], lambda q: q["line"])))
+        core = [at(entries, pack, c.id) for c in topic.criteria if c.role == "C"]
+        extra = [(c.id, at(entries, pack, c.id)) for c in topic.criteria if c.role == "D"]
+        core_lines = F.flatten(F.array(*[F.transform(e["quotes"], lambda q: q["line"]) for e in core]))
 
         def apart(q: Column) -> Column:
             line = F.get(lines, q["line"] - 1)["text"]
@@ -238,14 +269,12 @@ def plan_holds(docs: DataFrame, pack: RulePack, entries: str = "entries") -> Dat
                 & F.forall(e["error_quotes"], apart)
             )
 
-        core_failed = F.exists(core, failed)
-        all_apart = F.forall(extra, independent)
+        core_failed = any_of([failed(e) for e in core])
+        bound = any_of([failed(e) & ~independent(e) for _, e in extra])
+        alone = F.array_compact(F.array(*[F.when(failed(e), F.lit(cid)) for cid, e in extra])) if extra else _no(_STRINGS)
         return F.struct(
-            F.lit(topic.id).alias("topic_id"),
-            (core_failed | ((F.size(extra) > 0) & ~all_apart)).alias("held"),
-            F.when(~core_failed & all_apart, F.transform(extra, lambda e: e["criterion_id"]))
-            .otherwise(_no(_STRINGS)).alias("independent"),
-        )
+            F.lit(topic.id).alias("topic_id"), (core_failed | bound).alias("held"),
+            F.when(~core_failed & ~bound, alone).otherwise(_no(_STRINGS)).alias("independent"))
 
     planned = docs.withColumn("_plan", F.array(*[judge(t) for t in pack.topics]))
     return planned.select(
@@ -285,7 +314,8 @@ def merge_second_pass(docs: DataFrame, second: str | None = "second_entries", en
         alone = F.array_contains("independent", e["criterion_id"])
         return F.when(held, retried).when(alone, unavailable(e)).otherwise(e)
 
-    return docs.withColumn(entries, F.transform(entries, merge))
+    settled = (F.size("held") == 0) & (F.size("independent") == 0)
+    return docs.withColumn(entries, F.when(settled, F.col(entries)).otherwise(F.transform(entries, merge)))
 
 
 def error_rows(docs: DataFrame, key: str = "doc_id", entries: str = "entries") -> DataFrame:
