@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factsieve.functions.text import count_chars, has_text, matches, scrub_log, tidy_text
+from factsieve.functions.text import count_chars, has_text, matches, scrub_log, tidy_text, trim_space
 from factsieve.packs import korean as K
 
 # Limits of intake
@@ -21,8 +21,6 @@ def gate_input(docs: DataFrame, max_chars: int = MAX_CHARS, types=tuple(K.DOC_TY
         F.when(~F.coalesce(F.col("doc_type").isin(*types), F.lit(False)), "unknown_type")
         .when(~F.coalesce(has_text(F.col("text")), F.lit(False)), "empty")
         .when(F.length("text") > max_chars, "too_long"))
-    from factsieve.functions.text import trim_space
-
     coded = docs.withColumn("code", code).withColumn("short", F.length(trim_space(F.col("text"))) < SHORT_CHARS)
     return coded.filter(F.col("code").isNull()).drop("code"), coded.filter(F.col("code").isNotNull()).drop("short")
 

@@ -20,7 +20,7 @@ def _text(n: str) -> str:
 
 
 def _comma(n: str) -> str:
-    return f"concat({_text(f'floor({n} / 1000)')}, ',', lpad({_text(f'{n} % 1000')}, 3, '0'))"
+    return f"concat({_text(f'floor(({n}) / 1000)')}, ',', lpad({_text(f'({n}) % 1000')}, 3, '0'))"
 
 
 LINES = [
@@ -79,3 +79,56 @@ def notices(orders: DataFrame) -> DataFrame:
 def notices_sql() -> str:
     """The same corpus as a query of another engine over the ``orders`` view."""
     return "SELECT " + ", ".join(notice_columns("duckdb")) + " FROM orders"
+
+
+# Stored answers to four criteria of each notice, in twelve shapes, most of them wrong in one way.
+# Each criterion is given as text of its claim; L1 is the first line of the notice.
+_GOOD = '"source_value":null,"term_type":null,"value_kind":null,"calc":null}'
+
+
+def _claim(cid: str, finding: str, quotes: str, rest: str = _GOOD) -> str:
+    return f'{{"id":"{cid}","finding":"{finding}","quotes":[{quotes}],{rest}'
+
+
+def _shapes() -> list[tuple[str, list[tuple[str | None, str]]]]:
+    """(claims with @ for the first line, errors as (criterion, code))."""
+    ok = lambda cid: _claim(cid, "absent", "")
+    quote, spaced = '{"line":1,"text":"@"}', '{"line":1,"text":"  @ "}'
+    rest = [ok("01-b"), ok("02-c"), ok("09-a")]
+    value = lambda v: f'"source_value":"{v}","term_type":null,"value_kind":null,"calc":null}}'
+    join = lambda cs: '{"criteria":[' + ",".join(cs) + "]}"
+    return [
+        (join([_claim("01-a", "specific", quote), *rest]), []),
+        (join([_claim("01-a", "specific", spaced), *rest]), []),
+        (join([_claim("01-a", "specific", '{"line":1,"text":"@ 아님"}'), *rest]), [("01-a", "quote_not_in_line")]),
+        (join([_claim("01-a", "specific", '{"line":999,"text":"@"}'), *rest]), [("01-a", "unknown_line")]),
+        (join([_claim("01-a", "specific", '{"line":1,"text":" "}'), *rest]), [("01-a", "empty_quote")]),
+        (join([_claim("01-a", "specific", ""), *rest]), [("01-a", "no_quotes")]),
+        (join([_claim("01-a", "absent", quote), *rest]), [("01-a", "absent_with_quotes")]),
+        (join([_claim("01-a", "negated", quote), *rest]), [("01-a", "negated_not_allowed")]),
+        (join([_claim("01-a", "conflict", quote + "," + spaced), *rest]), [("01-a", "conflict_needs_two")]),
+        (join([_claim("01-a", "specific", quote, value("다른 값")), ok("99-z"), *rest[1:], ok("09-a")]),
+         [("01-a", "source_value_not_in_quote"), ("01-b", "missing_criterion"), ("09-a", "duplicate_criterion")]),
+        ("not json {", [(None, "ai_call_failed:invalid_json")]),
+        ('{"answer":[]}', [(None, "malformed_response")]),
+    ]
+
+
+def _body(dialect: str) -> str:
+    first = "split(trim(text), chr(10))[0]" if dialect == "spark" else "string_split(trim(text), chr(10))[1]"
+    whens = " ".join(
+        f"WHEN {i} THEN replace('" + shape.replace("'", "''") + f"', '@', trim({first}))" for i, (shape, _) in enumerate(_shapes()))
+    return f"CASE cast(doc_id AS BIGINT) % {len(_shapes())} {whens} END"
+
+
+def stored_responses(orders: DataFrame) -> DataFrame:
+    """doc_id, body: a stored answer per notice."""
+    return notices(orders).selectExpr("doc_id", f"{_body('spark')} AS body")
+
+
+def stored_responses_sql() -> str:
+    """The errors a verifier has to report for them."""
+    rows = ", ".join(
+        f"({i}, {'NULL' if cid is None else repr(cid)}, '{code}')" for i, (_, errs) in enumerate(_shapes()) for cid, code in errs)
+    return (f"WITH e(shape, criterion_id, code) AS (VALUES {rows}) SELECT cast(o_orderkey AS VARCHAR) AS doc_id, criterion_id, code "
+            f"FROM orders JOIN e ON e.shape = o_orderkey % {len(_shapes())}")
