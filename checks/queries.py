@@ -284,8 +284,8 @@ def _uncertain(spark, sf) -> DataFrame:
         at > 4, F.array(F.struct((at - 4).cast("int").alias("start"), (at - 2).cast("int").alias("end")))).otherwise(none))
 
 
-@query(S.pipeline(KO) + """, spot AS (SELECT doc_id, text, instr(text, '만원') AS at FROM docs),
-low AS (SELECT doc_id, at - 4 AS s, at - 2 AS e FROM spot WHERE at > 4),
+@query(S.pipeline(KO) + """, spot AS (SELECT doc_id, text, instr(text, '만원') AS p0 FROM docs),
+low AS (SELECT doc_id, p0 - 4 AS s, p0 - 2 AS e FROM spot WHERE p0 > 4),
 placed AS (SELECT l.doc_id, l.line_no, l.text, r.pos FROM lines l JOIN (SELECT doc_id, line_no, pos FROM (SELECT doc_id, pos, t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS line_no FROM raw WHERE trim(t) <> '')) r ON r.doc_id = l.doc_id AND r.line_no = l.line_no),
 starts AS (SELECT doc_id, pos, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0 FROM raw)
 SELECT e.doc_id, e.criterion_id AS id FROM entries e JOIN placed p ON p.doc_id = e.doc_id AND p.line_no = e.line JOIN starts s ON s.doc_id = p.doc_id AND s.pos = p.pos

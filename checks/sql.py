@@ -124,7 +124,7 @@ def readings() -> str:
     allx = lambda col, p, g: f"regexp_extract_all({col}, {q(portable(p))}, {g})"
     one = lambda lst: f"CASE WHEN len(list_distinct({lst})) = 1 THEN list_distinct({lst})[1] END"
     num = lambda s: f"cast(replace({s}, ',', '') AS BIGINT)"
-    amounts = f"list_transform({allx('t', K.AMOUNT, 1)}, x -> CASE WHEN contains(x, '만') THEN {num(f'regexp_extract(x, {q(chr(92) + "d[" + chr(92) + "d,]*")})')} * 10000 ELSE {num('trim(x)')} END)"
+    amounts = f"list_transform({allx('t', K.AMOUNT, 1)}, lambda x: CASE WHEN contains(x, '만') THEN {num(f'regexp_extract(x, {q(chr(92) + "d[" + chr(92) + "d,]*")})')} * 10000 ELSE {num('trim(x)')} END)"
     units = " || ".join(f"CASE WHEN {rx('wage_ctx', p)} THEN ['{k}'] ELSE [] END" for k, p in K.PAY_UNITS)
     kinds = "concat_ws(',', " + ", ".join(f"CASE WHEN {rx('t', p)} THEN {q(k)} END" for k, p in K.EMPLOYMENT_KINDS) + ")"
     nt = f"regexp_replace(t, {q(portable(chr(94) + r'[^:：\n]{1,15}[:：]\s*'))}, '')"
@@ -132,10 +132,10 @@ def readings() -> str:
     strip = lambda c: f"lower(regexp_replace({c}, {q(portable(chr(91) + r'\s.,·()\[\]{}' + chr(39) + chr(34) + '“”‘’' + chr(92) + '-–~/]'))}, '', 'g'))"
     clean = f"regexp_replace(t, {q(portable(K.BREAK_CLAUSE))}, '', 'g')"
     rng = lambda c: f"regexp_extract_all({c}, '\\d\\d:\\d\\d~\\d\\d:\\d\\d')"
-    mins = f"list_transform(list_zip({allx('t', K.BREAK_LENGTH, 1)}, {allx('t', K.BREAK_LENGTH, 2)}), x -> cast(x[1] AS BIGINT) * CASE WHEN x[2] = '시간' THEN 60 ELSE 1 END) || list_transform({rng('t')}, r -> (cast(substr(r, 7, 2) AS BIGINT) - cast(substr(r, 1, 2) AS BIGINT)) * 60 + cast(substr(r, 10, 2) AS BIGINT) - cast(substr(r, 4, 2) AS BIGINT))"
-    days = f"list_distinct(CASE WHEN contains(t, '말일') THEN ['말일'] ELSE [] END || list_transform(list_filter(list_zip({allx('t', K.PAYDAY, 0)}, {allx('t', K.PAYDAY, 1)}), x -> {rx('x[1]', K.PAYDAY_CONTEXT)}), x -> x[2] || '일'))"
-    dates = f"list_transform(list_zip({allx('t', K.DATE, 1)}, {allx('t', K.DATE, 2)}, {allx('t', K.DATE, 3)}), x -> x[1] || '-' || lpad(x[2], 2, '0') || '-' || lpad(x[3], 2, '0'))"
-    months = one(f"list_transform(list_zip({allx('t', K.MONTHS, 1)}, {allx('t', K.MONTHS, 2)}), x -> cast(x[1] AS BIGINT) * CASE WHEN x[2] = '년' THEN 12 ELSE 1 END)")
+    mins = f"list_transform(list_zip({allx('t', K.BREAK_LENGTH, 1)}, {allx('t', K.BREAK_LENGTH, 2)}), lambda x: cast(x[1] AS BIGINT) * CASE WHEN x[2] = '시간' THEN 60 ELSE 1 END) || list_transform({rng('t')}, lambda r: (cast(substr(r, 7, 2) AS BIGINT) - cast(substr(r, 1, 2) AS BIGINT)) * 60 + cast(substr(r, 10, 2) AS BIGINT) - cast(substr(r, 4, 2) AS BIGINT))"
+    days = f"list_distinct(CASE WHEN contains(t, '말일') THEN ['말일'] ELSE [] END || list_transform(list_filter(list_zip({allx('t', K.PAYDAY, 0)}, {allx('t', K.PAYDAY, 1)}), lambda x: {rx('x[1]', K.PAYDAY_CONTEXT)}), lambda x: x[2] || '일'))"
+    dates = f"list_transform(list_zip({allx('t', K.DATE, 1)}, {allx('t', K.DATE, 2)}, {allx('t', K.DATE, 3)}), lambda x: x[1] || '-' || lpad(x[2], 2, '0') || '-' || lpad(x[3], 2, '0'))"
+    months = one(f"list_transform(list_zip({allx('t', K.MONTHS, 1)}, {allx('t', K.MONTHS, 2)}), lambda x: cast(x[1] AS BIGINT) * CASE WHEN x[2] = '년' THEN 12 ELSE 1 END)")
     facets = ", ".join(f"('{item}', '{f}', '{kind}', {n == 0})" for item, _, fs in K.RELATE_ITEMS for n, (f, _, kind) in enumerate(fs))
     order = {f: i for i, f in enumerate(f for _, _, fs in K.RELATE_ITEMS for f, _, _ in fs)}
     hours = lambda g: one(allx("t", K.HOURS, g))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factsieve import schemas
 from factsieve.functions.arrays import unnest, unnest_values
+from factsieve.functions.reuse import reused
 from factsieve.functions.text import extract_all, matches, may_match, norm_ws
 from factsieve.packs import korean as K
 from factsieve.packs.model import RulePack
@@ -35,15 +36,17 @@ def match_lines(docs: DataFrame, pack: RulePack, text: str = "text") -> DataFram
     Most criteria are not spoken of in most documents: a plain search for the words a
     pattern needs decides whether the lines are looked at.
     """
-    no_lines = F.slice("lines", 1, 0)
-    per_criterion = [
-        F.struct(
-            F.lit(c.id).alias("criterion_id"),
-            F.when(may_match(F.col(text), c.line), F.filter("lines", _line_hits(pack, c))).otherwise(no_lines)
-            .alias("found"))
-        for c in pack.criteria
-    ]
-    return docs.withColumn("hits", F.array(*per_criterion))
+
+    def build() -> Column:
+        no_lines = F.slice("lines", 1, 0)
+        return F.array(*[
+            F.struct(
+                F.lit(c.id).alias("criterion_id"),
+                F.when(may_match(F.col(text), c.line), F.filter("lines", _line_hits(pack, c))).otherwise(no_lines)
+                .alias("found"))
+            for c in pack.criteria])
+
+    return docs.withColumn("hits", reused(("hits", pack.name, text), build))
 
 
 def hit_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -96,8 +99,8 @@ def classify_finding(docs: DataFrame, pack: RulePack) -> DataFrame:
             F.lit(None).cast(schemas.CALC).alias("calc"),
         )
 
-    claims = F.transform(F.transform(F.transform("hits", with_text), with_finding), claim)
-    return docs.withColumn("claims", claims).drop("hits")
+    build = lambda: F.transform(F.transform(F.transform("hits", with_text), with_finding), claim)
+    return docs.withColumn("claims", reused(("claims", pack.name), build)).drop("hits")
 
 
 def rule_extractor(pack: RulePack) -> Callable[[DataFrame], DataFrame]:

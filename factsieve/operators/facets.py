@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factsieve.functions import values as V
 from factsieve.functions.arrays import unnest
+from factsieve.functions.reuse import Steps, reused
 from factsieve.functions.text import normalize_condition_text
 from factsieve.operators.verify import at
 from factsieve.packs import korean as K
@@ -98,9 +99,13 @@ def _reading(kind: str, text: Column, c: Column, wage_ctx: Column, tax_ctx: Colu
 
 def with_facets(evaluated: DataFrame, pack, items=K.RELATE_ITEMS) -> DataFrame:
     """Adds ``facets``: one struct per compared facet, in facet order."""
+    return reused(("facets", pack.name, len(items)), lambda: _facet_steps(pack, items)).apply(evaluated)
+
+
+def _facet_steps(pack, items) -> Steps:
     crit = lambda cid: at("criteria", pack, cid)
     p = crit("07-a")
-    df = evaluated.withColumn(
+    df = Steps().withColumn(
         "_no_probation", F.coalesce((p["status"] == "CONFIRMED") & (p["finding"] == "negated"), F.lit(False)))
     df = df.withColumns({
         "_wage_ctx": ctx_text(crit("01-a"), crit("01-b")), "_tax_ctx": ctx_text(crit("01-a"), crit("01-g"))})
@@ -127,7 +132,7 @@ def with_facets(evaluated: DataFrame, pack, items=K.RELATE_ITEMS) -> DataFrame:
         F.when(f["r"]["val"].isNotNull(), f["r"]["grp"]).alias("grp"), f["r"]["val"].alias("val"),
         f["r"]["num"].alias("num"), f["r"]["tax"].alias("tax"), f["value"].alias("value"), f["evidence"].alias("evidence"))
     df = df.withColumn("_read", F.array(*structs))
-    return df.withColumn("facets", F.transform("_read", flat)).drop("_read", "_no_probation", "_wage_ctx", "_tax_ctx")
+    return df.withColumn("facets", F.transform("_read", flat))
 
 
 def facet_values(with_facets_df: DataFrame, *keys: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsieve.functions.arrays import unnest
+from factsieve.functions.reuse import reused
 from factsieve.functions.text import SPACE, portable, strip_ocr_junk, tidy_text
 
 # A line longer than this is split, and where it may be split
@@ -68,7 +69,7 @@ def lines_column(text: Column, limit: int = LONG_LINE) -> Column:
 
 
 def with_lines(docs: DataFrame, text: str = "text", limit: int = LONG_LINE) -> DataFrame:
-    return docs.withColumn("lines", lines_column(F.col(text), limit))
+    return docs.withColumn("lines", reused(("lines", text, limit), lambda: lines_column(F.col(text), limit)))
 
 
 def explode_lines(docs: DataFrame, *keep: str) -> DataFrame:

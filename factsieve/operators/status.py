@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factsieve import schemas
 from factsieve.functions.arrays import unnest, unnest_values
+from factsieve.functions.reuse import Steps, reused
 from factsieve.functions.text import SPACE_CHARS, as_digits, matches
 from factsieve.operators.verify import at, literals, verify_calc
 from factsieve.packs import korean as K
@@ -34,11 +35,14 @@ def _quotes_of(entries: str | Column, pack: RulePack, *ids: str) -> Column:
 # ---- sub status and boundary rules -------------------------------------------------
 
 
-def sub_status(cid: str, e: Column, pack: RulePack) -> Column:
+def sub_status(e: Column, pack: RulePack) -> Column:
     """Finding to criterion status."""
-    negated = pack.negation_status.get(cid, ("UNAVAILABLE", None))[0]
+    negated = F.lit("UNAVAILABLE")
+    for cid, (to, _) in pack.negation_status.items():
+        negated = F.when(e["criterion_id"] == cid, to).otherwise(negated)
     return (
-        F.when(e["finding"] == "specific", "CONFIRMED")
+        F.when(e["finding"] == "absent", "MISSING")
+        .when(e["finding"] == "specific", "CONFIRMED")
         .when(e["finding"] == "coarse", "PARTIAL")
         .when(e["finding"].isin("undecided", "conflict"), "UNCLEAR")
         .when(e["finding"] == "negated", negated)
@@ -46,29 +50,25 @@ def sub_status(cid: str, e: Column, pack: RulePack) -> Column:
     )
 
 
-def boundary_rule(cid: str, e: Column, status: Column, calculated: Column, entries: str, pack: RulePack) -> Column | None:
-    """Why a criterion is not confirmed after all, null if it is; None where there is no limit."""
-    lines, confirmed = F.col("lines"), status == "CONFIRMED"
-    texts = F.transform(e["quotes"], lambda q: q["text"])
-    if cid == "01-b":
-        wage = F.concat(texts, _quotes_of(entries, pack, "01-a"))
-        return F.when(confirmed & ~F.exists(wage, lambda t: matches(t, K.WAGE_UNIT)), "unit_not_stated")
-    if cid == "02-a":
-        stated = F.exists(texts, lambda t: matches(t, K.STATED_HOURS))
-        return F.when(confirmed & ~calculated & ~stated, "hours_not_quoted")
-    if cid == "09-a":
-        context = F.transform(e["quotes"], lambda q: F.when(matches(q["text"], K.HOLIDAY_LABEL), q["text"]).otherwise(
-            F.coalesce(F.get(lines, q["line"] - 1)["text"], q["text"])))
-        rest = F.forall(context, lambda t: matches(t, K.REST_DAY) & ~matches(t, K.DESIGNATED_HOLIDAY))
-        return F.when(confirmed & rest, "rest_day_not_designated_holiday")
-    if cid == "10-a":
-        outside = F.forall(texts, lambda t: matches(t, K.EXTERNAL_REFERENCE) & ~matches(t, K.GRANT_WORD))
-        return F.when(confirmed & (e["finding"] != "negated") & outside, "external_reference_only")
-    return None
-
-
-# what a limit turns "confirmed" into
-LIMITED_STATUS = {"01-b": "MISSING", "02-a": "PARTIAL", "09-a": "PARTIAL", "10-a": "PARTIAL"}
+def boundary_limits(entries: str, pack: RulePack, calculated: Column) -> dict[str, tuple[str, str, Column]]:
+    """criterion -> (status it falls to, diagnosis, does not hold up as confirmed)."""
+    lines = F.col("lines")
+    texts = lambda *ids: _quotes_of(entries, pack, *ids)
+    quotes = lambda cid: at(entries, pack, cid)["quotes"]
+    finding = lambda cid: at(entries, pack, cid)["finding"]
+    specific = lambda cid: F.coalesce(finding(cid) == "specific", F.lit(False))
+    context = F.transform(quotes("09-a"), lambda q: F.when(matches(q["text"], K.HOLIDAY_LABEL), q["text"]).otherwise(
+        F.coalesce(F.get(lines, q["line"] - 1)["text"], q["text"])))
+    return {
+        "01-b": ("MISSING", "unit_not_stated",
+                 specific("01-b") & ~F.exists(texts("01-b", "01-a"), lambda t: matches(t, K.WAGE_UNIT))),
+        "02-a": ("PARTIAL", "hours_not_quoted",
+                 specific("02-a") & ~calculated & ~F.exists(texts("02-a"), lambda t: matches(t, K.STATED_HOURS))),
+        "09-a": ("PARTIAL", "rest_day_not_designated_holiday",
+                 specific("09-a") & F.forall(context, lambda t: matches(t, K.REST_DAY) & ~matches(t, K.DESIGNATED_HOLIDAY))),
+        "10-a": ("PARTIAL", "external_reference_only",
+                 specific("10-a") & F.forall(texts("10-a"), lambda t: matches(t, K.EXTERNAL_REFERENCE) & ~matches(t, K.GRANT_WORD))),
+    }
 
 
 # ---- uncertain ranges ---------------------------------------------------------------
@@ -165,183 +165,187 @@ def _with_uncertainty(df: DataFrame, pack: RulePack, entries: str, ranges: str |
 def evaluate(docs: DataFrame, pack: RulePack, entries: str = "entries", ranges: str | None = None) -> DataFrame:
     """Adds ``criteria``, ``topics`` and ``diagnostics`` to document rows.
 
-    Entries stand in the order of the pack, so each criterion gets its own expression and
-    the generated code is straight-line; loops remain only over quotes.
+    What criteria need to know of each other is worked out once per document, by position
+    (entries stand in the order of the pack). After that one expression serves all criteria
+    and one all topics, which keeps the plan small.
     """
-    korean = pack.name == "employment_ko"
     df = _with_uncertainty(docs, pack, entries, ranges)
-    uncertain = ranges is not None
-    false = F.lit(False)
-    nothing = F.array().cast("array<string>")
-    no_quotes = F.array().cast(_QUOTES)
+    return reused(("evaluate", pack.name, entries), lambda: _evaluation(pack, entries)).apply(df)
+
+
+def _evaluation(pack: RulePack, entries: str) -> Steps:
+    korean = pack.name == "employment_ko"
+    df = Steps()
+    false, nothing, no_quotes = F.lit(False), F.array().cast("array<string>"), F.array().cast(_QUOTES)
+    one_of = lambda cid, ids: cid.isin(*ids) if ids else false
 
     # facts that several criteria of one document share
+    limits: dict[str, tuple[str, str, Column]] = {}
     if korean:
-        term_texts = F.array_join(_quotes_of(entries, pack, "05-a", "06-a", "06-b"), " ")
         hours_entry = at(entries, pack, pack.hours_id)
-        df = df.withColumn("_term_texts", term_texts).withColumns({
+        df = df.withColumn("_term_texts", F.array_join(_quotes_of(entries, pack, "05-a", "06-a", "06-b"), " ")).withColumn(
+            "_calc", F.when(
+                F.coalesce(hours_entry["value_kind"] == "calculated", false),
+                verify_calc(hours_entry["calc"], _quotes_of(entries, pack, "02-a", "02-b", "02-c", "02-d"))))
+        limits = boundary_limits(entries, pack, F.coalesce(F.col("_calc.ok"), false))
+        df = df.withColumns({
             "_part_time": matches(F.col("_term_texts"), K.PART_TIME),
             "_fixed_term": matches(F.col("_term_texts"), K.FIXED_TERM)
             | F.coalesce(at(entries, pack, "06-a")["term_type"] == "fixed", false),
-            "_calc": F.when(
-                F.coalesce(hours_entry["value_kind"] == "calculated", false),
-                verify_calc(hours_entry["calc"], _quotes_of(entries, pack, "02-a", "02-b", "02-c", "02-d"))),
+            "_limited": F.array_compact(F.array(*[F.when(F.coalesce(test, false), F.lit(c)) for c, (_, _, test) in limits.items()])),
         })
 
-    def state(c) -> Column:
-        e = at(entries, pack, c.id)
-        is_calc = F.col("_calc").isNotNull() if korean and c.id == pack.hours_id else None
-        status = sub_status(c.id, e, pack)
-        calculated, diags = false, []
-        if is_calc is not None:
-            calculated = is_calc & F.col("_calc.ok")
-            status = F.when(is_calc & ~F.col("_calc.ok") & (status == "CONFIRMED"), "PARTIAL").otherwise(status)
-            diags.append(F.when(is_calc & ~F.col("_calc.ok"), F.col("_calc.reason")))
-        limit = boundary_rule(c.id, e, status, calculated, entries, pack) if korean else None
-        if limit is not None:
-            diags.append(limit)
-        diags.append(F.when(F.size(e["excluded"]) > 0, "excluded_quotes"))
-        tag = pack.negation_status.get(c.id, (None, None))[1]
-        provisional = F.when(e["finding"] == "negated", tag) if tag else _none()
-        if tag:
-            diags.append(F.when(e["finding"] == "negated", f"provisional_negation:{tag}"))
-        reason = F.when(e["unavailable"], F.coalesce(e["reason"], F.lit("missing")))
-        if uncertain:
-            reason = reason.when(F.array_contains("_touched", c.id), "ocr_low_confidence")
-        settled = F.when(limit.isNotNull(), LIMITED_STATUS[c.id]).otherwise(status) if limit is not None else status
-        kind = F.when(e["source_value"].isNotNull(), "quoted")
-        if is_calc is not None:
-            kind = F.when(calculated, "calculated").when(~is_calc & (status == "CONFIRMED"), "quoted").otherwise(kind)
-        return F.struct(
-            reason.alias("out"), settled.alias("status"), kind.alias("value_kind"), provisional.alias("provisional"),
-            F.array_compact(F.array(*diags)).alias("diags"))
-
-    df = df.withColumn("_states", F.array(*[state(c) for c in pack.criteria]))
-
-    def gone(c) -> Column:
-        """Why a criterion has no result."""
-        own = at("_states", pack, c.id)["out"]
-        if not uncertain or c.role != "C":
-            return own
-        return F.coalesce(own, F.when(F.array_contains("_affected", c.topic), "ocr_low_confidence_related"))
-
-    def sure(cid: str) -> Column:
-        c = next(x for x in pack.criteria if x.id == cid)
-        return gone(c).isNull() & (at("_states", pack, cid)["status"] == "CONFIRMED")
-
-    def negated(cid: str) -> Column:
-        return F.coalesce(at(entries, pack, cid)["finding"] == "negated", false)
+        def sure(cid: str) -> Column:
+            """Confirmed, by the same rules as below."""
+            e = at(entries, pack, cid)
+            state = F.when(F.array_contains("_limited", cid), "LIMITED").otherwise(sub_status(e, pack))
+            out = F.coalesce(e["unavailable"], false) | F.array_contains("_touched", cid) | F.array_contains("_affected", cid[:2])
+            return ~out & (state == "CONFIRMED")
 
-    # branches that the document itself decides
-    branch, met = {}, {}
-    if korean:
+        negated = lambda cid: F.coalesce(at(entries, pack, cid)["finding"] == "negated", false)
         df = df.withColumns({
             "_term": F.when(sure("06-a"), at(entries, pack, "06-a")["term_type"]),
-            "_probation": sure("07-a") & ~negated("07-a"),
-            "_no_probation": sure("07-a") & negated("07-a"),
-            "_leave": sure("10-a") & ~negated("10-a"),
-            "_no_leave": sure("10-a") & negated("10-a"),
+            "_probation": sure("07-a") & ~negated("07-a"), "_no_probation": sure("07-a") & negated("07-a"),
+            "_leave": sure("10-a") & ~negated("10-a"), "_no_leave": sure("10-a") & negated("10-a"),
         })
-        branch = {
-            "06-b": F.when(F.coalesce(F.col("_term") == "indefinite", false), "indefinite_term"),
-            "07-b": F.when(F.col("_no_probation"), "no_probation"),
-            "10-b": F.when(F.col("_no_leave"), "no_leave"),
-        }
-        met = {
-            "fixed_term": F.coalesce(F.col("_term") == "fixed", false),
-            "probation_applies": F.col("_probation"),
-            "leave_granted": F.col("_leave"),
-        }
+        conditions = {
+            "fixed_term": F.coalesce(F.col("_term") == "fixed", false), "probation_applies": F.col("_probation"),
+            "leave_granted": F.col("_leave")}
+        df = df.withColumn("_na", F.array_compact(F.array(
+            F.when(F.coalesce(F.col("_term") == "indefinite", false), F.struct(F.lit("06-b").alias("id"), F.lit("indefinite_term").alias("why"))),
+            F.when(F.col("_no_probation"), F.struct(F.lit("07-b").alias("id"), F.lit("no_probation").alias("why"))),
+            F.when(F.col("_no_leave"), F.struct(F.lit("10-b").alias("id"), F.lit("no_leave").alias("why"))))))
+    else:
+        conditions = {}
+        df = df.withColumns({
+            "_limited": nothing, "_na": F.array().cast("array<struct<id:string,why:string>>"), "_part_time": false,
+            "_fixed_term": false, "_probation": F.lit(True), "_no_probation": false,
+            "_calc": _none(f"struct<ok:boolean,reason:string,derived:{_DERIVED}>")})
+
+    plain = [c.id for c in pack.criteria if c.role == "C" and not c.condition]
+    needed = literals(plain) if plain else nothing
+    for c in pack.criteria:
+        if c.condition:
+            needed = F.when(conditions[c.condition], F.array_append(needed, F.lit(c.id))).otherwise(needed)
+    # source codes per criterion, in pack order
+    bound = F.col("_fixed_term") | F.col("_part_time")
 
     def codes(c) -> Column:
-        out = literals(c.codes) if c.codes else _none("array<string>")
+        out = literals(c.codes) if c.codes else nothing
         if c.codes_fixed_or_part_time:
-            out = F.when(F.col("_fixed_term") | F.col("_part_time"), literals(c.codes_fixed_or_part_time)).otherwise(out)
-        if c.codes_part_time:
-            out = F.when(F.col("_part_time"), literals(c.codes_part_time)).otherwise(out)
-        return out
-
-    def result(c) -> Column:
-        e, s, why = at(entries, pack, c.id), at("_states", pack, c.id), gone(c)
-        na = branch.get(c.id, _none())
-        live = why.isNull() & na.isNull()
+            out = F.when(bound, literals(c.codes_fixed_or_part_time)).otherwise(out)
+        return F.when(F.col("_part_time"), literals(c.codes_part_time)).otherwise(out) if c.codes_part_time else out
+
+    df = df.withColumns({"_needed": needed, "_codes": F.array(*[codes(c) for c in pack.criteria])})
+    missing_limits = [c for c, (to, _, _) in limits.items() if to == "MISSING"]
+    hours_id = F.lit(pack.hours_id)
+
+    def judged(e: Column, i: Column) -> Column:
+        cid = e["criterion_id"]
+        base = sub_status(e, pack)
+        calc = F.when(cid == hours_id, F.col("_calc"))
+        status = (
+            F.when(F.array_contains("_limited", cid), F.when(one_of(cid, missing_limits), "MISSING").otherwise("PARTIAL"))
+            .when(calc.isNotNull() & ~calc["ok"] & (base == "CONFIRMED"), "PARTIAL").otherwise(base))
+        own = (
+            F.when(e["unavailable"], F.coalesce(e["reason"], F.lit("missing")))
+            .when(F.array_contains("_touched", cid), "ocr_low_confidence")
+            .when(one_of(cid, pack.core_ids) & F.array_contains("_affected", F.substring(cid, 1, 2)), "ocr_low_confidence_related"))
+        na = F.get(F.filter("_na", lambda n: n["id"] == cid), F.lit(0))["why"]
+        return F.struct(e.alias("e"), i.alias("i"), base.alias("base"), status.alias("status"), own.alias("own"), na.alias("na"),
+                        (calc.isNotNull() & calc["ok"]).alias("calculated"))
+
+    def result(x: Column) -> Column:
+        e, na, own = x["e"], x["na"], x["own"]
+        cid, live = e["criterion_id"], na.isNull() & own.isNull()
         # a branch decided by the document outranks a failed check
-        status = F.when(na.isNotNull(), "NOT_APPLICABLE").when(why.isNotNull(), "UNAVAILABLE").otherwise(s["status"])
-        known = F.when(na.isNotNull() | why.isNull(), e["finding"])
-        required = F.lit(c.role == "C") & (met.get(c.condition, false) if c.condition else F.lit(True))
-        derived = F.when(live & (s["value_kind"] == "calculated"), F.col("_calc.derived")) if (
-            korean and c.id == pack.hours_id) else _none(_DERIVED)
+        known = F.when(na.isNotNull() | own.isNull(), e["finding"])
+        kind = (
+            F.when(x["calculated"], "calculated").when((cid == hours_id) & (x["base"] == "CONFIRMED"), "quoted")
+            .when(e["source_value"].isNotNull(), "quoted"))
+        tag = _none()
+        for c, (_, name) in pack.negation_status.items():
+            tag = F.when(cid == c, name).otherwise(tag) if name else tag
         return F.struct(
-            F.lit(c.id).alias("criterion_id"), F.lit(c.topic).alias("topic_id"), status.alias("status"),
+            cid.alias("criterion_id"), F.substring(cid, 1, 2).alias("topic_id"),
+            F.when(na.isNotNull(), "NOT_APPLICABLE").when(own.isNotNull(), "UNAVAILABLE").otherwise(x["status"]).alias("status"),
             F.when(live, e["quotes"]).otherwise(no_quotes).alias("evidence"),
-            F.when(live, e["source_value"]).alias("source_value"),
-            known.alias("finding"),
-            F.when(live & (s["status"] == "CONFIRMED"), e["term_type"]).alias("term_type"),
-            derived.alias("derived"),
-            F.when(live, s["value_kind"]).alias("value_kind"),
-            F.coalesce(na, why).alias("reason"),
-            F.when(na.isNotNull(), na).when(why.isNotNull(), why).when(known == "negated", "negated")
-            .when(s["status"] == "UNCLEAR", known).alias("basis"),
-            required.alias("required"),
-            F.when(live, s["provisional"]).alias("provisional"),
-            codes(c).alias("sources"))
-
-    df = df.withColumn("criteria", F.array(*[result(c) for c in pack.criteria]))
-
-    def topic(t) -> Column:
-        mine = [(c, at("criteria", pack, c.id)) for c in t.criteria]
-        visible = F.col("_probation") if korean and t.conditional else F.lit(True)
-        number = lambda tests: sum((F.when(x, 1).otherwise(0) for x in tests), F.lit(0))
-        any_of = lambda tests: number(tests) > 0
-        core = [c for c, _ in mine if c.role == "C"]
-        need = [x for c, x in mine if c.role == "C"]
-        extra = [x for c, x in mine if c.role == "D"]
-        done = lambda x: x["status"].isin("CONFIRMED", "NOT_APPLICABLE")
+            F.when(live, e["source_value"]).alias("source_value"), known.alias("finding"),
+            F.when(live & (x["status"] == "CONFIRMED"), e["term_type"]).alias("term_type"),
+            F.when(live & x["calculated"], F.col("_calc.derived")).alias("derived"),
+            F.when(live, kind).alias("value_kind"), F.coalesce(na, own).alias("reason"),
+            F.when(na.isNotNull(), na).when(own.isNotNull(), own).when(known == "negated", "negated")
+            .when(x["status"] == "UNCLEAR", known).alias("basis"),
+            F.array_contains("_needed", cid).alias("required"),
+            F.when(live & (e["finding"] == "negated"), tag).alias("provisional"),
+            F.get("_codes", x["i"]).alias("sources"), one_of(cid, pack.core_ids).alias("core"))
+
+    df = df.withColumn("_judged", F.transform(entries, judged)).withColumn("criteria", F.transform("_judged", result))
+
+    # topics are slices of the criteria
+    spans, first = [], 1
+    for t in pack.topics:
+        text = lambda keys: literals([pack.links[k] for k in keys]) if keys else nothing
+        spans.append(F.struct(F.lit(t.id).alias("id"), F.lit(first).alias("first"), F.lit(len(t.criteria)).alias("n"),
+                              F.lit(t.conditional).alias("conditional"), text(t.links).alias("links")))
+        first += len(t.criteria)
+    more_links = literals([pack.links[k] for k in pack.applicability_links]) if pack.applicability_links else nothing
+    done = lambda c: c["status"].isin("CONFIRMED", "NOT_APPLICABLE")
+
+    def with_criteria(t: Column) -> Column:
+        mine = F.slice("criteria", t["first"], t["n"])
+        visible = ~t["conditional"] | F.col("_probation")
+        return F.struct(t.alias("t"), visible.alias("visible"), mine.alias("mine"),
+                        F.filter(mine, lambda c: c["required"]).alias("need"))
+
+    def topic(x: Column) -> Column:
+        t, mine, need, visible = x["t"], x["mine"], x["need"], x["visible"]
         status = (
-            F.when(any_of([x["required"] & (x["status"] == "UNAVAILABLE") for x in need]), "MAIN_UNAVAILABLE")
-            .when(~any_of([x["required"] & ~done(x) for x in need]), "MAIN_FOUND")
-            .when(any_of([F.size(x["evidence"]) > 0 for _, x in mine]), "MAIN_PARTIAL")
-            .otherwise("MAIN_MISSING"))
-        denied = lambda ids: any_of([
-            (x["finding"] == "negated") & (x["status"] != "UNAVAILABLE") for c, x in mine if c.id in ids])
+            F.when(F.exists(need, lambda c: c["status"] == "UNAVAILABLE"), "MAIN_UNAVAILABLE")
+            .when(F.forall(need, done), "MAIN_FOUND")
+            .when(F.exists(mine, lambda c: F.size(c["evidence"]) > 0), "MAIN_PARTIAL").otherwise("MAIN_MISSING"))
+        denied = lambda ids: F.exists(mine, lambda c: one_of(c["criterion_id"], ids) & (
+            F.coalesce(c["finding"] == "negated", false)) & (c["status"] != "UNAVAILABLE"))
         applicability = denied(pack.applicability_targets)
-        hold = ~F.col("_probation") & ~F.col("_no_probation") if korean and t.id == "07" else false
+        hold = (t["id"] == "07") & ~F.col("_probation") & ~F.col("_no_probation") if korean else false
         notes = F.array_compact(F.array(
             F.when(denied(pack.neutral_targets), "neutral"), F.when(applicability, "applicability"),
             F.when(hold, "probationHold")))
-        links = literals([pack.links[k] for k in t.links]) if t.links else nothing
-        more = F.when(applicability, literals([pack.links[k] for k in pack.applicability_links])).otherwise(
-            nothing) if pack.applicability_links else nothing
-        values = F.array_distinct(F.array_compact(F.array(*[
-            F.when(~x["status"].isin("UNAVAILABLE", "NOT_APPLICABLE"), x["source_value"]) for x in need])))
-        quote = lambda x: F.get(x["evidence"], F.lit(0))
-        first = F.coalesce(*[F.when(x["required"], quote(x)) for x in need], *[quote(x) for _, x in mine])
-        open_ones = F.array_compact(F.array(*[
-            F.when(x["status"].isin("MISSING", "UNCLEAR"), F.lit(c.id)) for c, x in mine]))
-        shown = lambda col: col if not t.conditional else F.when(visible, col)
-        listed = lambda col: col if not t.conditional else F.when(visible, col).otherwise(nothing)
+        values = F.array_distinct(F.array_compact(F.transform(
+            mine, lambda c: F.when(c["core"] & ~c["status"].isin("UNAVAILABLE", "NOT_APPLICABLE"), c["source_value"]))))
+        quoted = lambda cs: F.get(F.get(F.filter(cs, lambda c: F.size(c["evidence"]) > 0), F.lit(0))["evidence"], F.lit(0))
+        count = lambda cs, test: F.size(F.filter(cs, test))
+        shown = lambda col: F.when(visible, col)
+        listed = lambda col: F.when(visible, col).otherwise(nothing)
         return F.struct(
-            F.lit(t.id).alias("topic_id"), visible.alias("visible"), shown(status).alias("status"),
-            listed(notes).alias("notes"), listed(open_ones).alias("unconfirmed"),
-            listed(links).alias("links"), listed(more).alias("applicability_links"),
+            t["id"].alias("topic_id"), visible.alias("visible"), shown(status).alias("status"), listed(notes).alias("notes"),
+            listed(F.transform(F.filter(mine, lambda c: c["status"].isin("MISSING", "UNCLEAR")), lambda c: c["criterion_id"])).alias("unconfirmed"),
+            listed(t["links"]).alias("links"), listed(F.when(applicability, more_links).otherwise(nothing)).alias("applicability_links"),
             shown(F.when(F.size(values) > 0, F.array_join(values, " · "))).alias("value"),
-            shown(first).alias("first_evidence"),
-            shown(number([x["required"] & (x["status"] == "CONFIRMED") for x in need])).alias("core_confirmed"),
-            shown(number([x["required"] & ~done(x) for x in need])).alias("core_open"),
-            shown(number([x["status"].isin("MISSING", "UNCLEAR") for x in extra])).alias("extra_open"),
-            shown(number([x["required"] & (x["basis"] == "conflict") for x in need])).alias("conflicts"))
-
-    df = df.withColumn("topics", F.array(*[topic(t) for t in pack.topics]))
-    per_entry = F.flatten(F.array(*[
-        F.when(at("_states", pack, c.id)["out"].isNull(), F.transform(
-            at("_states", pack, c.id)["diags"], lambda d: F.struct(cid.alias("id"), d.alias("diag"))))
-        .otherwise(F.array().cast("array<struct<id:string,diag:string>>"))
-        for c in pack.criteria for cid in [F.lit(c.id)]]))
-    if uncertain:
-        per_entry = F.concat(per_entry, F.transform("_affected", lambda t: F.struct(
-            t.alias("id"), F.lit("ocr_low_confidence_core_context").alias("diag"))))
-    df = df.withColumn("diagnostics", per_entry)
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+            shown(F.coalesce(quoted(need), quoted(mine))).alias("first_evidence"),
+            shown(count(need, lambda c: c["status"] == "CONFIRMED")).alias("core_confirmed"),
+            shown(count(need, lambda c: ~done(c))).alias("core_open"),
+            shown(count(mine, lambda c: ~c["core"] & c["status"].isin("MISSING", "UNCLEAR"))).alias("extra_open"),
+            shown(count(need, lambda c: F.coalesce(c["basis"] == "conflict", false))).alias("conflicts"))
+
+    df = df.withColumn("topics", F.transform(F.transform(F.array(*spans), with_criteria), topic))
+
+    def diags(x: Column) -> Column:
+        e, cid = x["e"], x["e"]["criterion_id"]
+        diagnosis, tag = _none(), _none()
+        for c, (_, text, _) in limits.items():
+            diagnosis = F.when(cid == c, text).otherwise(diagnosis)
+        for c, (_, name) in pack.negation_status.items():
+            tag = F.when(cid == c, f"provisional_negation:{name}").otherwise(tag) if name else tag
+        found = F.array_compact(F.array(
+            F.when((cid == hours_id) & ~F.col("_calc.ok"), F.col("_calc.reason")),
+            F.when(F.array_contains("_limited", cid), diagnosis),
+            F.when(F.size(e["excluded"]) > 0, "excluded_quotes"), F.when(e["finding"] == "negated", tag)))
+        return F.transform(found, lambda d: F.struct(cid.alias("id"), d.alias("diag")))
+
+    seen = F.filter("_judged", lambda x: x["own"].isNull() | (x["own"] == "ocr_low_confidence_related"))
+    related = F.transform("_affected", lambda t: F.struct(t.alias("id"), F.lit("ocr_low_confidence_core_context").alias("diag")))
+    return df.withColumn("diagnostics", F.concat(F.flatten(F.transform(seen, diags)), related))
 
 
 # ---- tables -------------------------------------------------------------------------

@@ -16,6 +16,10 @@ PER_KEY, GLOBAL_PER_MINUTE, GLOBAL_PER_DAY, WINDOW_MS = 5, 4, 100, 60_000
 
 
 def with_ms(log: DataFrame, ts: str = "ts") -> DataFrame:
+    """Adds ``ms``. A timestamp without a zone is read as UTC, whatever zone the session has."""
+    if dict(log.dtypes)[ts] == "timestamp_ntz":
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return log.withColumn("ms", F.timestamp_diff("MILLISECOND", epoch, F.col(ts)))
     return log.withColumn("ms", F.unix_millis(F.col(ts)))
 
 

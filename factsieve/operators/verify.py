@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factsieve import schemas
 from factsieve.functions.arrays import let, unnest_values
+from factsieve.functions.reuse import reused
 from factsieve.functions.text import contains, matches, norm_ws, trim_space
 from factsieve.packs.model import RulePack
 
@@ -228,7 +229,8 @@ def verify(docs: DataFrame, pack: RulePack, expected: Column | None = None, clai
             & p["c"]["source_value"].isNull())
         return F.when(plain, nothing(p)).otherwise(run(p, chain))
 
-    return docs.withColumn(out, F.transform(check_completeness(F.col(claims), wanted), checked))
+    build = lambda: F.transform(check_completeness(F.col(claims), wanted), checked)
+    return docs.withColumn(out, reused(("verify", pack.name, claims), build) if expected is None else build())
 
 
 def failed(entry: Column) -> Column:
@@ -276,7 +278,8 @@ def plan_holds(docs: DataFrame, pack: RulePack, entries: str = "entries") -> Dat
             F.lit(topic.id).alias("topic_id"), (core_failed | bound).alias("held"),
             F.when(~core_failed & ~bound, alone).otherwise(_no(_STRINGS)).alias("independent"))
 
-    planned = docs.withColumn("_plan", F.array(*[judge(t) for t in pack.topics]))
+    build = lambda: F.array(*[judge(t) for t in pack.topics])
+    planned = docs.withColumn("_plan", reused(("holds", pack.name, entries), build))
     return planned.select(
         "*",
         F.transform(F.filter("_plan", lambda t: t["held"]), lambda t: t["topic_id"]).alias("held"),
@@ -315,7 +318,8 @@ def merge_second_pass(docs: DataFrame, second: str | None = "second_entries", en
         return F.when(held, retried).when(alone, unavailable(e)).otherwise(e)
 
     settled = (F.size("held") == 0) & (F.size("independent") == 0)
-    return docs.withColumn(entries, F.when(settled, F.col(entries)).otherwise(F.transform(entries, merge)))
+    build = lambda: F.when(settled, F.col(entries)).otherwise(F.transform(entries, merge))
+    return docs.withColumn(entries, reused(("merge", second, entries), build))
 
 
 def error_rows(docs: DataFrame, key: str = "doc_id", entries: str = "entries") -> DataFrame:
