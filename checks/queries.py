@@ -438,7 +438,7 @@ def apply_edits_ko(spark, sf):
     return spans.span_summary(spans.apply_edits(seeds, edits))
 
 
-_LOG = "log AS (SELECT event_id, cast(user_id AS VARCHAR) AS ip, epoch_ms(ts) AS ms, cast(1 + event_id % 2 AS INTEGER) AS cost FROM events)"
+_LOG = "log AS (SELECT event_id, cast(user_id AS VARCHAR) AS ip, epoch_us(ts) // 1000 AS ms, cast(1 + event_id % 2 AS INTEGER) AS cost FROM events)"
 
 
 def _log(spark, sf) -> DataFrame:
