@@ -32,7 +32,7 @@ def run(spark, cases, ranges=None):
     if ranges:
         docs = docs.join(spark.createDataFrame(ranges, "doc_id string, low_confidence array<struct<start:int,end:int>>"), "doc_id", "left")
     raw = spark.createDataFrame([(k, b) for k, (_, b) in cases.items()], "doc_id string, body string")
-    ev = plans.analyse_corpus(docs, extractor=None if False else _drop(response_extractor(raw)), ranges="low_confidence" if ranges else None)
+    ev = plans.analyse_corpus(docs, extractor=_drop(response_extractor(raw)), ranges="low_confidence" if ranges else None)
     rows = {r.doc_id: r for r in ev.collect()}
     return ({k: {c.criterion_id: c for c in r.criteria} for k, r in rows.items()},
             {k: {t.topic_id: t for t in r.topics} for k, r in rows.items()}, rows)
