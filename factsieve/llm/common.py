@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,26 @@ def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in the text; null counts as empty."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANK_CHARS))
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, BLANKS))).cast("long")
+
+
+#: Size of a bit filter in words of 64 bits (1 MB). It never grows: a full filter lets everything pass and only saves nothing.
+FILTER_WORDS = 1 << 17
+
+
+def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """Bits set at the hashed places of a column of longs; at most ``FILTER_WORDS`` rows reach the driver."""
+    h = F.pmod(F.xxhash64(column), F.lit(FILTER_WORDS * 64))
+    rows = keys.select(h.alias("h")).groupBy(F.expr("h div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 AS int)))").alias("bits")).collect()
+    words = np.zeros(FILTER_WORDS, np.uint64)
+    for r in rows:
+        words[r["w"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+    return words
+
+
+def filter_place(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_WORDS * 64))
+
+
+def may_hold(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which of the places (values of ``filter_place``) are set."""
+    return (words[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) == 1

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factsieve.llm.common import table, written
+from factsieve.llm.common import bit_filter, filter_place, may_hold, table, written
 from factsieve.llm.packing import by_bytes
 from factsieve.llm.shingles import mixed, shingle_sets
 
@@ -28,8 +28,7 @@ STEP_BYTES = 3 << 20
 #: Tokens that come last in the order: a token counts if a batch of texts has it so often; so many of the most frequent are told apart.
 #: Any order gives the same result, so this bounds a broadcast (2 MB), not the work done.
 OFTEN, LAST_TOKENS = 12, 1 << 18
-#: Bits of the filter that says which documents may be needed for comparison (1 MB); a full filter lets all pass.
-FILTER_WORDS = 1 << 17
+#: Sets that meet at once in a list.
 BLOCK = 64
 
 
@@ -218,22 +217,17 @@ def candidate_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFr
     """
     named = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     need = written(sets.join(named, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "need")
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_WORDS * 64))
-    rows = need.select(h.alias("h")).groupBy(F.expr("h div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 AS int)))").alias("bits")).collect()
-    words = np.zeros(FILTER_WORDS, np.uint64)
-    for r in rows:  # FILTER_WORDS rows at most
-        words[r["w"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+    words = bit_filter(need, "doc_id")
 
     def needed(batch):
-        k = batch.column(2).to_numpy()
-        return (words[k >> 6] >> (k & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return may_hold(words, batch.column(2).to_numpy())
 
     def run(batches):
         for part, found in _batches(1, batches, needed):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_id(s) if len(s) else None for s in found], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())],
                                              names=["doc_id", "sid", "tokens"])
 
-    d = docs.select(F.col("doc_id").cast("long"), "text", h.alias("h"))
+    d = docs.select(F.col("doc_id").cast("long"), "text", filter_place("doc_id").alias("h"))
     tokens = d.mapInArrow(run, "doc_id long, sid long, tokens binary")
     return tokens.join(need, ["doc_id", "sid"], "left_semi").dropDuplicates(["sid"]).select("sid", (F.length("tokens") / 8).cast("long").alias("n"), "tokens")
 
