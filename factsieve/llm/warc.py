@@ -1,23 +1,24 @@
 """WARC archives and the assembly of transactions.
 
-An archive is written by Spark's text writer: a record is a line and the two line ends after it are the line separator. It is read as
-binary files and cut by the content lengths, never by looking for separators.
+An archive is written by Spark's text writer, gzipped: a record is a line and the two line ends after it are the line separator. It is read
+as binary files and cut by the content lengths, never by looking for separators.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factsieve.llm.common import fresh_path, table
+from factsieve.llm.common import fresh_path, table, written
 
 CRLF = "\r\n"
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
-#: Size of an archive file that the writer aims at; one is read at a time.
+#: Size before compression that an archive file has on average; a reader holds one at a time.
 FILE_BYTES = 16 << 20
 RECORD = ("record_type string, record_id string, concurrent_to string, refers_to string, target_uri string, date string, "
           "digest string, payload_bytes long, payload_digest string, fields map<string,string>")
@@ -59,14 +60,14 @@ def archive_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", least:
                     F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(f" HTTP/1.1{CRLF}{CRLF}")))
     fields = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))
     metadata = _head("metadata", [("WARC-Record-ID", _uuid("metadata", F.col("page_id"), F.col("sha"))), when, uri, link, ("Content-Type", F.lit("application/warc-fields"))], fields)
-    return p.select("sha", "page_id", F.explode(F.array(request, F.when(again, revisit).otherwise(response), metadata)).alias("value"))
+    return p.select(F.explode(F.array(request, F.when(again, revisit).otherwise(response), metadata)).alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> str:
-    """Archives below ``path``, each of about ``file_bytes``."""
-    total = pages.select(F.sum(F.octet_length("html") + F.lit(1500))).first()[0] or 0
-    records = archive_records(pages).repartition(int(total // file_bytes) + 1, "page_id", "sha")
-    records.select("value").write.option("lineSep", CRLF + CRLF).text(path)
+    """Archives below ``path``, each of about ``file_bytes``: records are written where the join on digests left them."""
+    total, n = pages.select(F.sum(F.octet_length("html") + F.lit(1500)), F.count(F.lit(1))).first()
+    most = max(3, int(3 * (n or 1) * file_bytes // (total or 1)))
+    archive_records(pages).select("value").write.options(lineSep=CRLF + CRLF, compression="gzip", maxRecordsPerFile=most).text(path)
     return path
 
 
@@ -107,7 +108,8 @@ def read_archives(spark, path: str, with_payload: bool = False) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, held = [], 0
-                for head, block in parse_records(batch.column(0)[i].as_py()):
+                content = batch.column(0)[i].as_py()
+                for head, block in parse_records(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
                     rows.append(row(head, block))
                     held += len(block) if with_payload else 0
                     if len(rows) == 5000 or held > 32 << 20:
@@ -153,13 +155,15 @@ def captures_of(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = write_archives(pages, fresh_path(spark, "warc"))
     page = F.col("metadata")[0]["fields"]["page-id"].try_cast("long")
-    c = assemble(read_archives(spark, path)).select("record_id", page.alias("page_id"), "response.record_type", F.col("response.refers_to").alias("refers_id"),
+    # a response stands for itself, so that no key is null
+    c = assemble(written(read_archives(spark, path), "records")).select("record_id", page.alias("page_id"), "response.record_type",
+                                                    F.coalesce("response.refers_to", "record_id").alias("refers_id"),
                                                     "response.payload_bytes", "response.payload_digest", "response.digest")
-    firsts = c.where("record_type = 'response' AND payload_bytes >= 1").groupBy(F.col("record_id").alias("refers_id")).agg(
+    firsts = c.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_id")).agg(
         F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("first_bytes"), F.max("payload_digest").alias("first_digest"))
     return c.join(firsts, "refers_id", "left").select(
         "page_id", F.coalesce("payload_bytes", "first_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "first_digest").alias("payload_digest"),
-        "record_type", "refers_to")
+        "record_type", F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"))
 
 
 def op1_warc_transactions(spark, sf_dir):
