@@ -61,8 +61,8 @@ def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = SHARE, c
     d = d.withColumn("p", F.col("wanted") - F.col("whole"))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     d = d.withColumn("place", F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(F.col("u")))
-    d = d.withColumn("cell", F.floor(F.col("place") * cells))
     cell = ["nul", "src", "cell"]
+    d = d.withColumn("cell", F.floor(F.col("place") * cells)).repartition(*cell)  # else the order of a whole source can end in one task
     inner = Window.partitionBy(*cell).orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("upto", F.sum("size").over(inner))
     per_cell = d.groupBy(*cell).agg(F.sum("size").alias("cell_size"))
