@@ -24,7 +24,7 @@ from factsieve.llm.common import bit_filter, filter_place, may_hold, table, writ
 from factsieve.llm.packing import by_bytes
 from factsieve.llm.shingles import mixed, shingle_sets
 
-STEP_BYTES = 3 << 20
+STEP_BYTES = 1 << 20
 #: Tokens that come last in the order: a token counts if a batch of texts has it so often; so many of the most frequent are told apart.
 #: Any order gives the same result, so this bounds a broadcast (2 MB), not the work done.
 OFTEN, LAST_TOKENS = 12, 1 << 18
@@ -210,8 +210,26 @@ def open_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "n", "pos", "sid").mapInArrow(run, "a long, b long").distinct()
 
 
-def candidate_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """sid, n, tokens (64-bit numbers, ascending, as binary) of the sets named in ``pairs``, each from the document of least id.
+def signature(tokens: np.ndarray) -> bytes:
+    """A bit per token, in a power of two of bits, at least 8 per token. Halves laid over each other give the shorter signature of the same set."""
+    bits = 1 << max(6, int(8 * len(tokens) - 1).bit_length())
+    marks = np.zeros(bits, bool)
+    marks[(mixed(tokens) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(marks).tobytes()
+
+
+def most_shared(na: int, sa: bytes, nb: int, sb: bytes) -> int:
+    """No more than this can two sets share: each bit that only one of them has is a token that the other lacks."""
+    a, b = np.frombuffer(sa, np.uint8), np.frombuffer(sb, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return min(na - int(np.bitwise_count(a & ~b).sum()), nb - int(np.bitwise_count(b & ~a).sum()))
+
+
+def set_rows(docs: DataFrame, sets: DataFrame, pairs: DataFrame, write: str) -> DataFrame:
+    """sid, n and the ``tokens`` (64-bit numbers, ascending) or the ``signature`` as binary, of the sets in ``pairs``, each from the document of least id.
 
     A bit filter of fixed size spares the shingling of most other documents; what it lets through by chance goes in the join that follows.
     """
@@ -224,18 +242,31 @@ def candidate_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFr
 
     def run(batches):
         for part, found in _batches(1, batches, needed):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_id(s) if len(s) else None for s in found], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())],
-                                             names=["doc_id", "sid", "tokens"])
+            data = [s.astype("<u8").tobytes() if write == "tokens" else signature(s) for s in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_id(s) if len(s) else None for s in found], pa.int64()),
+                                              pa.array([len(s) for s in found], pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "sid", "n", write])
 
-    d = docs.select(F.col("doc_id").cast("long"), "text", filter_place("doc_id").alias("h"))
-    tokens = d.mapInArrow(run, "doc_id long, sid long, tokens binary")
-    return tokens.join(need, ["doc_id", "sid"], "left_semi").dropDuplicates(["sid"]).select("sid", (F.length("tokens") / 8).cast("long").alias("n"), "tokens")
+    d = docs.select(F.col("doc_id").cast("long"), "text", filter_place("doc_id").alias("place"))
+    rows = d.mapInArrow(run, f"doc_id long, sid long, n long, {write} binary")
+    return rows.join(need, ["doc_id", "sid"], "left_semi").dropDuplicates(["sid"]).select("sid", "n", write)
 
 
-def compared(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """a, b, na, nb, shared: the overlap of each pair."""
+def compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, na, nb, shared of the pairs: their overlap if they may be linked, otherwise null. First by signatures, then by tokens."""
 
-    def run(batches):
+    def joined(some: DataFrame, rows: DataFrame, data: str) -> DataFrame:
+        left = rows.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col(data).alias("da"))
+        right = rows.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col(data).alias("db"))
+        return some.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "da", "db")
+
+    def by_signature(batches):
+        for batch in batches:
+            na, nb = (batch.column(c).to_pylist() for c in (2, 3))
+            most = [most_shared(*x) for x in zip(na, batch.column(4).to_pylist(), nb, batch.column(5).to_pylist(), strict=True)]
+            keep = np.array(most, np.int64) >= least_overlap(np.array(na, np.int64), np.array(nb, np.int64))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    def by_tokens(batches):
         for batch in batches:
             shared = []
             for x, y in zip(batch.column(4), batch.column(5), strict=True):
@@ -245,21 +276,21 @@ def compared(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
                 shared.append(int((y[at] == x).sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int64())], names=["a", "b", "na", "nb", "shared"])
 
-    left = tokens.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = tokens.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long, na long, nb long, shared long")
+    marks = set_rows(docs, sets, pairs, "signature")
+    likely = written(joined(pairs, marks, "signature").mapInArrow(by_signature, "a long, b long"), "likely")
+    tokens = set_rows(docs, sets, likely, "tokens")
+    return joined(likely, tokens, "tokens").mapInArrow(by_tokens, "a long, b long, na long, nb long, shared long")
 
 
 def derived(pairs: DataFrame, seen: DataFrame) -> DataFrame:
-    """a, b, linked: what the overlaps with a common hub say of a pair: true, false, or null if it must be compared.
+    """``pairs`` (a, b, na, nb) with linked: what the overlaps with a common hub say of a pair: true, false, or null if it must be compared.
 
     With overlaps p and q of the pair with a hub of H tokens, the pair shares at least p + q - H, and at most min(p, q) within the hub
     and min(na - p, nb - q) outside.
     """
-    half = seen.select(F.col("a").alias("hub"), F.col("b").alias("x"), F.col("na").alias("hub_n"), F.col("nb").alias("n"), "shared")
-    one = half.select("hub", "hub_n", F.col("x").alias("a"), F.col("n").alias("na"), F.col("shared").alias("p"))
-    two = half.select("hub", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("q"))
+    half = seen.select(F.col("a").alias("hub"), F.col("b").alias("x"), F.col("na").alias("hub_n"), "shared")
+    one = half.select("hub", "hub_n", F.col("x").alias("a"), F.col("shared").alias("p"))
+    two = half.select("hub", F.col("x").alias("b"), F.col("shared").alias("q"))
     with_hubs = pairs.join(one, "a").join(two, ["b", "hub"])
     need = _least_overlap(F.col("na"), F.col("nb"))
     most = F.least("p", "q") + F.least(F.col("na") - F.col("p"), F.col("nb") - F.col("q"))
@@ -302,14 +333,16 @@ def join(docs: DataFrame) -> DataFrame:
     lists = written(shared_lists(postings(docs, last)), "lists")
     pairs = written(hub_pairs(lists), "pairs")
     links = "shared >= ceil(4 * (na + nb) / 9)"
-    seen = written(compared(pairs, candidate_sets(docs, sets, pairs)), "compared")
+    seen = written(compared(docs, sets, pairs), "compared")
     linked = seen.where(links).select("a", "b")
     classes = written(components(linked), "classes")
-    rest = open_pairs(lists, classes).join(pairs, ["a", "b"], "left_anti")
-    rest = written(derived(rest, seen), "open")
+    rest = written(open_pairs(lists, classes).join(pairs, ["a", "b"], "left_anti"), "open")
+    size = sets.where("sid IS NOT NULL").select("sid", "n").distinct()
+    rest = rest.join(size.select(F.col("sid").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b")
+    rest = written(derived(rest, seen), "derived")
     ask = rest.where("linked IS NULL").select("a", "b")
     if not ask.isEmpty():
-        more = compared(ask, candidate_sets(docs, sets, ask)).where(links).select("a", "b")
+        more = compared(docs, sets, ask).where(links).select("a", "b")
     else:
         more = spark.createDataFrame([], "a long, b long")
     more = written(more.union(rest.where("linked").select("a", "b")), "links")

@@ -26,7 +26,7 @@ END_ID = 1
 #: Numbering of pieces of one length is split in so many parts.
 PARTS = 64
 #: Text that one step of a task tokenizes, and words whose ids a worker remembers.
-STEP_BYTES, REMEMBERED = 8 << 20, 1_000_000
+STEP_BYTES, REMEMBERED = 4 << 20, 500_000
 #: Lower-case words of the Latin range: one word is one pre-token, a mark after it another.
 PLAIN = re.compile(r"[a-zà-öø-ÿ]+[.,]?")
 

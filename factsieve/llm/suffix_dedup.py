@@ -23,7 +23,7 @@ from factsieve.llm.packing import by_bytes
 from factsieve.llm.shingles import _BASE, _BYTE, _INVERSE, mixed, powers, text_bytes
 
 WINDOW, ANCHOR = 400, 128
-STEP_BYTES = 3 << 20
+STEP_BYTES = 1 << 20
 #: Text that one suffix sort takes, and the width of the strips in which a group of segments beyond it is cut.
 SORT_BYTES, STRIP = 1 << 19, 32
 _EXACT = _BYTE.copy()
