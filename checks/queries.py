@@ -34,10 +34,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table; a file that arrives as fewer partitions than there are cores is spread out."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def docs_en(spark, sf) -> DataFrame:

@@ -209,9 +209,10 @@ def relations() -> str:
 rel_n AS (SELECT record_id, facet_id, count(*) FILTER (state = 'same') AS same_pairs, count(*) FILTER (state = 'changed') AS changed_pairs,
         count(*) FILTER (state = 'unclear') AS incomparable_pairs FROM rel_pairs GROUP BY 1, 2),
 rel_d AS (SELECT record_id, item_id, facet_id, count(*) AS docs, count(*) FILTER (presence = 'present') AS present_docs,
+        count(*) FILTER (presence = 'present' AND side <> 'na') AS stated_docs,
         min(seq) FILTER (presence = 'present') AS fp, min(seq) FILTER (presence = 'missing') AS fm,
         arg_max(presence, seq) AS last_kind FROM facets GROUP BY 1, 2, 3),
-rel AS (SELECT d.record_id, d.item_id, d.facet_id, docs, present_docs, coalesce(same_pairs, 0) AS same_pairs,
+rel AS (SELECT d.record_id, d.item_id, d.facet_id, docs, present_docs, stated_docs, coalesce(same_pairs, 0) AS same_pairs,
         coalesce(changed_pairs, 0) AS changed_pairs, coalesce(incomparable_pairs, 0) AS incomparable_pairs,
         CASE WHEN docs < 2 THEN NULL WHEN changed_pairs > 0 THEN 'different_stated' WHEN incomparable_pairs > 0 THEN 'incomparable'
           WHEN present_docs > 0 AND fm < fp THEN 'newly_stated' WHEN present_docs > 0 AND last_kind = 'missing' THEN 'not_mentioned_later'
@@ -233,8 +234,8 @@ single AS (SELECT s.record_id, s.topic_id, CASE
                     WHEN s.doc_type = 'offer' AND s.topic_id IN ({lst(K.OFFER_MISSING_ASK)}) THEN 'missing' END END AS kind FROM shown s),
 last_type AS (SELECT record_id, arg_max(doc_type, seq) AS lt FROM docs GROUP BY 1),
 between_ AS (SELECT r.record_id, r.item_id AS topic_id, CASE WHEN relation IN ('different_stated', 'incomparable') THEN relation
-        WHEN relation = 'newly_stated' AND item_id IN ({lst(K.NEW_CONDITION_ITEMS)}) THEN relation
-        WHEN relation = 'not_mentioned_later' AND facet_id IN ({firsts}) AND lt = 'contract' THEN relation END AS kind
+        WHEN relation = 'newly_stated' AND stated_docs > 0 AND item_id IN ({lst(K.NEW_CONDITION_ITEMS)}) THEN relation
+        WHEN relation = 'not_mentioned_later' AND stated_docs > 0 AND facet_id IN ({firsts}) AND lt = 'contract' THEN relation END AS kind
         FROM rel r JOIN last_type l ON l.record_id = r.record_id),
 cands AS (SELECT * FROM single WHERE kind IS NOT NULL UNION ALL SELECT * FROM between_ WHERE kind IS NOT NULL),
 keyed AS (SELECT c.*, CASE WHEN topic_id IN ('07', '08') AND (SELECT count(DISTINCT topic_id) FROM cands x WHERE x.record_id = c.record_id AND x.topic_id IN ('07', '08')) = 2

@@ -15,7 +15,8 @@ _MADE: dict[tuple, object] = {}
 
 
 def reused(key: tuple, make: Callable):
-    full = (id(SparkContext._active_spark_context), *key)
+    """``key`` holds all that the expression depends on; a context is told apart by its application."""
+    full = (SparkContext.getOrCreate().applicationId, *key)
     if full not in _MADE:
         _MADE[full] = make()
     return _MADE[full]
@@ -37,4 +38,4 @@ class Steps:
     def apply(self, df: DataFrame) -> DataFrame:
         for cols in self.items:
             df = df.withColumns(cols)
-        return df.drop(*[c for c in df.columns if c.startswith("_")])
+        return df.drop(*{c for cols in self.items for c in cols if c.startswith("_")})

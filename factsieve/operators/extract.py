@@ -46,7 +46,7 @@ def match_lines(docs: DataFrame, pack: RulePack, text: str = "text") -> DataFram
                 .alias("found"))
             for c in pack.criteria])
 
-    return docs.withColumn("hits", reused(("hits", pack.name, text), build))
+    return docs.withColumn("hits", reused(("hits", repr(pack), text), build))
 
 
 def hit_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -100,7 +100,7 @@ def classify_finding(docs: DataFrame, pack: RulePack) -> DataFrame:
         )
 
     build = lambda: F.transform(F.transform(F.transform("hits", with_text), with_finding), claim)
-    return docs.withColumn("claims", reused(("claims", pack.name), build)).drop("hits")
+    return docs.withColumn("claims", reused(("claims", repr(pack)), build)).drop("hits")
 
 
 def rule_extractor(pack: RulePack) -> Callable[[DataFrame], DataFrame]:

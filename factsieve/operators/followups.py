@@ -46,12 +46,16 @@ def doc_candidates(topics: DataFrame) -> DataFrame:
 
 
 def relation_candidates(relations: DataFrame, docs: DataFrame) -> DataFrame:
-    """Candidates from relations (U2). ``docs``: record_id, seq, doc_type."""
+    """Candidates from relations (U2). ``docs``: record_id, seq, doc_type.
+
+    What was stated newly or not again is asked about only if a side really states it: "not applicable" has neither value nor evidence.
+    """
+    stated = F.col("stated_docs") > 0
     last = docs.groupBy("record_id").agg(F.max_by("doc_type", "seq").alias("_last_type"))
     kind = (
         F.when(F.col("relation").isin("different_stated", "incomparable"), F.col("relation"))
-        .when((F.col("relation") == "newly_stated") & F.col("item_id").isin(*K.NEW_CONDITION_ITEMS), "newly_stated")
-        .when((F.col("relation") == "not_mentioned_later") & F.col("facet_id").isin(*[f[0][0] for _, _, f in K.RELATE_ITEMS])
+        .when((F.col("relation") == "newly_stated") & stated & F.col("item_id").isin(*K.NEW_CONDITION_ITEMS), "newly_stated")
+        .when((F.col("relation") == "not_mentioned_later") & stated & F.col("facet_id").isin(*[f[0][0] for _, _, f in K.RELATE_ITEMS])
               & (F.col("_last_type") == "contract"), "not_mentioned_later"))
     return (
         relations.filter(F.col("relation").isNotNull()).join(last, "record_id").withColumn("kind", kind)

@@ -117,7 +117,7 @@ def facet_relations(facets: DataFrame) -> DataFrame:
     flag = lambda cond: F.coalesce(cond, F.lit(False))
     return totals.select(
         *key, "docs", F.col("present").alias("present_docs"), "same_pairs", "changed_pairs", "incomparable_pairs",
-        (F.col("unavailable") > 0).alias("any_unavailable"),
+        (F.col("present") - F.col("na")).alias("stated_docs"), (F.col("unavailable") > 0).alias("any_unavailable"),
         flag((F.col("present") > 0) & (F.col("first_missing") < F.col("first_present"))).alias("newly_stated"),
         flag((F.col("present") > 0) & (F.col("last_missing") == F.col("last"))).alias("not_mentioned_later"),
         relation.alias("relation"))

@@ -53,6 +53,8 @@ def sub_status(e: Column, pack: RulePack) -> Column:
 def boundary_limits(entries: str, pack: RulePack, calculated: Column) -> dict[str, tuple[str, str, Column]]:
     """criterion -> (status it falls to, diagnosis, does not hold up as confirmed)."""
     lines = F.col("lines")
+    # a calculation that failed has lowered 02-a already
+    claimed_calculation = F.coalesce(at(entries, pack, "02-a")["value_kind"] == "calculated", F.lit(False))
     texts = lambda *ids: _quotes_of(entries, pack, *ids)
     quotes = lambda cid: at(entries, pack, cid)["quotes"]
     finding = lambda cid: at(entries, pack, cid)["finding"]
@@ -63,7 +65,7 @@ def boundary_limits(entries: str, pack: RulePack, calculated: Column) -> dict[st
         "01-b": ("MISSING", "unit_not_stated",
                  specific("01-b") & ~F.exists(texts("01-b", "01-a"), lambda t: matches(t, K.WAGE_UNIT))),
         "02-a": ("PARTIAL", "hours_not_quoted",
-                 specific("02-a") & ~calculated & ~F.exists(texts("02-a"), lambda t: matches(t, K.STATED_HOURS))),
+                 specific("02-a") & ~calculated & ~claimed_calculation & ~F.exists(texts("02-a"), lambda t: matches(t, K.STATED_HOURS))),
         "09-a": ("PARTIAL", "rest_day_not_designated_holiday",
                  specific("09-a") & F.forall(context, lambda t: matches(t, K.REST_DAY) & ~matches(t, K.DESIGNATED_HOLIDAY))),
         "10-a": ("PARTIAL", "external_reference_only",
@@ -170,7 +172,7 @@ def evaluate(docs: DataFrame, pack: RulePack, entries: str = "entries", ranges:
     and one all topics, which keeps the plan small.
     """
     df = _with_uncertainty(docs, pack, entries, ranges)
-    return reused(("evaluate", pack.name, entries), lambda: _evaluation(pack, entries)).apply(df)
+    return reused(("evaluate", repr(pack), entries), lambda: _evaluation(pack, entries)).apply(df)
 
 
 def _evaluation(pack: RulePack, entries: str) -> Steps:

@@ -70,12 +70,13 @@ class SpanKeeper(StatefulProcessor):
         if self.spans.exists():
             held = self.spans.get()
             spans, next_id = json.loads(held[0]), int(held[1])
+        whole = lambda v: None if pd.isna(v) else int(v)
         for r in pd.concat(list(rows)).sort_values(["rev", "span_id"]).itertuples(index=False):
             if r.rev < 0:
-                spans.append({"span_id": int(r.span_id), "kind": r.kind, "state": r.state, "start": int(r.start),
-                              "end": int(r.end), "text": r.text})
+                spans.append({"span_id": int(r.span_id), "kind": r.kind, "state": r.state, "start": whole(r.start),
+                              "end": whole(r.end), "text": r.text})
                 next_id = max(next_id, int(r.span_id) + 1)
-            else:
+            elif whole(r.start) is not None:  # an edit without a region changes nothing
                 spans, next_id = step_edit(spans, next_id, int(r.start), int(r.end), int(r.new_end), r.text, 0)
         self.spans.update((json.dumps(spans), next_id))
         yield pd.DataFrame([{"doc_id": key[0], **s} for s in spans],
