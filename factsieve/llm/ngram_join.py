@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factsieve.llm.common import bit_filter, filter_place, may_hold, table, written
@@ -62,10 +62,6 @@ def least_overlap(a, b):
     return -(-4 * (a + b) // 9)
 
 
-def _least_overlap(a: Column, b: Column) -> Column:
-    return F.ceil(4 * (a + b) / 9)
-
-
 def summaries(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n, sid) of documents, and rows (token, often) of tokens that many texts of a batch have."""
 
@@ -170,18 +166,20 @@ def hub_pairs(lists: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long").distinct()
 
 
-def open_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes that share a list and could be linked, by blocks of lists.
+def open_pairs(lists: DataFrame, classes: DataFrame, seen: DataFrame) -> DataFrame:
+    """Pairs (a, b, linked) of different classes that share a list and are linked (true) or could be (false), by blocks of lists.
 
-    Lists with one class are passed over. ``classes``: sid, label; sets without a row are classes of their own.
+    Lists with one class are passed over. ``classes``: sid, label; sets without a row are classes of their own. ``seen`` has the overlaps p
+    and q of a list's sets with its hub of H tokens: two sets share at least p + q - H, and at most min(p, q) within the hub and
+    min(na - p, nb - q) outside. So most pairs are decided here, and only those left open are written out.
     """
 
     def run(batches):
-        for token, sid, n, pos, label in _lists(batches):
+        for token, sid, n, pos, label, hub_n, p in _lists(batches):
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             bounds = np.append(first, len(token))
             mixed_list = np.maximum.reduceat(label, first) != np.minimum.reduceat(label, first)
-            out = []
+            out: list[np.ndarray] = []
             for a, b in zip(bounds[:-1][mixed_list], bounds[1:][mixed_list], strict=True):
                 starts = np.arange(a, b, BLOCK)
                 low, high = n[starts], n[np.minimum(starts + BLOCK, b) - 1]  # lists are sorted by size
@@ -196,23 +194,36 @@ def open_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
                         if i == j:
                             ok &= np.triu(np.ones(ok.shape, bool), 1)
                         k, m = np.nonzero(ok)
-                        if len(k):
-                            out.append(np.stack([np.minimum(sid[x][k], sid[y][m]), np.maximum(sid[x][k], sid[y][m])], 1))
+                        k, m = k + s, m + starts[j]
+                        need = least_overlap(n[k], n[m])
+                        known = (p[k] >= 0) & (p[m] >= 0)
+                        most = np.minimum(p[k], p[m]) + np.minimum(n[k] - p[k], n[m] - p[m])
+                        sure = known & (p[k] + p[m] - hub_n[k] >= need)
+                        keep = sure | ~known | (most >= need)
+                        if keep.any():
+                            k, m = k[keep], m[keep]
+                            out.append(np.stack([np.minimum(sid[k], sid[m]), np.maximum(sid[k], sid[m]), sure[keep]], 1))
                 if sum(map(len, out)) > 200_000:
-                    both, out = np.unique(np.concatenate(out), axis=0), []
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+                    yield rows_of(out)
+                    out = []
             if out:
-                both = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+                yield rows_of(out)
 
-    rows = lists.select("token", "sid", "n", "pos").join(classes, "sid", "left").select(
-        "token", "sid", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), F.coalesce("label", "sid").alias("label"))
-    return rows.repartition("token").sortWithinPartitions("token", "n", "pos", "sid").mapInArrow(run, "a long, b long").distinct()
+    def rows_of(out):
+        three = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(three[:, 0]), pa.array(three[:, 1]), pa.array(three[:, 2] == 1)], names=["a", "b", "linked"])
+
+    overlap = seen.select(F.col("a").alias("hub"), F.col("b").alias("sid"), F.col("shared").alias("p"))
+    rows = lists.join(classes, "sid", "left").join(overlap, ["hub", "sid"], "left").select(
+        "token", "sid", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), F.coalesce("label", "sid").alias("label"),
+        F.col("hub_n").cast("long").alias("hub_n"), F.when(F.col("sid") == F.col("hub"), F.col("n").cast("long")).otherwise(F.coalesce("p", F.lit(-1))).alias("p"))
+    found = rows.repartition("token").sortWithinPartitions("token", "n", "pos", "sid").mapInArrow(run, "a long, b long, linked boolean")
+    return found.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """A bit per token, in a power of two of bits, at least 8 per token. Halves laid over each other give the shorter signature of the same set."""
-    bits = 1 << max(6, int(8 * len(tokens) - 1).bit_length())
+    """A bit per token, in a power of two of bits, at least 2 per token. Halves laid over each other give the shorter signature of the same set."""
+    bits = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
     marks = np.zeros(bits, bool)
     marks[(mixed(tokens) & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(marks).tobytes()
@@ -251,8 +262,8 @@ def set_rows(docs: DataFrame, sets: DataFrame, pairs: DataFrame, write: str) ->
     return rows.join(need, ["doc_id", "sid"], "left_semi").dropDuplicates(["sid"]).select("sid", "n", write)
 
 
-def compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, na, nb, shared of the pairs: their overlap if they may be linked, otherwise null. First by signatures, then by tokens."""
+def compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, all_of_them: bool) -> DataFrame:
+    """a, b, na, nb, shared (their overlap) of all pairs, or of those only whose signatures say that they may be linked."""
 
     def joined(some: DataFrame, rows: DataFrame, data: str) -> DataFrame:
         left = rows.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col(data).alias("da"))
@@ -276,29 +287,14 @@ def compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 shared.append(int((y[at] == x).sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int64())], names=["a", "b", "na", "nb", "shared"])
 
-    marks = set_rows(docs, sets, pairs, "signature")
-    likely = written(joined(pairs, marks, "signature").mapInArrow(by_signature, "a long, b long"), "likely")
+    likely = pairs
+    if not all_of_them:
+        marks = set_rows(docs, sets, pairs, "signature")
+        likely = written(joined(pairs, marks, "signature").mapInArrow(by_signature, "a long, b long"), "likely")
     tokens = set_rows(docs, sets, likely, "tokens")
     return joined(likely, tokens, "tokens").mapInArrow(by_tokens, "a long, b long, na long, nb long, shared long")
 
 
-def derived(pairs: DataFrame, seen: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, na, nb) with linked: what the overlaps with a common hub say of a pair: true, false, or null if it must be compared.
-
-    With overlaps p and q of the pair with a hub of H tokens, the pair shares at least p + q - H, and at most min(p, q) within the hub
-    and min(na - p, nb - q) outside.
-    """
-    half = seen.select(F.col("a").alias("hub"), F.col("b").alias("x"), F.col("na").alias("hub_n"), "shared")
-    one = half.select("hub", "hub_n", F.col("x").alias("a"), F.col("shared").alias("p"))
-    two = half.select("hub", F.col("x").alias("b"), F.col("shared").alias("q"))
-    with_hubs = pairs.join(one, "a").join(two, ["b", "hub"])
-    need = _least_overlap(F.col("na"), F.col("nb"))
-    most = F.least("p", "q") + F.least(F.col("na") - F.col("p"), F.col("nb") - F.col("q"))
-    say = F.when(F.col("p") + F.col("q") - F.col("hub_n") >= need, True).when(most < need, False)
-    told = with_hubs.groupBy("a", "b").agg(F.max(say).alias("linked"))
-    return pairs.join(told, ["a", "b"], "left")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """sid, label: the least set number reachable over edges (a, b). Rounds of large and small stars, each written, until nothing changes."""
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
@@ -333,16 +329,13 @@ def join(docs: DataFrame) -> DataFrame:
     lists = written(shared_lists(postings(docs, last)), "lists")
     pairs = written(hub_pairs(lists), "pairs")
     links = "shared >= ceil(4 * (na + nb) / 9)"
-    seen = written(compared(docs, sets, pairs), "compared")
+    seen = written(compared(docs, sets, pairs, True), "compared")
     linked = seen.where(links).select("a", "b")
     classes = written(components(linked), "classes")
-    rest = written(open_pairs(lists, classes).join(pairs, ["a", "b"], "left_anti"), "open")
-    size = sets.where("sid IS NOT NULL").select("sid", "n").distinct()
-    rest = rest.join(size.select(F.col("sid").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b")
-    rest = written(derived(rest, seen), "derived")
-    ask = rest.where("linked IS NULL").select("a", "b")
+    rest = written(open_pairs(lists, classes, seen).join(pairs, ["a", "b"], "left_anti"), "open")
+    ask = rest.where("NOT linked").select("a", "b")
     if not ask.isEmpty():
-        more = compared(docs, sets, ask).where(links).select("a", "b")
+        more = compared(docs, sets, ask, False).where(links).select("a", "b")
     else:
         more = spark.createDataFrame([], "a long, b long")
     more = written(more.union(rest.where("linked").select("a", "b")), "links")
