@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factsieve.llm.common import table, written
+from factsieve.llm.packing import by_bytes
 
 #: Fixed word lists: elements without end tag, elements inside a line of text, elements whose content is never shown as text, noise by tag and by class.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +36,8 @@ ARTICLE = {"article", "main"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Least importance of a branch, distinct pages from which on a host's tree is used, and how fast lower levels count less.
 LEAST, PAGES, DECAY = 0.2, 5, 0.9
+#: Bytes of html parsed before their rows are handed on.
+STEP_BYTES = 1 << 20
 
 
 class PageParser(HTMLParser):
@@ -123,41 +126,53 @@ class PageParser(HTMLParser):
 
 
 def dom(pages: DataFrame) -> DataFrame:
-    """Rows of each page: one of kind page, one per text block and one per layout. uid tells rows of the table apart.
+    """A row per page: its digest ``copy`` of all blocks, ``nodes`` and ``blocks``. uid tells rows of the table apart.
 
-    first: the row is the first of its path (and of its path and feature) in the page, so rows can be counted as pages. copy: a digest of all blocks.
+    nodes: the page's distinct (kind text or layout, path, feature); first marks one entry of each kind and path, so entries can be counted as pages.
+    blocks: what tags and classes let stand, in page order, with the number of its node. The text of noise is not carried on.
     """
-    schema = ("uid long, page_id long, url string, host string, kind string, i int, path string, feature string, first_path boolean, first_feature boolean, "
-              "text string, noise boolean, article boolean, copy string")
-    names = [c.split()[0] for c in schema.split(", ")]
+    node = pa.list_(pa.struct([("kind", pa.string()), ("path", pa.string()), ("feature", pa.int64()), ("first", pa.bool_())]))
+    block = pa.list_(pa.struct([("node", pa.int32()), ("article", pa.bool_()), ("text", pa.string())]))
+    names = ["uid", "page_id", "url", "host", "copy", "nodes", "blocks"]
+
+    def digest(text: str) -> int:
+        return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+    def of_page(html: str | None) -> tuple[int, list, list]:
+        p = PageParser().page(html or "")
+        nodes: dict[tuple, int] = {}
+        paths: set = set()
+        firsts, blocks = [], []
+
+        def number(kind: str, path: str, content: str) -> int:
+            key = (kind, path, digest(content))
+            if key not in nodes:
+                nodes[key] = len(nodes)
+                firsts.append((kind, path) not in paths)
+                paths.add((kind, path))
+            return nodes[key]
+
+        marked = any(article for _path, _text, _noise, article in p.blocks)
+        for path, text, noise, article in p.blocks:
+            at = number("text", path, text)
+            if not noise and (article or not marked):
+                blocks.append({"node": at, "article": article, "text": text})
+        for path, children in p.layouts:
+            number("layout", path, children)
+        entries = [{"kind": k, "path": x, "feature": f, "first": first} for (k, x, f), first in zip(nodes, firsts, strict=True)]
+        return digest("\n".join(text for _path, text, _noise, _article in p.blocks)), entries, blocks
 
     def parse(batches):
         for batch in batches:
-            rows = []
-            for uid, page_id, url, host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p = PageParser().page(html or "")
-                copy = hashlib.md5("\n".join(b[1] for b in p.blocks).encode("utf-8", "replace")).hexdigest()
-                rows.append((uid, page_id, url, host, "page", -1, None, None, True, True, None, False, False, copy))
-                seen: set = set()
-                marked = any(b[3] for b in p.blocks)
-                for i, (path, text, noise, article) in enumerate(p.blocks):
-                    feature = hashlib.md5(text.encode("utf-8", "replace")).hexdigest()
-                    rows.append((uid, page_id, url, host, "text", i, path, feature, path not in seen, (path, feature) not in seen, text, noise or (marked and not article), article, copy))
-                    seen |= {path, (path, feature)}
-                layouts: set = set()
-                for i, (path, children) in enumerate(p.layouts):
-                    feature = hashlib.md5(children.encode()).hexdigest()
-                    rows.append((uid, page_id, url, host, "layout", i, path, feature, path not in layouts, (path, feature) not in layouts, None, False, False, copy))
-                    layouts |= {path, (path, feature)}
-                if len(rows) > 5000:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
-
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
-    arrow = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
+            for i, j in by_bytes(batch.column(4), STEP_BYTES):
+                part = batch.slice(i, j - i)
+                copies, nodes, blocks = zip(*(of_page(html) for html in part.column(4).to_pylist()), strict=True)
+                columns = [*part.columns[:4], pa.array(copies, pa.int64()), pa.array(nodes, node), pa.array(blocks, block)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    schema = ("uid long, page_id long, url string, host string, copy long, nodes array<struct<kind: string, path: string, feature: long, first: boolean>>, "
+              "blocks array<struct<node: int, article: boolean, text: string>>")
     return pages.select(F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("long"), "url", host.alias("host"), "html").mapInArrow(parse, schema)
 
 
@@ -167,9 +182,9 @@ def style_tree(rows: DataFrame, decay: float = DECAY, pages: int = PAGES) -> Dat
     Pages of equal text count once. What reaches the task of a host is one row a path, however many pages it has.
     """
     rows = rows.where("host <> ''")
-    one = rows.where("kind = 'page'").groupBy("host", "copy").agg(F.min("uid").alias("uid"))
-    r = rows.where("kind <> 'page' AND first_feature").join(one.select("uid"), "uid", "left_semi")
-    counts = r.groupBy("host", "kind", "path", "feature").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("first_path").cast("long")).alias("m"))
+    one = rows.groupBy("host", "copy").agg(F.min("uid").alias("uid"))
+    r = rows.select("uid", "host", "nodes").join(one.select("uid"), "uid", "left_semi").select("host", F.explode("nodes").alias("x")).select("host", "x.*")
+    counts = r.groupBy("host", "kind", "path", "feature").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("first").cast("long")).alias("m"))
     paths = counts.groupBy("host", "kind", "path").agg(F.sum("m").alias("m"), F.sum("c").alias("n"), F.sum(F.col("c") * F.ln("c")).alias("clogc"), F.avg(F.ln("c")).alias("meanlog"))
     size = one.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     paths = paths.join(size.where(F.col("pages") >= pages), "host")
@@ -208,16 +223,14 @@ def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     give repeated rows; other columns are ignored. White space inside a block is one space, blocks are joined by one space.
     """
     rows = written(dom(pages), "dom")
-    low = style_tree(rows).where(F.col("importance") < least).select("host", "path", F.lit(True).alias("low"))
-    text = rows.where("kind = 'text' AND NOT noise")
-    judged = text.where("NOT article").join(low, ["host", "path"], "left").where("low IS NULL").select("uid", "i", "text")
-    kept = text.where("article").select("uid", "i", "text").unionByName(judged)
-    heads = rows.where("kind = 'page'").select("uid", "page_id", "url", F.lit(None).cast("int").alias("i"), F.lit(None).cast("string").alias("text"))
-    every = heads.unionByName(kept, allowMissingColumns=True)
-    block = F.when(F.col("i").isNotNull(), F.struct("i", "text"))
-    whole = every.groupBy("uid").agg(F.max("page_id").alias("page_id"), F.max("url").alias("url"), F.array_sort(F.collect_list(block)).alias("b"))
-    joined = F.array_join(F.transform("b", lambda x: x["text"]), " ")
-    return whole.select("page_id", "url", joined.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    low = style_tree(rows).where(F.col("importance") < least).groupBy("host").agg(F.collect_list("path").alias("low"))
+    of_host = rows.select("page_id", "url", "host", "nodes", "blocks").join(low, "host", "left")
+    path = lambda x: F.get("nodes", x["node"])["path"]
+    own = F.transform(F.filter("blocks", lambda x: ~x["article"]), path)
+    gone = of_host.withColumn("gone", F.coalesce(F.array_intersect(own, "low"), F.array().cast("array<string>")))
+    stay = F.filter("blocks", lambda x: x["article"] | ~F.array_contains("gone", path(x)))
+    text = F.array_join(F.transform(stay, lambda x: x["text"]), " ")
+    return gone.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op8_html_extraction(spark, sf_dir):
