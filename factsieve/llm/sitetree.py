@@ -223,7 +223,8 @@ def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     give repeated rows; other columns are ignored. White space inside a block is one space, blocks are joined by one space.
     """
     rows = written(dom(pages), "dom")
-    low = style_tree(rows).where(F.col("importance") < least).groupBy("host").agg(F.collect_list("path").alias("low"))
+    # written first, so that its size is known when the join is planned: the pages are shuffled only if it is too large to be sent to them
+    low = written(style_tree(rows).where(F.col("importance") < least).groupBy("host").agg(F.collect_list("path").alias("low")), "low")
     of_host = rows.select("page_id", "url", "host", "nodes", "blocks").join(low, "host", "left")
     path = lambda x: F.get("nodes", x["node"])["path"]
     own = F.transform(F.filter("blocks", lambda x: ~x["article"]), path)
