@@ -42,7 +42,7 @@ def segments(texts: pa.Array, window: int = WINDOW, anchor: int = ANCHOR) -> tup
     inverse = powers(_INVERSE, n)
     grams = mixed((sums[anchor:] - sums[: n - anchor + 1]) * inverse[: n - anchor + 1])
     count = len(grams)
-    place_bits = np.uint64((1 << 24) - 1)
+    place_bits = np.uint64((1 << 32) - 1)  # more than a text can have bytes; grams alike in the bits left are told apart by place
     ranked = np.full(-(-count // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
     ranked[:count] = (grams & ~place_bits) | np.arange(count, dtype=np.uint64)
     rows = ranked.reshape(-1, width)
