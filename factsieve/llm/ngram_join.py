@@ -25,9 +25,9 @@ from factsieve.llm.packing import by_bytes
 from factsieve.llm.shingles import mixed, shingle_sets
 
 STEP_BYTES = 1 << 20
-#: Tokens that come last in the order: a token counts if a batch of texts has it so often; so many of the most frequent are told apart.
-#: Any order gives the same result, so this bounds a broadcast (2 MB), not the work done.
-OFTEN, LAST_TOKENS = 12, 1 << 18
+#: Tokens fall into so many cells by their leading bits. Cells that stand out in a task are counted, and so many of the most frequent come last
+#: in the order of tokens. Any order gives the same result, so these bound a broadcast (4 MB) and memory, not the work done.
+CELL_BITS, LAST_CELLS = 22, 1 << 20
 #: Sets that meet at once in a list.
 BLOCK = 64
 
@@ -62,30 +62,38 @@ def least_overlap(a, b):
     return -(-4 * (a + b) // 9)
 
 
+def cells(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
 def summaries(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, sid) of documents, and rows (token, often) of tokens that many texts of a batch have."""
+    """Rows (doc_id, n, sid) of documents, and rows (cell, often) of cells of tokens that stand out among the texts of a task.
+
+    A cell stands out if it has clearly more tokens than tokens of their own would give it.
+    """
 
     def run(batches):
+        counts = np.zeros(1 << CELL_BITS, np.int64)
         for part, sets in _batches(1, batches):
             n = pa.array([len(s) for s in sets], pa.int64())
             sid = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
             empty = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), n, sid, empty, empty], names=["doc_id", "n", "sid", "token", "often"])
-            token, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-            token, count = token[count >= OFTEN], count[count >= OFTEN]
-            if len(token):
-                empty = pa.nulls(len(token), pa.int64())
-                yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(token.view(np.int64)), pa.array(count)], names=["doc_id", "n", "sid", "token", "often"])
+            yield pa.RecordBatch.from_arrays([part.column(0), n, sid, empty, empty], names=["doc_id", "n", "sid", "cell", "often"])
+            np.add.at(counts, cells(np.concatenate([*sets, np.zeros(0, np.uint64)])), 1)
+        mean = counts.mean()
+        often = np.flatnonzero(counts > mean + 3 * np.sqrt(mean) + 2)
+        empty = pa.nulls(len(often), pa.int64())
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(often), pa.array(counts[often])], names=["doc_id", "n", "sid", "cell", "often"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sid long, token long, often long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sid long, cell long, often long")
 
 
 def postings(docs: DataFrame, last: np.ndarray) -> DataFrame:
-    """token, sid, n, pos: each set under its first tokens. last: the frequent tokens, rarest first."""
-    by_token = np.argsort(last)
-    ordered = last[by_token]
+    """token, sid, n, pos: each set under its first tokens. last: the frequent cells, rarest first; their tokens follow all others."""
 
     def run(batches):
+        rank = np.zeros(1 << CELL_BITS, np.int32)
+        rank[last] = np.arange(1, len(last) + 1)
         for _part, sets in _batches(1, batches):
             rows, seen = [], set()
             for s in sets:
@@ -93,14 +101,11 @@ def postings(docs: DataFrame, last: np.ndarray) -> DataFrame:
                     continue
                 seen.add(sid)
                 k = probe_part(len(s))
-                if len(ordered):
-                    at = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
-                    late = ordered[at] == s
-                    first = s[~late][:k]
-                    if len(first) < k:
-                        first = np.concatenate([first, last[np.sort(by_token[at[late]])][: k - len(first)]])
-                else:
-                    first = s[:k]
+                place = rank[cells(s)]
+                first = s[place == 0][:k]
+                if len(first) < k:
+                    late = s[place > 0]
+                    first = np.concatenate([first, late[np.argsort(place[place > 0], kind="stable")][: k - len(first)]])
                 rows.append((first, sid, len(s)))
             if rows:
                 sizes = [len(r[0]) for r in rows]
@@ -324,8 +329,8 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     summary = written(summaries(docs), "summary")
     sets = summary.where("n IS NOT NULL").select("doc_id", "n", "sid")
-    often = summary.where("token IS NOT NULL").groupBy("token").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "token").limit(LAST_TOKENS)
-    last = np.array([r["token"] for r in often.select("token").collect()][::-1], np.int64).view(np.uint64)
+    often = summary.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "cell").limit(LAST_CELLS)
+    last = often.select(F.col("cell").cast("int").alias("cell")).toArrow().column(0).to_numpy()[::-1].copy()
     lists = written(shared_lists(postings(docs, last)), "lists")
     pairs = written(hub_pairs(lists), "pairs")
     links = "shared >= ceil(4 * (na + nb) / 9)"
