@@ -28,8 +28,8 @@ STEP_BYTES = 1 << 20
 #: Tokens fall into so many cells by their leading bits. Cells that stand out in a task are counted, and so many of the most frequent come last
 #: in the order of tokens. Any order gives the same result, so these bound a broadcast (4 MB) and memory, not the work done.
 CELL_BITS, LAST_CELLS = 22, 1 << 20
-#: Sets that meet at once in a list.
-BLOCK = 64
+#: Sets that meet at once in a list, and pairs that are looked at or held at once.
+BLOCK, PAIRS = 64, 1 << 18
 
 
 def _batches(column: int, batches, needed=None):
@@ -184,31 +184,47 @@ def open_pairs(lists: DataFrame, classes: DataFrame, seen: DataFrame) -> DataFra
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             bounds = np.append(first, len(token))
             mixed_list = np.maximum.reduceat(label, first) != np.minimum.reduceat(label, first)
+            large = np.diff(bounds) > BLOCK
+
+            def decided(k, m):
+                """Rows (a, b, linked) of the pairs of places k and m."""
+                ok = (label[k] != label[m]) & _possible(n[k], pos[k], n[m], pos[m])
+                k, m = k[ok], m[ok]
+                known = (p[k] >= 0) & (p[m] >= 0)
+                need = least_overlap(n[k], n[m])
+                most = np.minimum(p[k], p[m]) + np.minimum(n[k] - p[k], n[m] - p[m])
+                sure = known & (p[k] + p[m] - hub_n[k] >= need)
+                keep = sure | ~known | (most >= need)
+                k, m = k[keep], m[keep]
+                return np.stack([np.minimum(sid[k], sid[m]), np.maximum(sid[k], sid[m]), sure[keep]], 1)
+
+            def met():
+                # lists of one block: each place with those after it in its list, many lists at once
+                a, b = bounds[:-1][mixed_list & ~large], bounds[1:][mixed_list & ~large]
+                places = np.repeat(a - np.cumsum(np.append(0, b - a))[:-1], b - a) + np.arange((b - a).sum())
+                after = np.repeat(b, b - a) - 1 - places
+                ends = np.cumsum(after)
+                cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(PAIRS, ends[-1] if len(ends) else 0, PAIRS)), [len(places)]]))
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    k = np.repeat(places[i:j], after[i:j])
+                    yield k, k + 1 + np.arange(len(k)) - np.repeat(np.cumsum(after[i:j]) - after[i:j], after[i:j])
+                for a, b in zip(bounds[:-1][mixed_list & large], bounds[1:][mixed_list & large], strict=True):
+                    starts = np.arange(a, b, BLOCK)
+                    low, high = n[starts], n[np.minimum(starts + BLOCK, b) - 1]  # lists are sorted by size
+                    ahead = np.maximum.reduceat((n - pos)[a:b], starts - a)  # what follows the token, itself included, at most
+                    for i, s in enumerate(starts):
+                        # blocks whose sizes or places rule out every pair are skipped
+                        meets = np.flatnonzero((5 * high[i] >= 4 * low[i:]) & (np.minimum(ahead[i], ahead[i:]) >= least_overlap(low[i], low[i:]))) + i
+                        x = np.arange(s, min(s + BLOCK, b))
+                        for j in meets:
+                            y = np.arange(starts[j], min(starts[j] + BLOCK, b))
+                            k, m = np.repeat(x, len(y)), np.tile(y, len(x))
+                            yield (k[k < m], m[k < m]) if i == j else (k, m)
+
             out: list[np.ndarray] = []
-            for a, b in zip(bounds[:-1][mixed_list], bounds[1:][mixed_list], strict=True):
-                starts = np.arange(a, b, BLOCK)
-                low, high = n[starts], n[np.minimum(starts + BLOCK, b) - 1]  # lists are sorted by size
-                ahead = np.maximum.reduceat((n - pos)[a:b], starts - a)  # what follows the token, itself included, at most
-                for i, s in enumerate(starts):
-                    # blocks whose sizes or places rule out every pair are skipped
-                    meets = np.flatnonzero((5 * high[i] >= 4 * low[i:]) & (np.minimum(ahead[i], ahead[i:]) >= least_overlap(low[i], low[i:]))) + i
-                    x = slice(s, min(s + BLOCK, b))
-                    for j in meets:
-                        y = slice(starts[j], min(starts[j] + BLOCK, b))
-                        ok = (label[x][:, None] != label[y][None]) & _possible(n[x][:, None], pos[x][:, None], n[y][None], pos[y][None])
-                        if i == j:
-                            ok &= np.triu(np.ones(ok.shape, bool), 1)
-                        k, m = np.nonzero(ok)
-                        k, m = k + s, m + starts[j]
-                        need = least_overlap(n[k], n[m])
-                        known = (p[k] >= 0) & (p[m] >= 0)
-                        most = np.minimum(p[k], p[m]) + np.minimum(n[k] - p[k], n[m] - p[m])
-                        sure = known & (p[k] + p[m] - hub_n[k] >= need)
-                        keep = sure | ~known | (most >= need)
-                        if keep.any():
-                            k, m = k[keep], m[keep]
-                            out.append(np.stack([np.minimum(sid[k], sid[m]), np.maximum(sid[k], sid[m]), sure[keep]], 1))
-                if sum(map(len, out)) > 200_000:
+            for k, m in met():
+                out.append(decided(k, m))
+                if sum(map(len, out)) > PAIRS:
                     yield rows_of(out)
                     out = []
             if out:
