@@ -152,7 +152,7 @@ def shingle_classes(data):
     return Counter((data[i][0], len(sets[i]), min((x for x in ids[find(i)] if x is not None), default=None)) for i in sets)
 
 
-def test_ngram_join(docs, none, spark):
+def test_ngram_join(docs, none, spark, monkeypatch):
     assert Counter(map(tuple, ngram_join.join(docs).collect())) == shingle_classes([r[:2] for r in rows()])
     assert ngram_join.join(none).count() == 0
     rng = random.Random(9)  # chains of copies, each near the next one only
@@ -161,6 +161,8 @@ def test_ngram_join(docs, none, spark):
         words = [*words[3:], *prose(rng, 3).split()]
         chain.append((100 - k, " ".join(words)))
     frame = spark.createDataFrame(chain, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    monkeypatch.setattr(ngram_join, "PAIRS", 3)
     assert Counter(map(tuple, ngram_join.join(frame).collect())) == shingle_classes(chain)
 
 
