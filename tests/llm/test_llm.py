@@ -288,6 +288,22 @@ def test_secrets(spark):
     assert secrets.scan(frame.limit(0)).count() == 0
 
 
+def test_secrets_low_digits(spark):
+    """Keys with few digits or behind NAME= are found, but for the share of false discoveries; long words, names and paths are not."""
+    rng = random.Random(8)
+    abc = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    letters = ["".join(rng.choice(abc) for _ in range(20 + i)) for i in range(40)]
+    named = ["".join(rng.choice(abc + "0123456789+/") for _ in range(40)) for _ in range(40)]
+    words = ["".join(rng.choice(WORDS) for _ in range(rng.randint(7, 12))) for _ in range(60)]
+    names = ["configuration_of_the_parameters", "usr/local/share/documentation/pages", "internationalizationOfLongNames", "MAXIMUM_NUMBER_OF_CONNECTIONS", "-" * 40]
+    strings = [*letters, *named, *words, *names]
+    texts = [f"{prose(rng, 40)} {('AWS_SECRET_ACCESS_KEY=', 'sig=')[i % 2] if k in named else ''}{k} {prose(rng, 40)}" for i, k in enumerate(strings)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = [got[i] == f"random:{texts[i].index(k)}:{texts[i].index(k) + len(k)}" for i, k in enumerate(strings)]
+    assert sum(found[:40]) >= 32 and sum(found[40:80]) >= 32
+    assert not any(got[i] for i in range(80, len(strings)))
+
+
 def test_warc(spark):
     big = "<p>ü" + "x" * 1200
     tricky = "WARC/1.1\r\nContent-Length: 3\r\n\r\n\r\n\r\n" + "y" * 1100
