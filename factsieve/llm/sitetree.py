@@ -3,7 +3,7 @@
 Pages of a host are merged by element path (tag and class from the root). A path's importance joins two entropies over the host's
 distinct pages: that of the ways in which its children are laid out (presentation), and, at text, that of the content, which is low
 when every page has its own and high when all repeat one. A branch goes if its importance is low, if its tag or class says what it is (menu, footer, advert,
-comments, ...), or, on pages that mark their article, if it stands outside. Importance never removes what a page marks as
+comments, ...; a class or form never condemns a branch with an article or most of the text), or, on pages that mark their article, if it stands outside. Importance never removes what a page marks as
 its article: copies of one article on a host would otherwise erase each other.
 """
 
@@ -32,6 +32,11 @@ NOISE_WORDS = set("ad ads adv advert advertisement adverts advertising sponsor s
                   "disqus respond share sharing social related recommended pagination pager toolbar masthead copyright disclaimer gdpr".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 ARTICLE = {"article", "main"}
+#: Cues under which an article is a comment or a teaser if the page has another, and beginnings of class names that only say what a page has.
+ASIDE_WORDS = set("comment comments reply ad advert promo sponsored related".split())
+HAS_WORDS = set("has have no not with without is hide show".split())
+#: Elements that may stand in a head: any other ends it.
+HEAD_TAGS = set("title meta link base style script noscript template basefont bgsound".split())
 #: Elements that an open one of the named kind ends by starting.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Least importance of a branch, distinct pages from which on a host's tree is used, and how fast lower levels count less.
@@ -45,8 +50,11 @@ class PageParser(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[list] = []  # tag, path, noise, article, children, hidden
+        self.stack: list[list] = []  # tag, path, noise, article, children, hidden, cues
         self.blocks: list[tuple[str, str, bool, bool]] = []
+        self.cues: list[tuple[int, ...]] = []  # of each block, the branches above it that a cue or form would condemn
+        self.aside: list[bool] = []  # of each such branch
+        self.articles: list[tuple[int, ...]] = []  # of each article, the same
         self.layouts: list[tuple[str, str]] = []
         self.words: list[str] = []
 
@@ -57,14 +65,39 @@ class PageParser(HTMLParser):
             top = next((e for e in reversed(self.stack) if e[0] not in INLINE), ["", "", False, False])
             inner = self.stack[-1] if self.stack else top
             self.blocks.append((top[1], text, inner[2], inner[3]))
+            self.cues.append(inner[6] if self.stack else ())
+
+    def judge(self) -> None:
+        """A cue or form condemns no branch that holds an article or most of the page's text; the style tree is left to judge there."""
+        size, held = 0, [0] * len(self.aside)
+        for (_path, text, noise, _article), cues in zip(self.blocks, self.cues, strict=True):
+            if not noise:
+                size += len(text)
+                for k in cues:
+                    held[k] += len(text)
+        true = [cues for cues in self.articles if not any(self.aside[k] for k in cues)]
+        spared = {k for cues in true or self.articles for k in cues} | {k for k, n in enumerate(held) if 2 * n > size}
+        self.blocks = [(path, text, noise or not spared.issuperset(cues), article) for (path, text, noise, article), cues in zip(self.blocks, self.cues, strict=True)]
+
+    def end_head(self) -> None:
+        """Leaves a head that is open, unless what starts stands in a noscript or template of it."""
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == "head":
+                self.flush()
+                self.leave(i)
+                return
+            if self.stack[i][0] in HIDDEN:
+                return
 
     def leave(self, keep: int) -> None:
         while len(self.stack) > keep:
-            tag, path, _noise, _article, children, _hidden = self.stack.pop()
+            tag, path, _noise, _article, children, _hidden, _cues = self.stack.pop()
             if tag not in INLINE and children:
                 self.layouts.append((path, " ".join(children)))
 
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD_TAGS:
+            self.end_head()
         if tag == "br" or tag in VOID:
             self.words.append(" ")
             if tag == "hr":
@@ -80,32 +113,44 @@ class PageParser(HTMLParser):
                     break
                 if self.stack[i][0] not in INLINE:
                     break
-        _, path, noise, article, _, hidden = self.stack[-1] if self.stack else ("", "", False, False, None, False)
+        _, path, noise, article, _, hidden, cues = self.stack[-1] if self.stack else ("", "", False, False, None, False, ())
         names = f"{a.get('class') or ''} {a.get('id') or ''}".lower()
-        cues = set(re.split(r"[^a-z]+", names))
+        words = set(names.split())
+        for parts in [[w for w in re.split(r"[^a-z]+", name) if w] for name in names.split()]:
+            # the name's first word, or its last one if the first doesn't say that the page has or lacks something
+            if parts and parts[0] not in HAS_WORDS:
+                words |= {parts[0], parts[-1]}
         style = (a.get("style") or "").replace(" ", "").lower()
-        own = tag in NOISE_TAGS or bool(cues & NOISE_WORDS) or (a.get("role") or "").lower() in NOISE_ROLES or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true" or "display:none" in style
-        own |= not article and (tag == "header" or "header" in cues)
-        if tag in ("html", "body") or (tag in ARTICLE and not cues & {"comment", "comments", "reply", "ad", "advert", "promo", "sponsored", "related"}):
-            own = False  # of the page or its text as a whole, such cues say nothing
+        own = (tag in NOISE_TAGS and tag != "form") or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true" or "display:none" in style
+        cue = tag == "form" or bool(words & NOISE_WORDS) or (a.get("role") or "").lower() in NOISE_ROLES or (not article and (tag == "header" or "header" in words))
+        if tag in ("html", "body") or (tag in ARTICLE and not words & ASIDE_WORDS):
+            own = cue = False  # of the page or its text as a whole, such cues say nothing
+        before = noise or bool(cues)
+        if cue and not own:
+            cues = (*cues, len(self.aside))
+            self.aside.append(bool(words & ASIDE_WORDS))
         if tag in INLINE:
-            if own and not noise:
+            if (own or cue) and not before:
                 self.flush()  # the text before a branch of noise in a line stands for itself
-            self.stack.append([tag, path, noise or own, article, [], hidden])
+            self.stack.append([tag, path, noise or own, article, [], hidden, cues])
             return
         label = tag + "".join(f".{c}" for c in sorted(re.sub(r"\d+", "0", names).split()))
         if self.stack:
             block = next((e for e in reversed(self.stack) if e[0] not in INLINE), None)
             if block and (not block[4] or block[4][-1] != label):
                 block[4].append(label)
-        self.stack.append([tag, f"{path}/{label}", noise or own, article or (tag in ARTICLE and not (noise or own)), [], hidden or tag in HIDDEN])
+        marks = tag in ARTICLE and not (noise or own or cue)
+        if marks:
+            self.articles.append(cues)
+        self.stack.append([tag, f"{path}/{label}", noise or own, article or marks, [], hidden or tag in HIDDEN, cues])
 
     def handle_endtag(self, tag):
         if tag == "br":
             self.words.append(" ")
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                noisy_inline = tag in INLINE and self.stack[i][2] and not (i and self.stack[i - 1][2])
+                noisy = [e[2] or bool(e[6]) for e in self.stack[max(0, i - 1) : i + 1]]
+                noisy_inline = tag in INLINE and noisy[-1] and not (i and noisy[0])
                 if tag not in INLINE or noisy_inline:
                     self.flush()
                 self.leave(i)
@@ -114,6 +159,8 @@ class PageParser(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.end_head()
         if not (self.stack and self.stack[-1][5]):
             self.words.append(data)
 
@@ -122,6 +169,7 @@ class PageParser(HTMLParser):
         self.close()
         self.flush()
         self.leave(0)
+        self.judge()
         return self
 
 
@@ -152,7 +200,7 @@ def dom(pages: DataFrame) -> DataFrame:
                 paths.add((kind, path))
             return nodes[key]
 
-        marked = any(article for _path, _text, _noise, article in p.blocks)
+        marked = any(article and not noise for _path, _text, noise, article in p.blocks)
         for path, text, noise, article in p.blocks:
             at = number("text", path, text)
             if not noise and (article or not marked):

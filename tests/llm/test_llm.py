@@ -268,6 +268,23 @@ def test_html(spark):
     assert sitetree.extract(frame.limit(0)).count() == 0
 
 
+def test_html_wrappers():
+    def text(html):
+        blocks = sitetree.PageParser().page(html).blocks
+        marked = any(article and not noise for _, _, noise, article in blocks)
+        return " ".join(t for _, t, noise, article in blocks if not noise and (article or not marked))
+
+    body = "<article><p>The whole text</p></article>"
+    for name in ("layout has-sidebar", "no-comments", "with-menu", "post-share-layout", "sidebar-layout", "header", "related"):
+        assert text(f"<body><div class='{name}'>{body}<div class='ad'>Buy</div></div><div class='site-footer'>F</div></body>") == "The whole text", name
+    assert text(f"<body><form action=x><nav>Menu</nav>{body}</form></body>") == "The whole text"
+    assert text("<body><form><p>A page without article, longer than the rest</p><div class=menu>Menu</div></form><div class=promo>Buy</div></body>") == "A page without article, longer than the rest"
+    assert text("<html><head><title>T</title><noscript><p>No</p></noscript><body><p>Body") == "Body"
+    assert text("<head><title>T</title><style>x</style><p>Flow <b>text</b>") == "Flow text"
+    assert text("<head><title>T</title>Bare <p>text") == "Bare text"
+    assert text(f"{body}<section class=related><article>Teaser</article></section><div class=comments><article>Nice</article></div>") == "The whole text"
+
+
 def test_secrets(spark):
     rng = random.Random(6)
     code = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
