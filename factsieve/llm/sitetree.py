@@ -3,8 +3,9 @@
 Pages of a host are merged by element path (tag and class from the root). A path's importance joins two entropies over the host's
 distinct pages: that of the ways in which its children are laid out (presentation), and, at text, that of the content, which is low
 when every page has its own and high when all repeat one. A branch goes if its importance is low, if its tag or class says what it is (menu, footer, advert,
-comments, ...; a class or form never condemns a branch with an article or most of the text), or, on pages that mark their article, if it stands outside. Importance never removes what a page marks as
-its article: copies of one article on a host would otherwise erase each other.
+comments, ...; a class or form never condemns a branch with an article or most of the text), or, on pages that mark their article, if it stands outside. Importance judges the branches inside a marked
+article too; equal articles of a host count once, and where low branches hold most of an article it is a near copy of others and stays whole,
+as copies would otherwise erase each other.
 """
 
 from __future__ import annotations
@@ -174,7 +175,7 @@ class PageParser(HTMLParser):
 
 
 def dom(pages: DataFrame) -> DataFrame:
-    """A row per page: its digest ``copy`` of all blocks, ``nodes`` and ``blocks``. uid tells rows of the table apart.
+    """A row per page: its digest ``copy`` of the article, or of all blocks if none is marked, ``nodes`` and ``blocks``. uid tells rows of the table apart.
 
     nodes: the page's distinct (kind text or layout, path, feature); first marks one entry of each kind and path, so entries can be counted as pages.
     blocks: what tags and classes let stand, in page order, with the number of its node. The text of noise is not carried on.
@@ -208,7 +209,7 @@ def dom(pages: DataFrame) -> DataFrame:
         for path, children in p.layouts:
             number("layout", path, children)
         entries = [{"kind": k, "path": x, "feature": f, "first": first} for (k, x, f), first in zip(nodes, firsts, strict=True)]
-        return digest("\n".join(text for _path, text, _noise, _article in p.blocks)), entries, blocks
+        return digest("\n".join(x["text"] for x in blocks) if marked else "\n".join(text for _path, text, _noise, _article in p.blocks)), entries, blocks
 
     def parse(batches):
         for batch in batches:
@@ -227,7 +228,7 @@ def dom(pages: DataFrame) -> DataFrame:
 def style_tree(rows: DataFrame, decay: float = DECAY, pages: int = PAGES) -> DataFrame:
     """host, path, importance from the rows of ``dom``; hosts with fewer than ``pages`` distinct pages are left out.
 
-    Pages of equal text count once. What reaches the task of a host is one row a path, however many pages it has.
+    Pages of equal article, or of equal text where none is marked, count once. What reaches the task of a host is one row a path, however many pages it has.
     """
     rows = rows.where("host <> ''")
     one = rows.groupBy("host", "copy").agg(F.min("uid").alias("uid"))
@@ -254,10 +255,13 @@ def style_tree(rows: DataFrame, decay: float = DECAY, pages: int = PAGES) -> Dat
             share = decay ** max(1, len(children))
             whole[path] = (1 - share) * own[path] + share * (sum(children) / len(children)) if children else own[path]
             below.setdefault(path.rpartition("/")[0], []).append(whole[path])
-        # a branch counts no more than the branches it hangs on; root and body hold everything and don't judge
+        def of_article(path: str) -> bool:
+            return path.rpartition("/")[2].partition(".")[0] in ARTICLE
+
+        # a branch counts no more than the branches it hangs on; root, body and a marked article hold everything and don't judge
         for path in sorted(whole, key=lambda x: x.count("/")):
             above = path.rpartition("/")[0]
-            if above.count("/") > 2 and above in whole:
+            if above.count("/") > 2 and above in whole and not of_article(above) and not of_article(path):
                 whole[path] = min(whole[path], whole[above])
         return pd.DataFrame({"host": frame["host"].iloc[0], "path": list(whole), "importance": list(whole.values())})
 
@@ -275,9 +279,12 @@ def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     low = written(style_tree(rows).where(F.col("importance") < least).groupBy("host").agg(F.collect_list("path").alias("low")), "low")
     of_host = rows.select("page_id", "url", "host", "nodes", "blocks").join(low, "host", "left")
     path = lambda x: F.get("nodes", x["node"])["path"]
-    own = F.transform(F.filter("blocks", lambda x: ~x["article"]), path)
+    own = F.transform("blocks", path)
     gone = of_host.withColumn("gone", F.coalesce(F.array_intersect(own, "low"), F.array().cast("array<string>")))
-    stay = F.filter("blocks", lambda x: x["article"] | ~F.array_contains("gone", path(x)))
+    size = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, x: n + F.length(x["text"]))
+    marked = F.filter("blocks", lambda x: x["article"])
+    gone = gone.withColumn("copied", size(F.filter(marked, lambda x: F.array_contains("gone", path(x)))) * 2 > size(marked))
+    stay = F.filter("blocks", lambda x: (x["article"] & F.col("copied")) | ~F.array_contains("gone", path(x)))
     text = F.array_join(F.transform(stay, lambda x: x["text"]), " ")
     return gone.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

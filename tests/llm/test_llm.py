@@ -285,6 +285,24 @@ def test_html_wrappers():
     assert text(f"{body}<section class=related><article>Teaser</article></section><div class=comments><article>Nice</article></div>") == "The whole text"
 
 
+def test_html_tree_in_articles(spark):
+    """Boilerplate in marked articles goes by importance; copies and near copies of an article stay whole."""
+    rng = random.Random(5)
+    same, box = [prose(rng, 12) for _ in range(30)], "<div class=xyz>By the same hand</div>"
+    data, want = [], {}
+    for i in range(8):
+        own, menu = prose(rng, 20), prose(rng, 3)
+        data.append((i, f"http://a.org/{i}", f"<body><nav>{menu}</nav><div class=q><article><h1>{own[:9]}</h1><p>{own}</p>{box}</article></div></body>"))
+        want[i] = f"{own[:9]} {own}"
+        data.append((10 + i, f"http://b.org/{i}", f"<body><nav>{menu}</nav><article><p>{same[0]}</p></article></body>"))
+        want[10 + i] = same[0]
+        texts = [*same[:i], own, *same[i + 1 :]]
+        data.append((20 + i, f"http://c.org/{i}", f"<body><article>{''.join(f'<p>{x}</p>' for x in texts)}</article></body>"))
+        want[20 + i] = " ".join(texts)
+    got = sitetree.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
 def test_secrets(spark):
     rng = random.Random(6)
     code = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
