@@ -25,10 +25,10 @@ SEQUENCE = 4096
 END_ID = 1
 #: Numbering of pieces of one length is split in so many parts.
 PARTS = 64
-#: Text that one step of a task tokenizes, and words whose ids a worker remembers.
-STEP_BYTES, REMEMBERED = 4 << 20, 500_000
+#: Text that one step of a task tokenizes, and the size of the words and ids a worker remembers (about 120 bytes a word beside its letters).
+STEP_BYTES, REMEMBERED_BYTES = 2 << 20, 48 << 20
 #: Lower-case words of the Latin range: one word is one pre-token, a mark after it another.
-PLAIN = re.compile(r"[a-zà-öø-ÿ]+[.,]?")
+PLAIN = re.compile(r"([a-zà-öø-ÿ]+)([.,]?)")
 
 
 @functools.lru_cache(maxsize=4)
@@ -38,6 +38,22 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _word_tokenizer(whole):
+    """The same vocabulary for lower-case words with blanks between them: nothing to normalise, nothing to split but at the blanks."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    words = Tokenizer(whole.model)
+    words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
+    return words
+
+
+def _ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (counts[0] of them), first[1], ... one after the other."""
+    step = np.repeat((first - np.cumsum(counts) + counts).astype(np.int32 if len(first) and first[-1] < 1 << 30 and counts.sum() < 1 << 30 else np.int64), counts)
+    step += np.arange(len(step), dtype=step.dtype)
+    return step
+
+
 class WordIds:
     """Ids of the blank-separated parts of texts.
 
@@ -48,16 +64,18 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.word_tokenizer = _word_tokenizer(self.tokenizer)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in (".", ",")}
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.used = 0
+        self.used = self.letters = 0
 
     def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         n = len(self.known)
@@ -66,25 +84,38 @@ class WordIds:
         while n + len(words) > len(self.first):
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.first[n : n + len(words)] = self.used + np.concatenate([[0], np.cumsum(counts)[:-1]])
+        self.first[n : n + len(words)] = self.used + np.cumsum(counts) - counts
         self.count[n : n + len(words)] = counts
         self.used += len(ids)
+        self.letters += sum(map(len, words))
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
+    def _add_plain(self, found: list[re.Match]) -> None:
+        bases = list(dict.fromkeys(m[1] for m in found))
+        blocks = [" ".join(bases[i : i + 2000]) for i in range(0, len(bases), 2000)]
+        ids = np.concatenate([np.array(out.ids, np.uint32) for out in self.word_tokenizer.encode_batch_fast(blocks, add_special_tokens=False)])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        base_first = np.concatenate([[0], ends[:-1]])
+        row = dict(zip(bases, range(len(bases)), strict=True))
+        base = np.fromiter((row[m[1]] for m in found), np.int64, len(found))
+        marks = [self.marks.get(m[2], []) for m in found]
+        inner, extra = (ends - base_first)[base], np.fromiter(map(len, marks), np.int64, len(marks))
+        counts = inner + extra
+        last = np.cumsum(counts)
+        flat = np.zeros(last[-1], np.uint32)
+        flat[_ranges(last - counts, inner)] = ids[_ranges(base_first[base], inner)]
+        flat[_ranges(last - extra, extra)] = [i for m in marks for i in m]
+        self._add([m[0] for m in found], flat, counts)
+
     def rows(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
+        if 120 * len(self.known) + self.letters > REMEMBERED_BYTES:
             self.forget()
         new = [w for w in words if w not in self.known]
-        plain = [w for w in new if PLAIN.fullmatch(w)]
+        found = [PLAIN.fullmatch(w) for w in new]
+        plain = [m for m in found if m]
         if plain:
-            blocks = [plain[i : i + 2000] for i in range(0, len(plain), 2000)]
-            for block, out in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False), strict=True):
-                ids = np.array(out.ids, np.uint32)
-                parts = np.array([1 + (w[-1] in ".,") for w in block])
-                ends = np.flatnonzero(self.ends[ids]) + 1
-                last = ends[np.cumsum(parts) - 1]
-                self._add(block, ids, np.diff(last, prepend=0))
-        other = [w for w in new if not PLAIN.fullmatch(w)]
+            self._add_plain(plain)
+        other = [w for w, m in zip(new, found, strict=True) if not m]
         if other:
             lists = [out.ids for out in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
             counts = np.array([len(x) for x in lists])
@@ -101,9 +132,10 @@ class WordIds:
         ends = np.concatenate([[0], np.cumsum(counts)])
         at = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         per_text = np.diff(ends[at])
-        source = np.arange(ends[-1]) + np.repeat(self.first[rows] - ends[:-1], counts)
         out = np.full(ends[-1] + len(texts), END_ID, np.uint32)
-        out[np.arange(ends[-1]) + np.repeat(np.arange(len(texts)), per_text)] = self.ids[source]
+        inner = np.ones(len(out), bool)
+        inner[np.cumsum(per_text + 1) - 1] = False
+        out[inner] = self.ids[_ranges(self.first[rows], counts)]
         return out, per_text + 1
 
 
