@@ -26,7 +26,7 @@ END_ID = 1
 #: Numbering of pieces of one length is split in so many parts.
 PARTS = 64
 #: Text that one step of a task tokenizes, and the size of the words and ids a worker remembers (about 120 bytes a word beside its letters).
-STEP_BYTES, REMEMBERED_BYTES = 2 << 20, 48 << 20
+STEP_BYTES, REMEMBERED_BYTES = 2 << 20, 96 << 20
 #: Lower-case words of the Latin range: one word is one pre-token, a mark after it another.
 PLAIN = re.compile(r"([a-zà-öø-ÿ]+)([.,]?)")
 
@@ -127,7 +127,7 @@ class WordIds:
         special = pc.match_substring(texts, "<|")  # strings of special tokens are told apart by case
         parts = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
         words = parts.flatten().dictionary_encode()
-        rows = self.rows(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        rows = self.rows(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
         counts = self.count[rows].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(counts)])
         at = parts.offsets.to_numpy() - parts.offsets[0].as_py()
