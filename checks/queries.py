@@ -37,12 +37,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over the session's shuffle partitions before work that is bound by the processor, whatever their number.
+
+    The given tables are single files of one row group, so without it one core would do all the work of a query.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def docs_en(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return spread(table(spark, sf, "documents")).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
 
 
 def docs_ko(spark, sf) -> DataFrame:
-    return notices(table(spark, sf, "orders"))
+    return notices(spread(table(spark, sf, "orders")))
 
 
 def analysed_ko(spark, sf) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,56 +31,10 @@ def portable(pattern: str) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=None)
-def needles(pattern: str) -> tuple[str, ...]:
-    """Plain words of which every match contains at least one; empty if there are none."""
-    try:
-        from re import _parser as parser
-    except ImportError:
-        return ()
-    if "(?i" in pattern or r"\x{" in pattern or r"\z" in pattern:
-        return ()
-
-    def best(options: list[tuple[str, ...]]) -> tuple[str, ...]:
-        usable = [o for o in options if o]
-        return max(usable, key=lambda o: (min(map(len, o)), -len(o)), default=())
-
-    def required(items) -> tuple[str, ...]:
-        options, run = [], ""
-        for op, arg in [*items, (None, None)]:
-            if str(op) == "LITERAL":
-                run += chr(arg)
-                continue
-            if run:
-                options.append((run,))
-                run = ""
-            if str(op) == "SUBPATTERN":
-                options.append(required(arg[3]))
-            elif str(op) == "BRANCH":
-                parts = [required(a) for a in arg[1]]
-                options.append(tuple(w for p in parts for w in p) if all(parts) else ())
-            elif str(op) in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
-                options.append(required(arg[2]))
-        return best(options)
-
-    return tuple(dict.fromkeys(required(parser.parse(pattern))))
-
-
 def matches(col: Column, pattern: str) -> Column:
     return F.rlike(col, F.lit(portable(pattern)))
 
 
-def may_match(col: Column, pattern: str) -> Column:
-    """A cheap test that is true wherever ``matches`` is: one of the words it needs is there."""
-    words = needles(pattern)
-    if not words:
-        return F.lit(True)
-    hint = F.contains(col, F.lit(words[0]))
-    for w in words[1:]:
-        hint = hint | F.contains(col, F.lit(w))
-    return hint
-
-
 def replace(col: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(col, portable(pattern), by)
 

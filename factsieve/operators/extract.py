@@ -1,7 +1,8 @@
 """Rule extraction: which lines speak about which criterion, and how.
 
-The patterns are literals, compiled once per task, and are tried inside the document's
-row. First hits need no ranking window: lines are numbered in order.
+Each criterion names the words that its pattern needs. One automaton finds the words of all criteria in all lines (``functions.literals``), and
+a pattern is tried only where one of its words stands: ``hits`` is a sparse, ordered list per document, and what a document does not speak of
+costs nothing. First hits need no ranking window, as the list is ordered by criterion and line.
 """
 
 from __future__ import annotations
@@ -12,95 +13,110 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsieve import schemas
-from factsieve.functions.arrays import unnest, unnest_values
+from factsieve.functions.arrays import let, unnest
+from factsieve.functions.literals import spot_column
 from factsieve.functions.reuse import reused
-from factsieve.functions.text import extract_all, matches, may_match, norm_ws
+from factsieve.functions.text import extract_all, matches, norm_ws
 from factsieve.packs import korean as K
 from factsieve.packs.model import RulePack
 
 
-def _line_hits(pack: RulePack, criterion) -> Callable[[Column], Column]:
-    def test(line: Column) -> Column:
-        hit = matches(line["text"], criterion.line)
-        if pack.rest_topic and criterion.topic == pack.rest_topic:
-            only_days = matches(line["text"], pack.workday_line) & ~matches(line["text"], pack.holiday_line)
-            hit = hit & ~only_days
-        return hit
+def _line_matches(pack: RulePack, criterion, text: Column) -> Column:
+    hit = matches(text, criterion.line)
+    if pack.rest_topic and criterion.topic == pack.rest_topic:
+        hit = hit & ~(matches(text, pack.workday_line) & ~matches(text, pack.holiday_line))
+    return hit
 
-    return test
 
+def match_lines(docs: DataFrame, pack: RulePack) -> DataFrame:
+    """Adds ``hits``: array<struct<criterion_id,line_no,text>>, the matching lines of all criteria, in the order of the pack and of the lines."""
+    ids = F.array(*[F.lit(c.id) for c in pack.criteria])
 
-def match_lines(docs: DataFrame, pack: RulePack, text: str = "text") -> DataFrame:
-    """Adds ``hits``: per criterion, all matching lines in order.
+    def hit(s: Column, lines: Column) -> Column:
+        line = F.get(lines, s["line"])
+        return F.struct(s["owner"].alias("owner"), line["line_no"].alias("line_no"), line["text"].alias("text"))
 
-    Most criteria are not spoken of in most documents: a plain search for the words a
-    pattern needs decides whether the lines are looked at.
-    """
+    def holds(h: Column) -> Column:
+        test = F.lit(False)
+        for i, c in reversed([*enumerate(pack.criteria)]):
+            if c.needs:
+                test = F.when(h["owner"] == i, _line_matches(pack, c, h["text"])).otherwise(test)
+        return test
+
+    def everywhere(i: int, c) -> Column:
+        """A pattern that needs no particular word is tried on each line."""
+        found = F.filter("lines", lambda l: _line_matches(pack, c, l["text"]))
+        return F.transform(found, lambda l: F.struct(F.lit(i).alias("owner"), l["line_no"].alias("line_no"), l["text"].alias("text")))
 
     def build() -> Column:
-        no_lines = F.slice("lines", 1, 0)
-        return F.array(*[
-            F.struct(
-                F.lit(c.id).alias("criterion_id"),
-                F.when(may_match(F.col(text), c.line), F.filter("lines", _line_hits(pack, c))).otherwise(no_lines)
-                .alias("found"))
-            for c in pack.criteria])
+        # ``let``: what a lambda takes from outside would be worked out again for each element
+        found = F.filter(let(F.col("lines"), lambda lines: F.transform("_spots", lambda s: hit(s, lines))), holds)
+        more = [everywhere(i, c) for i, c in enumerate(pack.criteria) if not c.needs]
+        if more:
+            found = F.array_sort(F.concat(found, *more))  # by owner and line
+        return F.transform(found, lambda h: F.struct(F.get(ids, h["owner"]).alias("criterion_id"), h["line_no"].alias("line_no"), h["text"].alias("text")))
 
-    return docs.withColumn("hits", reused(("hits", repr(pack), text), build))
+    found = docs.withColumn("_spots", spot_column(F.transform("lines", lambda l: l["text"]), tuple(c.needs for c in pack.criteria)))
+    return found.withColumn("hits", reused(("hits", pack.digest), build)).drop("_spots")
 
 
 def hit_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """All hits as rows (document, criterion, line)."""
-    each = unnest_values(docs, "hits", "h", key)
-    return unnest(each, "h.found", key, F.col("h.criterion_id"), present="line_no").drop("start", "end")
+    return unnest(docs, "hits", key, present="line_no")
 
 
 def first_hits(docs: DataFrame, k: int = 2) -> DataFrame:
     """Keep the first ``k`` lines per criterion."""
-    return docs.withColumn("hits", F.transform("hits", lambda h: F.struct(
-        h["criterion_id"].alias("criterion_id"), F.slice(h["found"], 1, k).alias("found"))))
+
+    def first(hits: Column) -> Column:
+        return F.filter(hits, lambda h, i: (i < k) | (F.get(hits, i - k)["criterion_id"] != h["criterion_id"]))
+
+    return docs.withColumn("hits", let(F.col("hits"), first))
 
 
 def classify_finding(docs: DataFrame, pack: RulePack) -> DataFrame:
     """Adds ``claims``: one claim per criterion of the pack, absent ones included."""
     negatable = list(pack.negation_status)
-
-    def with_text(h: Column) -> Column:
-        text = F.array_join(F.transform(h["found"], lambda l: l["text"]), " ")
-        return F.struct(h["criterion_id"].alias("id"), h["found"].alias("found"), text.alias("text"))
-
-    def with_finding(h: Column) -> Column:
-        kind = (
-            F.when(F.size(h["found"]) == 0, "absent")
-            .when(h["id"].isin(negatable) & matches(h["text"], pack.negated), "negated")
-            .when(matches(h["text"], pack.undecided), "undecided")
-            .when(matches(h["text"], pack.external), "coarse")
-        )
-        if pack.hours_id:
-            kind = kind.when((h["id"] == pack.hours_id) & ~matches(h["text"], pack.hours), "coarse")
-        return F.struct(h["id"].alias("id"), h["found"].alias("found"), h["text"].alias("text"),
-                        kind.otherwise("specific").alias("finding"))
-
     none = F.lit(None).cast("string")
+    rest = [none.alias("source_value"), none.alias("term_type"), none.alias("value_kind"), F.lit(None).cast(schemas.CALC).alias("calc")]
+    no_quotes = F.array().cast(f"array<{schemas.QUOTE}>")
+    ids = F.array(*[F.lit(i) for i in pack.criterion_ids])
 
-    def claim(h: Column) -> Column:
-        specific = h["finding"] == "specific"
-        term = (
-            F.when(specific & (h["id"] == pack.fixed_term_id),
-                   F.when(matches(h["text"], pack.indefinite), "indefinite").otherwise("fixed"))
-            if pack.fixed_term_id else none
-        )
-        value_kind = F.when(specific & (h["id"] == pack.hours_id), "quoted") if pack.hours_id else none
-        return F.struct(
-            h["id"].alias("criterion_id"), h["finding"].alias("finding"),
-            F.transform(F.slice(h["found"], 1, 1), lambda l: F.struct(l["line_no"].alias("line"), l["text"].alias("text")))
-            .alias("quotes"),
-            none.alias("source_value"), term.alias("term_type"), value_kind.alias("value_kind"),
-            F.lit(None).cast(schemas.CALC).alias("calc"),
-        )
-
-    build = lambda: F.transform(F.transform(F.transform("hits", with_text), with_finding), claim)
-    return docs.withColumn("claims", reused(("claims", repr(pack)), build)).drop("hits")
+    def absent(cid: Column) -> Column:
+        return F.struct(cid.alias("criterion_id"), F.lit("absent").alias("finding"), no_quotes.alias("quotes"), *rest)
+
+    def claim(cid: Column, first: Column, text: Column) -> Column:
+        kind = F.when(cid.isin(negatable) & matches(text, pack.negated), "negated") if negatable else F.when(F.lit(False), "negated")
+        kind = kind.when(matches(text, pack.undecided), "undecided").when(matches(text, pack.external), "coarse")
+        if pack.hours_id:
+            kind = kind.when((cid == pack.hours_id) & ~matches(text, pack.hours), "coarse")
+
+        def told(finding: Column) -> Column:
+            specific = finding == "specific"
+            term = (F.when(specific & (cid == pack.fixed_term_id), F.when(matches(text, pack.indefinite), "indefinite").otherwise("fixed"))
+                    if pack.fixed_term_id else none)
+            value_kind = F.when(specific & (cid == pack.hours_id), "quoted") if pack.hours_id else none
+            quote = F.struct(first["line_no"].alias("line"), first["text"].alias("text"))
+            return F.struct(cid.alias("criterion_id"), finding.alias("finding"), F.array(quote).alias("quotes"), none.alias("source_value"),
+                            term.alias("term_type"), value_kind.alias("value_kind"), F.lit(None).cast(schemas.CALC).alias("calc"))
+
+        return let(kind.otherwise("specific"), told)
+
+    def of_group(g: Column) -> Column:
+        return let(F.array_join(F.transform(g["found"], lambda h: h["text"]), " "), lambda text: claim(g["id"], F.get(g["found"], F.lit(0)), text))
+
+    def spoken(hits: Column) -> Column:
+        heads = F.filter(hits, lambda h, i: (i == 0) | (F.get(hits, i - 1)["criterion_id"] != h["criterion_id"]))
+        groups = F.transform(heads, lambda h: F.struct(
+            h["criterion_id"].alias("id"), F.filter(hits, lambda x: x["criterion_id"] == h["criterion_id"]).alias("found")))
+        return F.transform(groups, of_group)
+
+    def all_claims(claims: Column) -> Column:
+        mine = lambda i: F.get(F.filter(claims, lambda c: c["criterion_id"] == i), F.lit(0))
+        return F.transform(ids, lambda i: F.coalesce(mine(i), absent(i)))
+
+    build = lambda: let(let(F.col("hits"), spoken), all_claims)
+    return docs.withColumn("claims", reused(("claims", pack.digest), build)).drop("hits")
 
 
 def rule_extractor(pack: RulePack) -> Callable[[DataFrame], DataFrame]:

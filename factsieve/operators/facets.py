@@ -99,7 +99,7 @@ def _reading(kind: str, text: Column, c: Column, wage_ctx: Column, tax_ctx: Colu
 
 def with_facets(evaluated: DataFrame, pack, items=K.RELATE_ITEMS) -> DataFrame:
     """Adds ``facets``: one struct per compared facet, in facet order."""
-    return reused(("facets", repr(pack), repr(items)), lambda: _facet_steps(pack, items)).apply(evaluated)
+    return reused(("facets", pack.digest, repr(items)), lambda: _facet_steps(pack, items)).apply(evaluated)
 
 
 def _facet_steps(pack, items) -> Steps:

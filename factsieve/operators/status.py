@@ -172,7 +172,7 @@ def evaluate(docs: DataFrame, pack: RulePack, entries: str = "entries", ranges:
     and one all topics, which keeps the plan small.
     """
     df = _with_uncertainty(docs, pack, entries, ranges)
-    return reused(("evaluate", repr(pack), entries), lambda: _evaluation(pack, entries)).apply(df)
+    return reused(("evaluate", pack.digest, entries), lambda: _evaluation(pack, entries)).apply(df)
 
 
 def _evaluation(pack: RulePack, entries: str) -> Steps:

@@ -230,7 +230,7 @@ def verify(docs: DataFrame, pack: RulePack, expected: Column | None = None, clai
         return F.when(plain, nothing(p)).otherwise(run(p, chain))
 
     build = lambda: F.transform(check_completeness(F.col(claims), wanted), checked)
-    return docs.withColumn(out, reused(("verify", repr(pack), claims), build) if expected is None else build())
+    return docs.withColumn(out, reused(("verify", pack.digest, claims), build) if expected is None else build())
 
 
 def failed(entry: Column) -> Column:
@@ -279,7 +279,7 @@ def plan_holds(docs: DataFrame, pack: RulePack, entries: str = "entries") -> Dat
             F.when(~core_failed & ~bound, alone).otherwise(_no(_STRINGS)).alias("independent"))
 
     build = lambda: F.array(*[judge(t) for t in pack.topics])
-    planned = docs.withColumn("_plan", reused(("holds", repr(pack), entries), build))
+    planned = docs.withColumn("_plan", reused(("holds", pack.digest, entries), build))
     return planned.select(
         "*",
         F.transform(F.filter("_plan", lambda t: t["held"]), lambda t: t["topic_id"]).alias("held"),

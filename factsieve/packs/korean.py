@@ -19,13 +19,13 @@ TOPICS = (
     Topic(
         "01", "wage", "임금",
         (
-            core("01-a", "금액", r"(급여|임금|연봉|월급|시급|시간급|보수|만\s*원)", codes=("S",)),
-            core("01-b", "급여 단위", r"(연봉|월급|시급|시간급|월\s*보수|월\s*\d|연\s*\d)", codes=("S",)),
-            extra("01-c", "임금 구성항목", r"(기본급|수당|식대|구성)", codes=("L-W",)),
-            extra("01-d", "계산방법", r"(계산|산정|곱하)", codes=("L-W",)),
-            extra("01-e", "지급방법", r"(계좌|이체|입금|현금)", codes=("L-W",)),
-            extra("01-f", "지급일", r"(매월\s*\d+\s*일|지급일|말일|\d+\s*일\s*지급)", codes=("F",)),
-            extra("01-g", "세전·세후 구분", r"(세전|세후)", codes=("S",)),
+            core("01-a", "금액", r"(급여|임금|연봉|월급|시급|시간급|보수|만\s*원)", codes=("S",), needs=("급여", "임금", "연봉", "월급", "시급", "시간급", "보수", "만")),
+            core("01-b", "급여 단위", r"(연봉|월급|시급|시간급|월\s*보수|월\s*\d|연\s*\d)", codes=("S",), needs=("시급", "시간급", "보수", "월", "연")),
+            extra("01-c", "임금 구성항목", r"(기본급|수당|식대|구성)", codes=("L-W",), needs=("기본급", "수당", "식대", "구성")),
+            extra("01-d", "계산방법", r"(계산|산정|곱하)", codes=("L-W",), needs=("계산", "산정", "곱하")),
+            extra("01-e", "지급방법", r"(계좌|이체|입금|현금)", codes=("L-W",), needs=("계좌", "이체", "입금", "현금")),
+            extra("01-f", "지급일", r"(매월\s*\d+\s*일|지급일|말일|\d+\s*일\s*지급)", codes=("F",), needs=("매월", "말일", "지급")),
+            extra("01-g", "세전·세후 구분", r"(세전|세후)", codes=("S",), needs=("세",)),
         ),
         core=r"(\d[\d,.]*\s*(만\s*|천\s*)?원|연봉|월급|시급|시간급|일급|주급|월\s*보수)",
         links=("lsa17", "standardContract"),
@@ -34,11 +34,11 @@ TOPICS = (
         "02", "work_hours", "근무시간",
         (
             core("02-a", "소정근로시간",
-                 r"(\d+\s*시간|근무\s*시간|근로\s*시간|\d{1,2}:\d{2}\s*[~\-∼]|주\s*\d+(\.\d+)?\s*일)", codes=("L-W",)),
-            extra("02-b", "출퇴근 시각", r"\d{1,2}:\d{2}\s*[~\-∼]\s*\d{1,2}:\d{2}", codes=("F",)),
-            extra("02-c", "휴게시간", r"휴게", codes=("F", "S"), codes_fixed_or_part_time=("L-W",)),
+                 r"(\d+\s*시간|근무\s*시간|근로\s*시간|\d{1,2}:\d{2}\s*[~\-∼]|주\s*\d+(\.\d+)?\s*일)", codes=("L-W",), needs=("시간", "근무", "근로", ":", "주")),
+            extra("02-b", "출퇴근 시각", r"\d{1,2}:\d{2}\s*[~\-∼]\s*\d{1,2}:\d{2}", codes=("F",), needs=(":",)),
+            extra("02-c", "휴게시간", r"휴게", codes=("F", "S"), codes_fixed_or_part_time=("L-W",), needs=("휴게",)),
             extra("02-d", "근로일·근로일별 시간", r"(근로일|월요일|월·|월~|월\s*[~\-]\s*[목금])", codes=("S",),
-                  codes_part_time=("L-W",)),
+                  codes_part_time=("L-W",), needs=("근로일", "월")),
         ),
         core=r"(\d+(\.\d+)?\s*시간|\d{1,2}\s*:\s*\d{2}|주\s*\d+(\.\d+)?\s*일)",
         links=("lsa17", "fixedTerm17", "standardContract"),
@@ -48,9 +48,9 @@ TOPICS = (
         (
             core("03-a", "근무 장소",
                  r"(근무\s*(장소|지)|근무지|취업\s*장소|배치\s*장소|근무할\s*곳|사업장|본사|사무실|오피스|사옥)",
-                 codes=("L-M",), codes_fixed_or_part_time=("L-W",)),
-            extra("03-b", "재택·원격·파견·출장 여부", r"(재택|원격|파견|출장)", codes=("S",)),
-            extra("03-c", "근무 장소 변경 조건", r"(근무지\s*변경|장소\s*변경|전보)", codes=("S",)),
+                 codes=("L-M",), codes_fixed_or_part_time=("L-W",), needs=("근무", "취업", "배치", "사업장", "본사", "사무실", "오피스", "사옥")),
+            extra("03-b", "재택·원격·파견·출장 여부", r"(재택|원격|파견|출장)", codes=("S",), needs=("재택", "원격", "파견", "출장")),
+            extra("03-c", "근무 장소 변경 조건", r"(근무지\s*변경|장소\s*변경|전보)", codes=("S",), needs=("근무지", "장소", "전보")),
         ),
         core=r"(근무\s*(장소|지)|근무지|취업\s*장소|배치\s*장소|사업장|본사|지점|사무실|오피스|사옥|매장"
              r"|[가-힣]+(특별시|광역시|시|도|구|군)\s|[가-힣\d]+(로|길)\s*\d)",
@@ -60,8 +60,8 @@ TOPICS = (
         "04", "duties", "담당업무",
         (
             core("04-a", "업무 내용", r"(담당\s*업무|업무\s*내용|수행\s*업무|담당\s*직무|맡을\s*일|모집\s*직무|직무)",
-                 codes=("L-M",), codes_fixed_or_part_time=("L-W",)),
-            extra("04-b", "추가 업무 범위", r"(그\s*밖의\s*담당|추가\s*업무|부수\s*업무)", codes=("S",)),
+                 codes=("L-M",), codes_fixed_or_part_time=("L-W",), needs=("담당", "업무", "수행", "맡을", "모집", "직무")),
+            extra("04-b", "추가 업무 범위", r"(그\s*밖의\s*담당|추가\s*업무|부수\s*업무)", codes=("S",), needs=("밖의", "추가", "부수")),
         ),
         core=r"(업무|직무|담당)",
         links=("lsaDecree8", "fixedTerm17"),
@@ -70,8 +70,8 @@ TOPICS = (
         "05", "employment_type", "고용형태",
         (
             core("05-a", "계약 형태",
-                 r"(정규직|계약직|기간제|단시간|인턴|고용\s*형태|고용\s*방식|계약\s*(형태|유형))", codes=("S",)),
-            extra("05-b", "정규직 전환 조건", r"(정규직\s*전환|전환\s*(조건|논의|평가))", codes=("S",)),
+                 r"(정규직|계약직|기간제|단시간|인턴|고용\s*형태|고용\s*방식|계약\s*(형태|유형))", codes=("S",), needs=("정규직", "기간제", "단시간", "인턴", "고용", "계약")),
+            extra("05-b", "정규직 전환 조건", r"(정규직\s*전환|전환\s*(조건|논의|평가))", codes=("S",), needs=("정규직", "전환")),
         ),
         core=r"(정규직|계약직|기간제|단시간|인턴|파견|고용\s*(형태|방식)|계약\s*(형태|유형))",
     ),
@@ -80,10 +80,10 @@ TOPICS = (
         (
             core("06-a", "기간의 정함 유무",
                  r"(계약\s*기간|근로계약\s*기간|기간의\s*정함|기간제|계약\s*존속|계약\s*종료)",
-                 codes=("S",), codes_fixed_or_part_time=("L-W",)),
+                 codes=("S",), codes_fixed_or_part_time=("L-W",), needs=("계약", "기간의", "기간제")),
             core("06-b", "시작일·종료일", r"(\d{4}\s*년.*(부터|~).*(까지|\d{4}\s*년)|계약\s*기간\s*[:：]?\s*\d)",
-                 condition="fixed_term", codes=("S",), codes_fixed_or_part_time=("L-W",)),
-            extra("06-c", "갱신 기준", r"(갱신|재계약)", codes=("S",)),
+                 condition="fixed_term", codes=("S",), codes_fixed_or_part_time=("L-W",), needs=("년", "계약")),
+            extra("06-c", "갱신 기준", r"(갱신|재계약)", codes=("S",), needs=("갱신", "재계약")),
         ),
         core=r"(계약\s*기간|기간의\s*정함|기간제|기간을\s*정|\d{4}\s*년|\d+\s*(개월|년)|종료)",
         links=("fixedTerm17", "standardContract"),
@@ -91,17 +91,17 @@ TOPICS = (
     Topic(
         "07", "probation_period", "수습기간",
         (
-            core("07-a", "수습 적용 여부", r"수습", codes=("S",)),
-            core("07-b", "수습 기간", r"수습.*(\d+\s*개월|\d+\s*주)", condition="probation_applies", codes=("S",)),
-            extra("07-c", "평가·전환 기준", r"수습.*(평가|전환)", codes=("S",)),
+            core("07-a", "수습 적용 여부", r"수습", codes=("S",), needs=("수습",)),
+            core("07-b", "수습 기간", r"수습.*(\d+\s*개월|\d+\s*주)", condition="probation_applies", codes=("S",), needs=("수습",)),
+            extra("07-c", "평가·전환 기준", r"수습.*(평가|전환)", codes=("S",), needs=("수습",)),
         ),
         core=r"(수습|시용)",
     ),
     Topic(
         "08", "probation_pay", "수습 중 급여",
         (
-            core("08-a", "수습 중 지급 기준", r"수습.*(급여|임금|보수|%|동일|차감)", codes=("S",)),
-            extra("08-b", "수습 종료 후 임금", r"(종료\s*후|수습\s*후)\s*.*(월|만\s*원)", codes=("S",)),
+            core("08-a", "수습 중 지급 기준", r"수습.*(급여|임금|보수|%|동일|차감)", codes=("S",), needs=("수습",)),
+            extra("08-b", "수습 종료 후 임금", r"(종료\s*후|수습\s*후)\s*.*(월|만\s*원)", codes=("S",), needs=("종료", "수습")),
         ),
         core=r"(수습|시용|\d+\s*%)",
         conditional=True,
@@ -109,9 +109,9 @@ TOPICS = (
     Topic(
         "09", "holidays", "휴일",
         (
-            core("09-a", "지정된 휴일", r"(휴일|주휴|휴무)", codes=("L-W", "S")),
-            extra("09-b", "유급 여부", r"(유급|무급)", codes=("S",)),
-            extra("09-c", "추가 공휴일 조건", r"공휴일", codes=("S",)),
+            core("09-a", "지정된 휴일", r"(휴일|주휴|휴무)", codes=("L-W", "S"), needs=("휴일", "주휴", "휴무")),
+            extra("09-b", "유급 여부", r"(유급|무급)", codes=("S",), needs=("유급", "무급")),
+            extra("09-c", "추가 공휴일 조건", r"공휴일", codes=("S",), needs=("공휴일",)),
         ),
         core=r"(휴일|휴무|주휴|공휴)",
         links=("lsa17", "standardContract"),
@@ -119,10 +119,10 @@ TOPICS = (
     Topic(
         "10", "annual_leave", "연차 유급휴가",
         (
-            core("10-a", "부여 여부", r"(연차|유급\s*휴가)", codes=("L-W", "S")),
+            core("10-a", "부여 여부", r"(연차|유급\s*휴가)", codes=("L-W", "S"), needs=("연차", "유급")),
             core("10-b", "적용 대상·부여 일수·산정방법", r"(연차|유급\s*휴가).*(\d+\s*일|개근)",
-                 condition="leave_granted", codes=("L-W", "S")),
-            extra("10-c", "사용·신청 방식", r"(연차|휴가).*(신청|사용)", codes=("S",)),
+                 condition="leave_granted", codes=("L-W", "S"), needs=("연차", "유급")),
+            extra("10-c", "사용·신청 방식", r"(연차|휴가).*(신청|사용)", codes=("S",), needs=("연차", "휴가")),
         ),
         core=r"(연차|유급\s*휴가)",
         links=("lsa17", "standardContract"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
+from functools import cached_property
 
 
 @dataclass(frozen=True)
@@ -11,6 +13,7 @@ class Criterion:
     label: str
     role: str  # C core, D extra
     line: str  # a line that matches is a hit
+    needs: tuple[str, ...] = ()  # every match of ``line`` holds one of these words; empty: no such words
     condition: str | None = None
     codes: tuple[str, ...] = ()
     codes_fixed_or_part_time: tuple[str, ...] | None = None
@@ -58,6 +61,11 @@ class RulePack:
     applicability_links: tuple[str, ...] = ()
     links: dict[str, str] = field(default_factory=dict)
 
+    @cached_property
+    def digest(self) -> str:
+        """Names the pack by its content."""
+        return hashlib.sha256(repr(self).encode()).hexdigest()
+
     @property
     def criteria(self) -> list[Criterion]:
         return [c for t in self.topics for c in t.criteria]
