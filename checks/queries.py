@@ -177,13 +177,13 @@ def classify_errors(spark, sf):
 # ---- lines, rules, verification, states -----------------------------------------------
 
 
-@query(S.with_("docs AS (SELECT concat(conv_id, '-', turn) AS doc_id, text FROM conversations)", S.LINES) + " SELECT doc_id, line_no, text FROM lines")
+@query(S.with_("docs AS (SELECT concat(conv_id, '-', turn) AS doc_id, text FROM conversations)", S.CUT_LINES) + " SELECT doc_id, line_no, text FROM lines")
 def segment_lines(spark, sf):
     docs = table(spark, sf, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("doc_id"), "text")
-    return segment.explode_lines(segment.with_lines(docs, limit=1_000_000), "doc_id").drop("start", "end")
+    return segment.explode_lines(segment.with_lines(docs), "doc_id").drop("start", "end")
 
 
-@query()
+@query(S.with_(S.DOCS_EN, S.CUT_LINES) + ' SELECT doc_id, line_no, text, start, "end" FROM lines')
 def segment_long_lines(spark, sf):
     return segment.segment(docs_en(spark, sf))
 
@@ -206,16 +206,16 @@ def rule_hits_ko(spark, sf):
     return extract.hit_rows(extract.match_lines(segment.with_lines(docs_ko(spark, sf)), rule_pack(KO)))
 
 
-@query(S.with_(S.DOCS_EN, S.LINES, S.hits(rule_pack(EN))) + " SELECT doc_id, criterion_id, line_no, text FROM hits")
+@query(S.with_(S.DOCS_EN, S.CUT_LINES, S.hits(rule_pack(EN))) + " SELECT doc_id, criterion_id, line_no, text FROM hits")
 def rule_hits_en(spark, sf):
-    docs = segment.with_lines(docs_en(spark, sf), limit=1_000_000)
+    docs = segment.with_lines(docs_en(spark, sf))
     return extract.hit_rows(extract.match_lines(docs, rule_pack(EN)))
 
 
-@query(S.with_(S.DOCS_EN, S.LINES, S.hits(rule_pack(EN)), S.claims(rule_pack(EN))) + " SELECT doc_id, criterion_id, finding, line, quote FROM entries")
+@query(S.with_(S.DOCS_EN, S.CUT_LINES, S.hits(rule_pack(EN)), S.claims(rule_pack(EN))) + " SELECT doc_id, criterion_id, finding, line, quote FROM entries")
 def findings_en(spark, sf):
     pack = rule_pack(EN)
-    rows = extract.extract(segment.with_lines(docs_en(spark, sf), limit=1_000_000), extract.rule_extractor(pack))
+    rows = extract.extract(segment.with_lines(docs_en(spark, sf)), extract.rule_extractor(pack))
     each = unnest(rows, "claims", "doc_id", present="criterion_id").filter("finding <> 'absent'")
     return each.select("doc_id", "criterion_id", "finding", F.col("quotes")[0]["line"].alias("line"), F.col("quotes")[0]["text"].alias("quote"))
 
@@ -270,7 +270,7 @@ def status_counts_ko(spark, sf):
 def topic_counts_en(spark, sf):
     docs, _ = intake.gate_input(docs_en(spark, sf).withColumn("doc_type", F.lit("contract")), max_chars=2**31 - 1)
     pack = rule_pack(EN)
-    rows = extract.extract(segment.with_lines(docs, limit=1_000_000), extract.rule_extractor(pack))
+    rows = extract.extract(segment.with_lines(docs), extract.rule_extractor(pack))
     evaluated = status.evaluate(verify.verify(rows, pack), pack)
     return status.topic_status(evaluated).groupBy("topic_id", "status").agg(F.count("*").alias("documents"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factsieve.functions.text import portable
+from factsieve.functions.text import SPACE_CHARS, portable
 from factsieve.packs import korean as K
 from factsieve.packs import rule_pack
 from factsieve.sources.derived import notices_sql
@@ -29,6 +29,19 @@ LINES = r"""raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t,
 lines AS (SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS line_no,
                  trim(t) AS text FROM raw WHERE trim(t) <> '')"""
 
+# the shipped splitter: rows of over 100 characters are cut behind sentence ends and before bullets; offsets from running lengths
+_WS = "[" + SPACE_CHARS + "]"
+CUT_LINES = f"""raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS pos FROM docs),
+placed AS (SELECT doc_id, pos, t, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0,
+  regexp_replace(t, '\\r$', '') AS r FROM raw),
+marked AS (SELECT doc_id, pos, s0, CASE WHEN length(r) > 100 THEN string_split(regexp_replace(regexp_replace(r,
+  '([^0-9{SPACE_CHARS}][.!?。])({_WS}+)', '\\1' || chr(1) || '\\2', 'g'), '({_WS}+[•■▶※□◆●○])', chr(1) || '\\1', 'g'), chr(1)) ELSE [r] END AS parts FROM placed),
+cut AS (SELECT doc_id, pos, s0, unnest(parts) AS p, unnest(range(len(parts))) AS k FROM marked),
+stood AS (SELECT *, coalesce(sum(length(p)) OVER (PARTITION BY doc_id, pos ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s1,
+  regexp_replace(p, '^{_WS}+', '') AS tail, regexp_replace(regexp_replace(p, '^{_WS}+', ''), '{_WS}+$', '') AS text FROM cut),
+lines AS (SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) AS INTEGER) AS line_no, text,
+  cast(s0 + s1 + length(p) - length(tail) AS INTEGER) AS start, cast(s0 + s1 + length(p) - length(tail) + length(text) AS INTEGER) AS "end" FROM stood WHERE text <> '')"""
+
 
 def hits(pack) -> str:
     parts = []
@@ -116,7 +129,7 @@ def with_(*parts: str) -> str:
 def pipeline(pack_name: str) -> str:
     pack = rule_pack(pack_name)
     docs = DOCS_KO if pack_name == "employment_ko" else DOCS_EN
-    return with_(docs, LINES, hits(pack), claims(pack), states(pack))
+    return with_(docs, LINES if pack_name == "employment_ko" else CUT_LINES, hits(pack), claims(pack), states(pack))
 
 
 def readings() -> str:

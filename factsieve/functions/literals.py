@@ -73,4 +73,5 @@ def spot_column(lines: Column, needs: tuple[tuple[str, ...], ...]) -> Column:
             i = j
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct([("owner", pa.int32()), ("line", pa.int32())])))
 
-    return find(F.array_join(lines, "\n"))
+    # not to be repeated or moved into an aggregate by the optimizer
+    return find.asNondeterministic()(F.array_join(lines, "\n"))

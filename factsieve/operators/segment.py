@@ -1,75 +1,78 @@
 """Documents to numbered lines.
 
-A document is one row, so its lines are worked out inside that row: no shuffle, whatever
-the size of the corpus. ``explode_lines`` turns the array into a line table.
+A document is one row, so its lines are worked out inside that row: no shuffle, whatever the size of the corpus. Where lines start is one
+sorted list of positions, found in one pass over the text, so the cost is linear in the text. ``explode_lines`` turns the array into a line table.
 """
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsieve.functions.arrays import unnest
-from factsieve.functions.reuse import reused
-from factsieve.functions.text import SPACE, portable, strip_ocr_junk, tidy_text
+from factsieve.functions.text import SPACE_CHARS
 
 # A line longer than this is split, and where it may be split
 LONG_LINE = 100
-SPLIT_POINT = portable(r"(?<=[^\d\s][.!?。])\s+|\s+(?=[•■▶※□◆●○]\s?)")
+SPLIT_POINT = r"(?<=[^\d\s][.!?。])\s+|\s+(?=[•■▶※□◆●○]\s?)"
 
+LINE = pa.struct([("line_no", pa.int32()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
-def _starts(rows: Column) -> Column:
-    """Where each line starts: running total of (length + 1)."""
-    return F.aggregate(
-        rows, F.array(F.lit(0)), lambda acc, r: F.array_append(acc, F.element_at(acc, -1) + F.length(r) + 1)
-    )
 
+@lru_cache(maxsize=1)
+def _space() -> str:
+    """The white space characters of ``SPACE_CHARS`` as they are."""
+    spelled = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), SPACE_CHARS)
+    return "".join(chr(i) for i in range(0x10000) if re.fullmatch(f"[{spelled}]", chr(i)))
 
-def _parts(line: Column, limit: int) -> Column:
-    """array<struct<text,start>>: a long line cut at sentence ends and before bullets.
 
-    Between two parts there is only white space and a part starts with something else, so
-    the first occurrence behind the previous part is the right one.
-    """
-    cut = F.filter(F.split(line, SPLIT_POINT, -1), lambda p: F.length(p) > 0)
-    empty = F.array().cast("array<struct<text:string,start:int>>")
+@lru_cache(maxsize=1)
+def _split_point() -> re.Pattern:
+    return re.compile(SPLIT_POINT.replace(r"[^\d\s]", f"[^0-9{_space()}]").replace(r"\s", f"[{_space()}]"))
 
-    def place(acc: Column, part: Column) -> Column:
-        at = F.position(part, line, acc["next"])
-        return F.struct(
-            (at + F.length(part)).alias("next"),
-            F.array_append(acc["out"], F.struct(part.alias("text"), (at - 1).alias("start"))).alias("out"),
-        )
 
-    placed = F.aggregate(cut, F.struct(F.lit(1).alias("next"), empty.alias("out")), place, lambda acc: acc["out"])
-    whole = F.array(F.struct(line.alias("text"), F.lit(0).alias("start")))
-    return F.when(F.length(line) > limit, placed).otherwise(whole)
+def line_spans(text: str, limit: int) -> list[tuple[int, int]]:
+    """Start and end of every line with something on it: rows of the text, long ones cut at sentence ends and before bullets."""
+    space, split, spans, start = _space(), _split_point(), [], 0
+    for row in text.split("\n"):
+        cuts = [(0, 0)]
+        if len(row.removesuffix("\r")) > limit:
+            cuts += [m.span() for m in split.finditer(row.removesuffix("\r"))]
+        for (_, a), b in zip(cuts, [*(c[0] for c in cuts[1:]), len(row)], strict=True):
+            part = row[a:b]
+            left = part.lstrip(space)
+            if left:
+                a += len(part) - len(left)
+                spans.append((start + a, start + a + len(left.rstrip(space))))
+        start += len(row) + 1
+    return spans
 
 
 def lines_column(text: Column, limit: int = LONG_LINE) -> Column:
-    """array<struct<line_no,text,start,end>>; offsets are half open, in characters of ``text``."""
-    rows = F.split(text, "\n", -1)
-    framed = F.zip_with(
-        rows, F.slice(_starts(rows), F.lit(1), F.size(rows)),
-        lambda r, s: F.struct(F.regexp_replace(r, r"\r\z", "").alias("text"), s.alias("start")),
-    )
-    parts = F.flatten(F.transform(framed, lambda r: F.transform(
-        _parts(r["text"], limit),
-        lambda p: F.struct(p["text"].alias("text"), (r["start"] + p["start"]).alias("start")),
-    )))
-    trimmed = F.transform(parts, lambda p: F.struct(
-        F.regexp_replace(p["text"], f"^{SPACE}+|{SPACE}+\\z", "").alias("text"),
-        (p["start"] + F.length(p["text"]) - F.length(F.regexp_replace(p["text"], f"^{SPACE}+", ""))).alias("start"),
-    ))
-    kept = F.filter(trimmed, lambda p: F.length(p["text"]) > 0)
-    return F.transform(kept, lambda p, i: F.struct(
-        (i + 1).alias("line_no"), p["text"].alias("text"), p["start"].alias("start"),
-        (p["start"] + F.length(p["text"])).alias("end"),
-    ))
+    """array<struct<line_no,text,start,end>>; offsets are half open, in characters of ``text``. Null for a null text."""
+
+    @F.arrow_udf("array<struct<line_no:int,text:string,start:int,end:int>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        ends, number, start, end, out = [0], [], [], [], []
+        for t in texts.to_numpy(zero_copy_only=False).tolist():
+            spans = line_spans(t, limit) if t else []
+            number += range(1, len(spans) + 1)
+            start += [a for a, _ in spans]
+            end += [b for _, b in spans]
+            out += [t[a:b] for a, b in spans]
+            ends.append(len(out))
+        lines = pa.StructArray.from_arrays([pa.array(number, pa.int32()), pa.array(out, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], fields=list(LINE))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines, mask=texts.is_null() if texts.null_count else None)
+
+    return cut.asNondeterministic()(text)  # worked out once, wherever the lines are used
 
 
 def with_lines(docs: DataFrame, text: str = "text", limit: int = LONG_LINE) -> DataFrame:
-    return docs.withColumn("lines", reused(("lines", text, limit), lambda: lines_column(F.col(text), limit)))
+    return docs.withColumn("lines", lines_column(F.col(text), limit))
 
 
 def explode_lines(docs: DataFrame, *keep: str) -> DataFrame:

@@ -278,7 +278,9 @@ def plan_holds(docs: DataFrame, pack: RulePack, entries: str = "entries") -> Dat
             F.lit(topic.id).alias("topic_id"), (core_failed | bound).alias("held"),
             F.when(~core_failed & ~bound, alone).otherwise(_no(_STRINGS)).alias("independent"))
 
-    build = lambda: F.array(*[judge(t) for t in pack.topics])
+    # without a failed entry nothing is held
+    build = lambda: F.coalesce(F.when(F.exists(entries, failed), F.array(*[judge(t) for t in pack.topics])),
+                               _no("array<struct<topic_id:string,held:boolean,independent:array<string>>>"))
     planned = docs.withColumn("_plan", reused(("holds", pack.digest, entries), build))
     return planned.select(
         "*",

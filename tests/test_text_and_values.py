@@ -60,3 +60,66 @@ def test_segmentation_round_trip(spark):
             assert r.text[x.start : x.end] == x.text
     assert [x.text for x in rows["a"].lines] == ["급여", "월 250만원", "근무지: 서울"]
     assert len(rows["c"].lines) == 6 and rows["e"].lines == []
+
+
+def test_line_spans():
+    """The splitter against one written from the rule, character by character; and its cost."""
+    import random
+    import re
+    import time
+
+    from factsieve.operators.segment import _space, line_spans
+
+    space = set(_space())
+
+    def by_rule(text, limit):
+        out, start = [], 0
+        for row in text.split("\n"):
+            bare = row[:-1] if row.endswith("\r") else row
+            edges = {0, len(row)}
+            i = 0
+            while i < len(bare) and len(bare) > limit:
+                j = i
+                while j < len(bare) and bare[j] in space:
+                    j += 1
+                sentence = i > 1 and bare[i - 1] in ".!?。" and bare[i - 2] not in space and not re.match("[0-9]", bare[i - 2])
+                bullet = j < len(bare) and bare[j] in "•■▶※□◆●○"
+                if j > i and (sentence or bullet):
+                    edges.add(i)
+                i = max(j, i + 1)
+            edges = sorted(edges)
+            for a, b in zip(edges, edges[1:], strict=False):
+                while a < b and row[a] in space:
+                    a += 1
+                while b > a and row[b - 1] in space:
+                    b -= 1
+                if b > a:
+                    out.append((start + a, start + b))
+            start += len(row) + 1
+        return out
+
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "b.", "3.", "! ", " ", "　", "\n", "\r\n", "• ", "■x", "다.", "é"]) for _ in range(rng.randint(0, 120)))
+        for limit in (0, 5, 20):
+            assert line_spans(text, limit) == by_rule(text, limit), (text, limit)
+    seconds = []
+    for n in (500_000, 1_000_000):
+        t0 = time.process_time()
+        line_spans("some words here. and more text\n" * (n // 31), 20)
+        seconds.append(time.process_time() - t0)
+    assert seconds[1] < 4 * seconds[0]
+
+
+def test_spots():
+    """The automaton against a search for each word; patterns that need a word are never missed."""
+    import random
+
+    from factsieve.functions.literals import spots
+
+    rng = random.Random(5)
+    needs = (("ab", "b"), ("ca",), (), ("é", "abc"), ("ab",))
+    texts = ["\n".join("".join(rng.choice("abcé ") for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 5))) for _ in range(80)] + ["", "\n\n", "abc"]
+    ends, owner, line = spots(texts, needs)
+    got = [sorted(zip(owner[a:b].tolist(), line[a:b].tolist(), strict=True)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    assert got == [sorted((i, k) for i, words in enumerate(needs) for k, row in enumerate(t.split("\n")) if any(w in row for w in words)) for t in texts]
