@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from factsieve.operators import ocr, quality
 from factsieve.session import scratch
-from factsieve.sources.sinks import report_tables, write_results
+from factsieve.sources.sinks import audit_buckets, report_tables, write_buckets, write_results
 
 
 def test_quality(spark):
@@ -27,6 +27,24 @@ def test_results_are_read_back(spark):
     report_tables(df, scratch(spark, "rep"))
 
 
+def test_lost_and_changed_buckets_are_noticed(spark):
+    df = spark.range(400).selectExpr("CASE WHEN id < 390 THEN id END AS id", "concat('x', id % 7) AS t", "cast(id AS double) / 3 AS v")
+    path = scratch(spark, "res")
+    counts = write_buckets(df, path, "id", 8).cache()
+    assert all(r.ok and r.rows == r.rows_read for r in audit_buckets(counts, path, df).collect()) and counts.agg(F.sum("rows")).first()[0] == 400
+    written = spark.read.parquet(path)
+    lost = counts.first().bucket
+    for part, broken in ((written.filter(F.col("bucket") != lost), {lost}), (written.unionByName(written.filter(F.col("bucket") == lost)), {lost}),
+                         (written.withColumn("v", F.when(F.col("bucket") == lost, F.col("v") + 1).otherwise(F.col("v"))), {lost}),
+                         (written.withColumn("bucket", F.when(F.col("bucket") == lost, 99).otherwise(F.col("bucket"))), {lost, 99})):
+        other = scratch(spark, "res")
+        part.write.partitionBy("bucket").parquet(other)
+        audit = audit_buckets(counts, other, df).collect()
+        assert {r.bucket for r in audit if not r.ok} == broken
+    empty = scratch(spark, "res")
+    assert write_results(df.limit(0), empty, "id", 4).count() == 0
+
+
 def words(spark, rows):
     return spark.createDataFrame([("p", i, l, t, float(c), 0.0, 0.0, 1.0, 1.0, True) for i, (l, t, c) in enumerate(rows)],
                                  "page_id string, word_no int, line_id int, text string, confidence double, x0 double, y0 double, x1 double, y1 double, space boolean")
