@@ -30,10 +30,13 @@ def merged_runs(leaf: DataFrame, keep: str = "max") -> DataFrame:
     """One row a text: digest, check, bytes, keep_id, group_size.
 
     Entries are merged only if digest, check and length all agree, at every level, so texts that merely share a digest stay
-    apart. ``keep`` says which id stays: ``max`` or ``min``. The number of runs is the power of the fan that reaches
+    apart. The id that stays is kept as a struct, which Spark cannot update in a hash table: every level sorts its run by (run, digest, check,
+    bytes) and folds neighbours as they pass, so memory does not grow with the number of texts and a run that is too long spills as
+    sorted pieces that are merged. It costs a sort of the entries a level. ``keep`` says which id stays: ``max`` or ``min``. The number of runs is the power of the fan that reaches
     ``spark.sql.shuffle.partitions``.
     """
     best = F.max if keep == "max" else F.min
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id"))  # null ids take no part
     partitions = int(leaf.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rounds = 1
     while (1 << (FAN_BITS * rounds)) < partitions:
@@ -43,7 +46,7 @@ def merged_runs(leaf: DataFrame, keep: str = "max") -> DataFrame:
     level = (
         leaf.withColumn("run", F.spark_partition_id() % runs)
         .groupBy("run", *entry)
-        .agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .agg(best(named).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     )
     for k in range(rounds):
         digit = ((1 << FAN_BITS) - 1) << (FAN_BITS * k)
@@ -51,11 +54,10 @@ def merged_runs(leaf: DataFrame, keep: str = "max") -> DataFrame:
         level = (
             level.withColumn("run", F.col("run").bitwiseAND(F.lit(runs - 1 - digit)).bitwiseOR(low.bitwiseAND(F.lit(digit))))
             .repartition(runs, "run")
-            .sortWithinPartitions("run", *entry)
             .groupBy("run", *entry)
-            .agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+            .agg(best("keep").alias("keep"), F.sum("group_size").alias("group_size"))
         )
-    return level.drop("run")
+    return level.select(*entry, F.col("keep.doc_id").alias("keep_id"), "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
