@@ -264,6 +264,7 @@ def set_rows(docs: DataFrame, sets: DataFrame, pairs: DataFrame, write: str) ->
     """sid, n and the ``tokens`` (64-bit numbers, ascending) or the ``signature`` as binary, of the sets in ``pairs``, each from the document of least id.
 
     A bit filter of fixed size spares the shingling of most other documents; what it lets through by chance goes in the join that follows.
+    A set that only rows without id have is asked of these rows: the null id is a value like others here.
     """
     named = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     need = written(sets.join(named, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "need")
@@ -280,7 +281,9 @@ def set_rows(docs: DataFrame, sets: DataFrame, pairs: DataFrame, write: str) ->
 
     d = docs.select(F.col("doc_id").cast("long"), "text", filter_place("doc_id").alias("place"))
     rows = d.mapInArrow(run, f"doc_id long, sid long, n long, {write} binary")
-    return rows.join(need, ["doc_id", "sid"], "left_semi").dropDuplicates(["sid"]).select("sid", "n", write)
+    asked = need.select(F.col("doc_id").alias("need_id"), F.col("sid").alias("need_sid"))
+    found = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("need_id")) & (F.col("sid") == F.col("need_sid")), "left_semi")
+    return found.dropDuplicates(["sid"]).select("sid", "n", write)
 
 
 def compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, all_of_them: bool) -> DataFrame:

@@ -363,3 +363,18 @@ def test_pipeline(docs, spark, tmp_path):
     assert not ids & {0, 1, 2}  # no language
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.select("doc_id").collect()} == ids
+
+
+def test_exact_dedup_merges_sorted_runs(docs):
+    merged = exact_dedup.merged_runs(exact_dedup.digests(docs))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("SortAggregate") >= 4 and plan.count("Sort [run") >= 2
+    keeps = exact_dedup.exact_dedup(docs, keep="min").where("text_sha256 = sha2(lower('One'), 256)").first()
+    assert keeps.keep_id == 3
+
+
+def test_a_set_of_rows_without_id_links_others(spark):
+    words = [f"w{i}" for i in range(204)]
+    a, b, c = " ".join(words[:164]), " ".join(words[:184]), " ".join(words[20:184])
+    got = ngram_join.join(spark.createDataFrame([(1, a), (None, b), (2, c)], "doc_id long, text string"))
+    assert sorted((r.n_shingles, r.component_id) for r in got.collect()) == [(160, 1), (160, 1), (180, 1)]
