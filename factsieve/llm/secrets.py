@@ -34,18 +34,20 @@ ENCODINGS = [
     ("base62", "^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER),
     ("base64", "^[0-9A-Za-z+/_-]+=*$", DIGITS + UPPER + LOWER + "+/"),
 ]
-#: Classes of characters of an encoding: pattern and number of characters. In hex, base26 and base36 all letters have one case.
+#: Classes of characters.
+CHARS = {"digit": "0-9", "upper": "A-Z", "lower": "a-z", "sign": "+/"}
+#: Classes of an encoding: which of ``CHARS`` they join and their number of characters. In hex, base26 and base36 all letters have one case.
 CLASSES = {
-    "hex": [("[0-9]", 10), ("[A-Za-z]", 6)],
-    "base26": [("[A-Za-z]", 26)],
-    "base32": [("[2-7]", 6), ("[A-Z]", 26)],
-    "base36": [("[0-9]", 10), ("[A-Za-z]", 26)],
-    "base52": [("[A-Z]", 26), ("[a-z]", 26)],
-    "base62": [("[0-9]", 10), ("[A-Z]", 26), ("[a-z]", 26)],
-    "base64": [("[0-9]", 10), ("[A-Z]", 26), ("[a-z]", 26), ("[+/]", 2)],
+    "hex": [(["digit"], 10), (["upper", "lower"], 6)],
+    "base26": [(["upper", "lower"], 26)],
+    "base32": [(["digit"], 6), (["upper"], 26)],
+    "base36": [(["digit"], 10), (["upper", "lower"], 26)],
+    "base52": [(["upper"], 26), (["lower"], 26)],
+    "base62": [(["digit"], 10), (["upper"], 26), (["lower"], 26)],
+    "base64": [(["digit"], 10), (["upper"], 26), (["lower"], 26), (["sign"], 2)],
 }
-#: Words from whose letter pairs prose is known, and the characters of each document that are searched for them.
-WORD, WORD_CHARS = "(?<![0-9a-z+/_=-])[a-z]{3,19}(?![0-9a-z+/_=-])", 2000
+#: Words from whose letter pairs prose is known.
+WORD = "(?<![0-9a-z+/_=-])[a-z]{3,19}(?![0-9a-z+/_=-])"
 FALSE_SHARE = 0.05
 #: Steps of log10 p in which p-values are counted; a p-value counts as the upper end of its step.
 STEPS_PER_DECADE, DECADES = 50, 40
@@ -90,8 +92,8 @@ def _upper_normal(z: Column) -> Column:
 
 
 def letter_habits(docs: DataFrame) -> np.ndarray:
-    """26 x 26: ln of how much likelier a letter follows another in the distinct words of ``docs`` than at random. At most 676 rows reach the driver."""
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.substring("text", 1, WORD_CHARS)), F.lit(WORD), F.lit(0)))).alias("w")).distinct()
+    """26 x 26: ln of how much likelier a letter follows another in the distinct words of all whole texts of ``docs`` than at random. At most 676 rows reach the driver."""
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("w")).distinct()
     pairs = words.select(F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))")).alias("pair"))
     seen = np.ones((26, 26))
     for pair, k in pairs.groupBy("pair").count().collect():
@@ -99,8 +101,8 @@ def letter_habits(docs: DataFrame) -> np.ndarray:
     return np.log(26 * seen / seen.sum(1, keepdims=True))
 
 
-def battery(strings: DataFrame, habits: np.ndarray, col: str = "word") -> DataFrame:
-    """``strings`` with encoding, n and p: that of uniform, independent characters of the encoding. Null p: no encoding fits or too short."""
+def _features(strings: DataFrame, habits: np.ndarray, col: str) -> DataFrame:
+    """``strings`` with encoding, n and the numbers from which the tests follow, each one flat pass over the characters."""
     word = F.regexp_replace(F.col(col), "=+$", "")
     encoding, alphabet = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, pattern, letters in reversed(ENCODINGS):
@@ -108,44 +110,57 @@ def battery(strings: DataFrame, habits: np.ndarray, col: str = "word") -> DataFr
     s = strings.withColumns({"encoding": encoding, "_abc": alphabet})
     low = F.when(F.col("encoding").isin("hex", "base26", "base36"), F.lower(word)).otherwise(F.translate(word, "-_", "+/"))
     s = s.withColumn("_s", low).withColumn("n", F.length("_s")).withColumn("_a", F.length("_abc").cast("double"))
+    # how many characters each class has; an encoding adds some of them up
+    s = s.withColumns({f"_of_{name}": F.col("n") - F.length(F.regexp_replace("_s", f"[{chars}]", "")) for name, chars in CHARS.items()})
     s = s.withColumn("_v", F.expr("transform(split(_s, ''), c -> cast(locate(c, _abc) - 1 as double))"))
+    # sum of squared counts of the characters
+    s = s.withColumn("_q", F.expr("aggregate(array_distinct(_v), 0D, (t, x) -> t + power(size(filter(_v, y -> y = x)), 2))"))
+    # characters above the middle of the alphabet, runs below and above it
+    s = s.withColumn("_high", F.expr("cast(size(filter(_v, x -> x >= _a / 2)) as double)"))
+    s = s.withColumn("_runs", F.expr("1D + size(filter(zip_with(slice(_v, 1, n - 1), slice(_v, 2, n - 1), (x, y) -> (x >= _a / 2) <> (y >= _a / 2)), b -> b))"))
+    # spread, and products of neighbours
+    s = s.withColumn("_m", F.expr("aggregate(_v, 0D, (t, x) -> t + x) / n"))
+    s = s.withColumn("_ss", F.expr("aggregate(_v, 0D, (t, x) -> t + power(x - _m, 2))"))
+    s = s.withColumn("_sc", F.expr("aggregate(zip_with(slice(_v, 1, n - 1), slice(_v, 2, n - 1), (x, y) -> (x - _m) * (y - _m)), 0D, (t, x) -> t + x)"))
+    # letter pairs and the sum of their habits
+    s = s.withColumn("_c", F.expr("transform(split(lower(_s), ''), c -> ascii(c) - 97)"))
+    s = s.withColumn("_pairs", F.expr("filter(zip_with(slice(_c, 1, n - 1), slice(_c, 2, n - 1), (x, y) -> if(x between 0 and 25 and y between 0 and 25, x * 26 + y, -1)), v -> v >= 0)"))
+    known = F.split(F.lit(" ".join(repr(float(x)) for x in habits.ravel())), " ").cast("array<double>")  # one literal, not 676 in each plan
+    s = s.withColumn("_known", known)
+    s = s.withColumn("_sum", F.aggregate("_pairs", F.lit(0.0), lambda t, v: t + F.get("_known", v))).withColumn("_k", F.size("_pairs").cast("double"))
+    return s.drop("_abc", "_s", "_v", "_m", "_c", "_pairs", "_known")
+
+
+def battery(strings: DataFrame, habits: np.ndarray, col: str = "word") -> DataFrame:
+    """``strings`` with encoding, n and p: that of uniform, independent characters of the encoding. Null p: no encoding fits or too short.
+
+    The numbers of each string are written first, so that the tests are a second plan over numeric columns and neither plan is large.
+    """
+    s = written(_features(strings, habits, col), "features")
     n, a = F.col("n").cast("double"), F.col("_a")
     # shares of the classes of characters
     between, free = F.lit(None).cast("double"), F.lit(None).cast("int")
     for name, classes in CLASSES.items():
         size = sum(k for _, k in classes)
-        parts = [(F.length(F.regexp_replace("_s", f"[^{c[1:]}", "")) - n * k / size) ** 2 / (n * k / size) for c, k in classes]
+        parts = [(sum(F.col(f"_of_{c}") for c in of) - n * k / size) ** 2 / (n * k / size) for of, k in classes]
         between = F.when(F.col("encoding") == name, sum(parts[1:], parts[0])).otherwise(between)
         free = F.when(F.col("encoding") == name, len(classes) - 1).otherwise(free)
     s = s.withColumns({"_between": between, "_free": free})
-    # uniformity within the classes: sum of squared counts, less what the classes explain
-    s = s.withColumn("_q", F.expr("aggregate(array_distinct(_v), 0D, (t, x) -> t + power(size(filter(_v, y -> y = x)), 2))"))
+    # uniformity within the classes: what the classes explain is taken off
     chi = a / n * F.col("_q") - n
     left = a - 1 - F.col("_free")
-    z_chi = (chi - F.col("_between") - left) / F.sqrt(2 * left * (n - 1) / n)
-    s = s.withColumn("_z1", z_chi)
-    # runs below and above the middle of the alphabet
-    s = s.withColumn("_high", F.expr("cast(size(filter(_v, x -> x >= _a / 2)) as double)"))
-    s = s.withColumn("_runs", F.expr("1D + size(filter(zip_with(slice(_v, 1, n - 1), slice(_v, 2, n - 1), (x, y) -> (x >= _a / 2) <> (y >= _a / 2)), b -> b))"))
+    s = s.withColumn("_z1", (chi - F.col("_between") - left) / F.sqrt(2 * left * (n - 1) / n))
     hi, lo = F.col("_high"), n - F.col("_high")
     mean = 2 * hi * lo / n + 1
     var = (mean - 1) * (mean - 2) / (n - 1)
     s = s.withColumn("_z2", F.when(var > 0, F.abs(F.col("_runs") - mean) / F.sqrt(F.greatest(var, F.lit(1e-9)))).otherwise(F.lit(5.0)))
     # serial correlation of neighbours
-    s = s.withColumn("_m", F.expr("aggregate(_v, 0D, (t, x) -> t + x) / n"))
-    s = s.withColumn("_ss", F.expr("aggregate(_v, 0D, (t, x) -> t + power(x - _m, 2))"))
-    s = s.withColumn("_sc", F.expr("aggregate(zip_with(slice(_v, 1, n - 1), slice(_v, 2, n - 1), (x, y) -> (x - _m) * (y - _m)), 0D, (t, x) -> t + x)"))
     z_sc = F.abs(F.col("_sc") / F.greatest(F.col("_ss"), F.lit(1e-9)) + 1 / n) * F.sqrt(n)
     s = s.withColumn("_z3", F.when(F.col("_ss") > 0, z_sc).otherwise(F.lit(5.0)))
-    # letter pairs: the sum of their habits against its mean and deviation at random, pairs that share a letter included
-    s = s.withColumn("_c", F.expr("transform(split(lower(_s), ''), c -> ascii(c) - 97)"))
-    s = s.withColumn("_pairs", F.expr("filter(zip_with(slice(_c, 1, n - 1), slice(_c, 2, n - 1), (x, y) -> if(x between 0 and 25 and y between 0 and 25, x * 26 + y, -1)), v -> v >= 0)"))
-    known = F.split(F.lit(" ".join(repr(float(x)) for x in habits.ravel())), " ").cast("array<double>")  # one literal, not 676 in each plan
-    s = s.withColumn("_known", known)
-    s = s.withColumn("_sum", F.aggregate("_pairs", F.lit(0.0), lambda t, v: t + F.get("_known", v)))
 
+    # letter pairs: the sum of their habits against its mean and deviation at random, pairs that share a letter included
     def z_pairs(table: np.ndarray) -> Column:
-        m, mean = F.size("_pairs").cast("double"), float(table.mean())
+        m, mean = F.col("_k"), float(table.mean())
         shared = float((table.mean(0) * table.mean(1)).mean()) - mean**2
         spread = m * float(table.var()) + 2 * F.greatest(m - 1, F.lit(0.0)) * shared
         return F.when(spread > 1e-6, (F.col("_sum") - m * mean) / F.sqrt(F.greatest(spread, F.lit(1e-6)))).otherwise(F.lit(0.0))
