@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -20,15 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Only a local session without it (tests) gets one made."""
+    """The folder in ``spark.checkpoint.dir``, which the driver and all executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
