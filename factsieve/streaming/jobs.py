@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from factsieve.operators import facets, relate, segment, status, verify
+from factsieve.operators.editmap import Confirm, Edit, after_events
 from factsieve.operators.extract import extract, rule_extractor
-from factsieve.operators.spans import step_edit
+from factsieve.operators.spans import SPANS_AFTER, as_span, span_frame
 from factsieve.operators.usage import PER_KEY, WINDOW_MS, decide
 from factsieve.packs import rule_pack
 
@@ -66,30 +67,32 @@ class SpanKeeper(StatefulProcessor):
         self.spans = handle.getValueState("spans", "spans string, next_id bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        spans, next_id = [], 1
+        live, next_id, events = [], 1, []
         if self.spans.exists():
             held = self.spans.get()
-            spans, next_id = json.loads(held[0]), int(held[1])
-        whole = lambda v: None if pd.isna(v) else int(v)
+            live, next_id = json.loads(held[0]), int(held[1])
         for r in pd.concat(list(rows)).sort_values(["rev", "span_id"]).itertuples(index=False):
             if r.rev < 0:
-                spans.append({"span_id": int(r.span_id), "kind": r.kind, "state": r.state, "start": whole(r.start),
-                              "end": whole(r.end), "text": r.text})
+                live.append(as_span(r))
                 next_id = max(next_id, int(r.span_id) + 1)
-            elif whole(r.start) is not None:  # an edit without a region changes nothing
-                spans, next_id = step_edit(spans, next_id, int(r.start), int(r.end), int(r.new_end), r.text, 0)
-        self.spans.update((json.dumps(spans), next_id))
-        yield pd.DataFrame([{"doc_id": key[0], **s} for s in spans],
-                           columns=["doc_id", "span_id", "kind", "state", "start", "end", "text"])
+            elif r.kind == "confirm":
+                events.append(Confirm(len(events), int(r.span_id)))
+            elif not pd.isna(r.start):  # an edit without a region changes nothing
+                events.append(Edit(len(events), int(r.start), int(r.end), r.text or ""))
+        live, next_id = after_events(live, next_id, events)
+        self.spans.update((json.dumps(live), next_id))
+        yield span_frame(key[0], live)
 
     def close(self) -> None:
         pass
 
 
 def span_stream(rows: DataFrame) -> DataFrame:
-    """Spans after each micro-batch (P3): doc_id, rev (-1 seeds a span), span_id, kind, state, start, end, new_end, text."""
-    return rows.groupBy("doc_id").transformWithStateInPandas(
-        SpanKeeper(), "doc_id string, span_id bigint, kind string, state string, start int, end int, text string", "Append", "None")
+    """Spans after each micro-batch (P3, P4): doc_id, rev (-1 seeds a span), span_id, kind, state, start, end, new_end, text.
+
+    A row of kind ``confirm`` settles the span ``span_id`` at its ``rev``; any other row with a rev of 0 or more replaces start to end by text.
+    """
+    return rows.groupBy("doc_id").transformWithStateInPandas(SpanKeeper(), SPANS_AFTER, "Append", "None")
 
 
 def run_metrics(log: DataFrame, ts: str = "ts", kind: str = "code", window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
