@@ -79,46 +79,55 @@ def shift_anchors(issues: DataFrame, edits: DataFrame) -> DataFrame:
     return issues.join(edits, "doc_id", "left").withColumn("anchor", moved).drop("start", "old_end", "new_end")
 
 
+def _gap(piece: Column, before: Column) -> Column:
+    """What stands between two neighbouring pieces; a supplement is kept apart by an empty line, white space that is there counts."""
+    open_line = F.when(before["body"].endswith("\n\n"), "").when(before["body"].endswith("\n"), "\n").otherwise("\n\n")
+    own = F.when(before["added"] & ~matches(piece["body"], r"^\s"), "\n\n").otherwise("")
+    return F.when(before.isNull(), "").otherwise(F.when(piece["added"], open_line).otherwise(own))
+
+
 def assemble_text(docs: DataFrame, issues: DataFrame) -> DataFrame:
     """Text with the supplements in their places; uncertain ranges move along.
 
-    ``docs``: doc_id, text, low_confidence. A document has at most as many issues as pages.
+    ``docs``: doc_id, text, low_confidence. A document has at most as many issues as pages. The text is cut at the places of the supplements; its parts and
+    the supplements are one row of pieces, and what separates two neighbours depends on these two alone. A range lies in the part that holds its start, or
+    follows the part that ends there. Documents without a supplement stay as they are.
     """
     use = issues.filter(F.col("resolution").isin(*NEEDS_TEXT) & has_text(F.col("supplement")))
-    per_doc = use.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
-        F.coalesce("anchor", F.lit(2**31 - 1)).cast("int").alias("at"), "position", trim_space(F.col("supplement")).alias("body")))).alias("_ins"))
-    on = docs.join(per_doc, "doc_id", "left")
-    text, n = F.col("text"), F.length("text")
-    slices0 = F.array().cast("array<struct<a:int,b:int,at:int>>")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("cur"), F.lit(False).alias("was"), slices0.alias("slices"))
-
-    def add_main(acc: Column, to: Column) -> Column:
-        piece = F.substring(text, acc["cur"] + 1, to - acc["cur"])
-        gap = F.when(acc["was"] & ~matches(piece, r"^\s"), "\n\n").otherwise("")
-        grown = F.struct(
-            F.concat(acc["out"], gap, piece).alias("out"), to.alias("cur"), F.lit(False).alias("was"),
-            F.array_append(acc["slices"], F.struct(acc["cur"].alias("a"), to.alias("b"), (F.length(acc["out"]) + F.length(gap)).alias("at"))).alias("slices"))
-        return F.when(to > acc["cur"], grown).otherwise(acc)
-
-    def step(acc: Column, ins: Column) -> Column:
-        at = F.least(F.greatest(ins["at"], F.lit(0)), n)
-        m = add_main(acc, at)
-        gap = F.when(F.length(m["out"]) == 0, "").when(m["out"].endswith("\n\n"), "").when(m["out"].endswith("\n"), "\n").otherwise("\n\n")
-        return F.struct(F.concat(m["out"], gap, ins["body"]).alias("out"), m["cur"].alias("cur"), F.lit(True).alias("was"), m["slices"].alias("slices"))
-
-    done = F.aggregate("_ins", start, step, lambda acc: add_main(acc, n))
-    out = on.withColumn("_done", F.when(F.col("_ins").isNotNull(), done))
+    n = F.length("text")
+    supplement = F.struct(F.coalesce("anchor", F.lit(2**31 - 1)).alias("anchor"), "position", trim_space(F.col("supplement")).alias("body"))
+    added = use.groupBy("doc_id").agg(F.array_sort(F.collect_list(supplement)).alias("_added"))
+
+    def clamped(x: Column) -> Column:
+        return F.struct(F.least(F.greatest(x["anchor"], F.lit(0)), n).cast("int").alias("at"), x["body"].alias("body"))
+
+    def part(low: Column, high: Column) -> Column:
+        return F.struct(F.lit(False).alias("added"), low.alias("low"), high.alias("high"), F.substring("text", low + 1, high - low).alias("body"))
+
+    def entry(x: Column, i: Column) -> Column:
+        low = F.coalesce(F.get("_added", i - 1)["at"], F.lit(0))
+        return F.array(part(low, x["at"]), F.struct(F.lit(True).alias("added"), x["at"].alias("low"), x["at"].alias("high"), x["body"].alias("body")))
+
+    last = F.array(part(F.element_at("_added", -1)["at"], n))
+    on = docs.join(added, "doc_id", "left").withColumn("_added", F.transform("_added", clamped))
+    cut = on.withColumn("_cut", F.filter(F.concat(F.flatten(F.transform("_added", entry)), last), lambda p: p["body"] != ""))
+    spaced = cut.withColumn("_spaced", F.transform("_cut", lambda p, i: F.struct(p.alias("piece"), _gap(p, F.get("_cut", i - 1)).alias("gap"))))
+    width = lambda s: F.length(s["gap"]) + F.length(s["piece"]["body"])
+    begins = F.transform("_spaced", lambda s, i: F.aggregate(F.slice("_spaced", F.lit(1), i), F.length(s["gap"]), lambda t, x: t + width(x)))
+    own = F.filter(F.zip_with("_spaced", "_begins", lambda s, at: F.struct(s["piece"].alias("piece"), at.alias("at"))), lambda x: ~x["piece"]["added"])
+    spaced = spaced.withColumn("_begins", begins).withColumn("_own", own)
 
     def moved(r: Column) -> Column:
-        home = F.coalesce(
-            F.get(F.filter("_done.slices", lambda s: (r["start"] >= s["a"]) & (r["start"] < s["b"])), F.lit(0)),
-            F.get(F.filter("_done.slices", lambda s: r["start"] == s["b"]), F.lit(0)))
-        at = F.when(home.isNotNull(), home["at"] + r["start"] - home["a"]).otherwise(r["start"]).cast("int")
+        inside = F.filter("_own", lambda x: (x["piece"]["low"] <= r["start"]) & (r["start"] < x["piece"]["high"]))
+        ended = F.filter("_own", lambda x: x["piece"]["high"] == r["start"])
+        home = F.get(F.concat(inside, ended), F.lit(0))
+        at = F.coalesce(home["at"] + r["start"] - home["piece"]["low"], r["start"]).cast("int")
         return F.struct(at.alias("start"), (at + r["end"] - r["start"]).alias("end"))
 
-    return out.select(
-        "doc_id", F.coalesce("_done.out", "text").alias("text"),
-        F.when(F.col("_done").isNotNull(), F.transform("low_confidence", moved)).otherwise(F.col("low_confidence")).alias("low_confidence"))
+    whole = F.array_join(F.transform("_spaced", lambda s: F.concat(s["gap"], s["piece"]["body"])), "")
+    return spaced.select(
+        "doc_id", F.when(F.col("_added").isNull(), F.col("text")).otherwise(whole).alias("text"),
+        F.when(F.col("_added").isNull(), F.col("low_confidence")).otherwise(F.transform("low_confidence", moved)).alias("low_confidence"))
 
 
 def result_notes(issues: DataFrame) -> DataFrame:

@@ -86,6 +86,17 @@ def test_supplements_go_to_their_places(spark):
     assert out.text[out.low_confidence[0].start : out.low_confidence[0].end] == "15일"
 
 
+def test_supplements_at_both_ends_together_and_beside_white_space(spark):
+    docs = spark.createDataFrame([("d", "ab\ncd", [(3, 5), (0, 1)]), ("e", "same", [(0, 2)]), ("f", "", []), ("g", "x\n\ny", None)],
+                                 "doc_id string, text string, low_confidence array<struct<start:int,end:int>>")
+    rows = [("d", 1, 0, " A "), ("d", 2, 3, "B"), ("d", 3, 3, "C"), ("d", 4, None, "Z"), ("e", 1, 0, "  "), ("f", 1, 9, "F"), ("g", 1, 1, "G"), ("g", 2, 3, "H")]
+    marks = spark.createDataFrame([(d, p, a, "supplemented", s) for d, p, a, s in rows], "doc_id string, position int, anchor int, resolution string, supplement string")
+    out = {r.doc_id: r for r in issues.assemble_text(docs, marks).collect()}
+    assert out["d"].text == "A\n\nab\n\nB\n\nC\n\ncd\n\nZ"
+    assert [out["d"].text[r.start : r.end] for r in out["d"].low_confidence] == ["cd", "a"]
+    assert (out["e"].text, out["f"].text, out["g"].text) == ("same", "F", "x\n\nG\n\nH\n\ny") and out["g"].low_confidence is None
+
+
 def test_documents_stream_matches_batch(spark):
     from factsieve.operators import facets, relate
 
