@@ -11,8 +11,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def local_session(cores: int | str = "*", app: str = "factsieve", memory: str = "20g") -> SparkSession:
-    """A local session for tests and benchmarks."""
-    return (
+    """A local session for tests and benchmarks. Where no shared folder is configured it gets one of its own below /tmp."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", memory)
@@ -24,23 +24,19 @@ def local_session(cores: int | str = "*", app: str = "factsieve", memory: str =
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-        .getOrCreate()
     )
+    spark = builder.getOrCreate()
+    if not spark.conf.get("spark.checkpoint.dir", None):  # it can only be set before a session starts
+        spark.stop()
+        spark = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).getOrCreate()
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and hand-over tables.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (a local
-    session in tests) is a local folder made and set.
-    """
+    """The shared folder for checkpoints and hand-over tables, as named in ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named
 
 
