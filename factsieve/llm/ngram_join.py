@@ -3,13 +3,14 @@
 Two sets of similarity 0.8 share one of the first tokens of each, in any one order of all tokens; tokens that many documents have
 come last in the order used here. Documents are listed under their first tokens, and lists are walked in blocks:
 
-* Block skipping: a list is sorted by set size and place of the token; two blocks are skipped if their sizes are too far apart or too little
-  can still follow their places.
-* Answers from similar sets: equal sets are one. In each list the sets are first compared with one of them, the hub. What is linked to
-  a hub is in the hub's class, and of the pairs left, those in one class need no look at all; for the others the overlaps with a common hub bound
-  the overlap of the pair from both sides, and only pairs that the bounds leave open are compared.
-
-All pairs that could connect two classes are decided, so the classes are exact. Pairs within a class are not written out.
+* Block skipping: a list is sorted by set size and place of the token; two blocks are skipped if their sizes are too far apart, too little
+  can still follow their places or all their sets are of one class.
+* Answers from similar sets: equal sets are one. In rounds, each set asks one other set only: of the leaders of its lists the one it shares most lists
+  with. What is linked joins a class, and lists of one class go. For the pairs left, the overlaps with a common leader bound
+  the overlap of the pair from both sides, as do counts of tokens per bucket of each set, and only pairs that the bounds leave open are compared.
+
+A round asks at most one pair a set, so a passage or a class of many sets makes no pairs by the square. All pairs that could connect two classes are
+decided in the end, so the classes are exact. Pairs within a class are not written out.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ STEP_BYTES = 1 << 20
 CELL_BITS, LAST_CELLS = 22, 1 << 20
 #: Sets that meet at once in a list, and pairs that are looked at or held at once.
 BLOCK, PAIRS = 64, 1 << 18
+#: Rounds in which sets ask leaders. They decide nothing that the last step would not; more of them leave it less to do.
+ROUNDS = 3
+#: Buckets whose tokens are counted for the bound that goes with each row of a list.
+BUCKETS = 64
 
 
 def _batches(column: int, batches, needed=None):
@@ -66,26 +71,51 @@ def cells(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
+def bucket_counts(tokens: np.ndarray, buckets: int) -> bytes | None:
+    """Tokens per bucket, a byte each; None, which bounds nothing, where a byte is too small."""
+    counts = np.bincount((mixed(tokens) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 255 else None
+
+
+def fine_buckets(n: int) -> int:
+    """About 8 tokens a bucket; a power of two."""
+    return max(BUCKETS, 1 << max(0, (n // 8).bit_length()))
+
+
+def most_shared(na: int, ca: bytes | None, nb: int, cb: bytes | None) -> int:
+    """No more than this can two sets share: in each bucket the smaller count. The halves of the longer counts are added until both are alike."""
+    if ca is None or cb is None:
+        return min(na, nb)
+    a, b = np.frombuffer(ca, np.uint8).astype(np.int64), np.frombuffer(cb, np.uint8).astype(np.int64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] + a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] + b[len(b) // 2 :]
+    return int(np.minimum(a, b).sum())
+
+
 def summaries(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, sid) of documents, and rows (cell, often) of cells of tokens that stand out among the texts of a task.
+    """Rows (doc_id, n, sid, coarse, fine) of documents, and rows (cell, often) of cells of tokens that stand out among the texts of a task.
 
-    A cell stands out if it has clearly more tokens than tokens of their own would give it.
+    ``coarse`` and ``fine`` are ``bucket_counts``. A cell stands out if it has clearly more tokens than tokens of their own would give it.
     """
+    names = ["doc_id", "n", "sid", "coarse", "fine", "cell", "often"]
 
     def run(batches):
         counts = np.zeros(1 << CELL_BITS, np.int64)
         for part, sets in _batches(1, batches):
             n = pa.array([len(s) for s in sets], pa.int64())
             sid = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+            coarse, fine = (pa.array([bucket_counts(s, of(len(s))) if len(s) else None for s in sets], pa.binary()) for of in (lambda _: BUCKETS, fine_buckets))
             empty = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), n, sid, empty, empty], names=["doc_id", "n", "sid", "cell", "often"])
+            yield pa.RecordBatch.from_arrays([part.column(0), n, sid, coarse, fine, empty, empty], names=names)
             np.add.at(counts, cells(np.concatenate([*sets, np.zeros(0, np.uint64)])), 1)
         mean = counts.mean()
         often = np.flatnonzero(counts > mean + 3 * np.sqrt(mean) + 2)
-        empty = pa.nulls(len(often), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(often), pa.array(counts[often])], names=["doc_id", "n", "sid", "cell", "often"])
+        empty, none = pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.binary())
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, none, none, pa.array(often), pa.array(counts[often])], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sid long, cell long, often long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sid long, coarse binary, fine binary, cell long, often long")
 
 
 def postings(docs: DataFrame, last: np.ndarray) -> DataFrame:
@@ -117,11 +147,18 @@ def postings(docs: DataFrame, last: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "token long, sid long, n int, pos int")
 
 
+def _column(c: pa.Array) -> np.ndarray:
+    """Numbers, or a row of ``BUCKETS`` bytes each; unknown counts are 255, which stands for nothing else."""
+    if pa.types.is_binary(c.type):
+        return np.frombuffer(b"".join(c.fill_null(b"\xff" * BUCKETS).to_pylist()), np.uint8).reshape(-1, BUCKETS)
+    return c.to_numpy(zero_copy_only=False)
+
+
 def _lists(batches):
     """Whole lists of a partition sorted by token: arrays of each column, several lists at a time."""
     held = None
     for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        columns = [_column(c) for c in batch.columns]
         if held is not None:
             columns = [np.concatenate([a, b]) for a, b in zip(held, columns, strict=True)]
         token = columns[0]
@@ -133,24 +170,6 @@ def _lists(batches):
         yield held
 
 
-def shared_lists(posted: DataFrame) -> DataFrame:
-    """Lists of two sets or more, each row with the list's hub (its least set number), hub_n and hub_pos."""
-
-    def run(batches):
-        for token, sid, n, pos in _lists(batches):
-            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            keep = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])  # a set may come from several batches
-            size = np.add.reduceat(keep.astype(np.int64), first)
-            many = keep & np.repeat(size > 1, np.diff(np.append(first, len(token))))
-            hub = np.repeat(first, np.diff(np.append(first, len(token))))[many]
-            if len(hub):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[many], sid[many], n[many], pos[many], sid[hub], n[hub], pos[hub])],
-                                                 names=["token", "sid", "n", "pos", "hub", "hub_n", "hub_pos"])
-
-    ordered = posted.repartition("token").sortWithinPartitions("token", "sid")
-    return ordered.mapInArrow(run, "token long, sid long, n int, pos int, hub long, hub_n int, hub_pos int")
-
-
 def _possible(n1, p1, n2, p2):
     """Could sets of these sizes that have a token at these places be linked? For numpy arrays."""
     small_n, large_n = np.minimum(n1, n2), np.maximum(n1, n2)
@@ -158,29 +177,61 @@ def _possible(n1, p1, n2, p2):
     return (5 * small_n >= 4 * large_n) & listed & (1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) >= least_overlap(n1, n2))
 
 
-def hub_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a set and the hub of one of its lists that could be linked."""
+def led_lists(posted: DataFrame, turn: int) -> DataFrame:
+    """Rows of the lists of more than one class, each with the leader of another class that it could be linked with (null if there is none).
+
+    ``posted``: token, sid, n, pos, label. A list has two leaders of different classes, the least in an order of all sets that changes by ``turn``;
+    a set is led by the first of them that is not of its class.
+    """
+    salt = mixed(np.array([turn + 1], np.uint64))[0]
 
     def run(batches):
-        for batch in batches:
-            sid, n, pos, hub, hub_n, hub_pos = (batch.column(c).to_numpy().astype(np.int64) for c in ("sid", "n", "pos", "hub", "hub_n", "hub_pos"))
-            ok = (sid != hub) & _possible(n, pos, hub_n, hub_pos)
-            both = np.unique(np.stack([hub[ok], sid[ok]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        for token, sid, n, pos, label in _lists(batches):
+            new = np.concatenate([[True], token[1:] != token[:-1]])
+            keep = new | np.concatenate([[True], sid[1:] != sid[:-1]])  # a set may come from several batches
+            first = np.flatnonzero(new)
+            several = np.maximum.reduceat(label, first) != np.minimum.reduceat(label, first)
+            keep &= np.repeat(several, np.diff(np.append(first, len(token))))
+            token, sid, n, pos, label = (x[keep] for x in (token, sid, n, pos, label))
+            if not len(token):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            at = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(token))))
+            key = mixed(sid.view(np.uint64) ^ salt)  # differs among the sets of a list
+            one = np.flatnonzero(key == np.minimum.reduceat(key, first)[at])
+            other = label != label[one][at]
+            key = np.where(other, key, np.uint64(0xFFFFFFFFFFFFFFFF))
+            two = np.flatnonzero(other & (key == np.minimum.reduceat(key, first)[at]))
+            led = np.where(other, one[at], two[at])
+            ok = _possible(n.astype(np.int64), pos.astype(np.int64), n[led].astype(np.int64), pos[led].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (token, sid, n, pos)), pa.array(sid[led], mask=~ok)], names=["token", "sid", "n", "pos", "leader"])
+
+    ordered = posted.select("token", "sid", "n", "pos", "label").repartition("token").sortWithinPartitions("token", "sid")
+    return ordered.mapInArrow(run, "token long, sid long, n int, pos int, leader long")
+
+
+def labelled(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """``lists`` with the class of each set; sets without a row in ``classes`` (sid, label) are classes of their own."""
+    return lists.join(classes, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
-    return lists.mapInArrow(run, "a long, b long").distinct()
 
+def asked_leaders(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b): each set b and the leader a with which it shares most lists, the least one of several."""
+    shared = lists.where("leader IS NOT NULL").groupBy("sid", "leader").agg(F.count(F.lit(1)).alias("c"))
+    best = shared.groupBy("sid").agg(F.min(F.struct((-F.col("c")).alias("c"), "leader")).alias("best"))
+    return best.select(F.col("best.leader").alias("a"), F.col("sid").alias("b"))
 
-def open_pairs(lists: DataFrame, classes: DataFrame, seen: DataFrame) -> DataFrame:
+
+def open_pairs(lists: DataFrame, classes: DataFrame, seen: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b, linked) of different classes that share a list and are linked (true) or could be (false), by blocks of lists.
 
-    Lists with one class are passed over. ``classes``: sid, label; sets without a row are classes of their own. ``seen`` has the overlaps p
-    and q of a list's sets with its hub of H tokens: two sets share at least p + q - H, and at most min(p, q) within the hub and
-    min(na - p, nb - q) outside. So most pairs are decided here, and only those left open are written out.
+    Lists with one class are passed over. ``seen`` (a, b, na, shared) has overlaps p and q of two sets with a leader a of H tokens: the
+    sets share at least p + q - H, and at most min(p, q) within the leader and min(n1 - p, n2 - q) outside. They share at most the smaller count of each
+    bucket, too. So most pairs are decided here, and only those left open are written out.
     """
 
     def run(batches):
-        for token, sid, n, pos, label, hub_n, p in _lists(batches):
+        for token, sid, n, pos, label, hub, hub_n, p, counts in _lists(batches):
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             bounds = np.append(first, len(token))
             mixed_list = np.maximum.reduceat(label, first) != np.minimum.reduceat(label, first)
@@ -190,11 +241,13 @@ def open_pairs(lists: DataFrame, classes: DataFrame, seen: DataFrame) -> DataFra
                 """Rows (a, b, linked) of the pairs of places k and m."""
                 ok = (label[k] != label[m]) & _possible(n[k], pos[k], n[m], pos[m])
                 k, m = k[ok], m[ok]
-                known = (p[k] >= 0) & (p[m] >= 0)
+                known = (p[k] >= 0) & (p[m] >= 0) & (hub[k] == hub[m])
                 need = least_overlap(n[k], n[m])
                 most = np.minimum(p[k], p[m]) + np.minimum(n[k] - p[k], n[m] - p[m])
                 sure = known & (p[k] + p[m] - hub_n[k] >= need)
                 keep = sure | ~known | (most >= need)
+                in_buckets = np.minimum(counts[k], counts[m]).sum(1, dtype=np.int64)
+                keep &= (in_buckets >= need) | (counts[k, 0] == 255) | (counts[m, 0] == 255)
                 k, m = k[keep], m[keep]
                 return np.stack([np.minimum(sid[k], sid[m]), np.maximum(sid[k], sid[m]), sure[keep]], 1)
 
@@ -212,9 +265,12 @@ def open_pairs(lists: DataFrame, classes: DataFrame, seen: DataFrame) -> DataFra
                     starts = np.arange(a, b, BLOCK)
                     low, high = n[starts], n[np.minimum(starts + BLOCK, b) - 1]  # lists are sorted by size
                     ahead = np.maximum.reduceat((n - pos)[a:b], starts - a)  # what follows the token, itself included, at most
+                    from_label, to_label = (f.reduceat(label[a:b], starts - a) for f in (np.minimum, np.maximum))
                     for i, s in enumerate(starts):
-                        # blocks whose sizes or places rule out every pair are skipped
-                        meets = np.flatnonzero((5 * high[i] >= 4 * low[i:]) & (np.minimum(ahead[i], ahead[i:]) >= least_overlap(low[i], low[i:]))) + i
+                        # blocks whose sizes, places or classes rule out every pair are skipped
+                        meets = (5 * high[i] >= 4 * low[i:]) & (np.minimum(ahead[i], ahead[i:]) >= least_overlap(low[i], low[i:]))
+                        meets &= (np.minimum(from_label[i], from_label[i:]) != np.maximum(to_label[i], to_label[i:]))
+                        meets = np.flatnonzero(meets) + i
                         x = np.arange(s, min(s + BLOCK, b))
                         for j in meets:
                             y = np.arange(starts[j], min(starts[j] + BLOCK, b))
@@ -234,34 +290,17 @@ def open_pairs(lists: DataFrame, classes: DataFrame, seen: DataFrame) -> DataFra
         three = np.unique(np.concatenate(out), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(three[:, 0]), pa.array(three[:, 1]), pa.array(three[:, 2] == 1)], names=["a", "b", "linked"])
 
-    overlap = seen.select(F.col("a").alias("hub"), F.col("b").alias("sid"), F.col("shared").alias("p"))
-    rows = lists.join(classes, "sid", "left").join(overlap, ["hub", "sid"], "left").select(
-        "token", "sid", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), F.coalesce("label", "sid").alias("label"),
-        F.col("hub_n").cast("long").alias("hub_n"), F.when(F.col("sid") == F.col("hub"), F.col("n").cast("long")).otherwise(F.coalesce("p", F.lit(-1))).alias("p"))
+    near = seen.groupBy(F.col("b").alias("sid")).agg(F.max(F.struct("shared", "a", "na")).alias("near"))
+    known = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.first("coarse").alias("coarse"))
+    rows = labelled(lists, classes).join(near, "sid", "left").join(known, "sid", "left").select(
+        "token", "sid", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "label", F.coalesce("near.a", F.lit(0)).alias("hub"),
+        F.coalesce("near.na", F.lit(0)).alias("hub_n"), F.coalesce("near.shared", F.lit(-1)).alias("p"), "coarse")
     found = rows.repartition("token").sortWithinPartitions("token", "n", "pos", "sid").mapInArrow(run, "a long, b long, linked boolean")
     return found.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
-def signature(tokens: np.ndarray) -> bytes:
-    """A bit per token, in a power of two of bits, at least 2 per token. Halves laid over each other give the shorter signature of the same set."""
-    bits = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
-    marks = np.zeros(bits, bool)
-    marks[(mixed(tokens) & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(marks).tobytes()
-
-
-def most_shared(na: int, sa: bytes, nb: int, sb: bytes) -> int:
-    """No more than this can two sets share: each bit that only one of them has is a token that the other lacks."""
-    a, b = np.frombuffer(sa, np.uint8), np.frombuffer(sb, np.uint8)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
-    return min(na - int(np.bitwise_count(a & ~b).sum()), nb - int(np.bitwise_count(b & ~a).sum()))
-
-
-def set_rows(docs: DataFrame, sets: DataFrame, pairs: DataFrame, write: str) -> DataFrame:
-    """sid, n and the ``tokens`` (64-bit numbers, ascending) or the ``signature`` as binary, of the sets in ``pairs``, each from the document of least id.
+def set_rows(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """sid, n and the ``tokens`` (64-bit numbers, ascending) as binary, of the sets in ``pairs``, each from the document of least id.
 
     A bit filter of fixed size spares the shingling of most other documents; what it lets through by chance goes in the join that follows.
     A set that only rows without id have is asked of these rows: the null id is a value like others here.
@@ -275,26 +314,26 @@ def set_rows(docs: DataFrame, sets: DataFrame, pairs: DataFrame, write: str) ->
 
     def run(batches):
         for part, found in _batches(1, batches, needed):
-            data = [s.astype("<u8").tobytes() if write == "tokens" else signature(s) for s in found]
+            data = [s.astype("<u8").tobytes() for s in found]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_id(s) if len(s) else None for s in found], pa.int64()),
-                                              pa.array([len(s) for s in found], pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "sid", "n", write])
+                                              pa.array([len(s) for s in found], pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "sid", "n", "tokens"])
 
     d = docs.select(F.col("doc_id").cast("long"), "text", filter_place("doc_id").alias("place"))
-    rows = d.mapInArrow(run, f"doc_id long, sid long, n long, {write} binary")
+    rows = d.mapInArrow(run, "doc_id long, sid long, n long, tokens binary")
     asked = need.select(F.col("doc_id").alias("need_id"), F.col("sid").alias("need_sid"))
     found = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("need_id")) & (F.col("sid") == F.col("need_sid")), "left_semi")
-    return found.dropDuplicates(["sid"]).select("sid", "n", write)
+    return found.dropDuplicates(["sid"]).select("sid", "n", "tokens")
 
 
-def compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, all_of_them: bool) -> DataFrame:
-    """a, b, na, nb, shared (their overlap) of all pairs, or of those only whose signatures say that they may be linked."""
+def compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, na, nb, shared (their overlap) of the pairs whose counts by bucket let them be linked; the others are not."""
 
     def joined(some: DataFrame, rows: DataFrame, data: str) -> DataFrame:
         left = rows.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col(data).alias("da"))
         right = rows.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col(data).alias("db"))
         return some.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "da", "db")
 
-    def by_signature(batches):
+    def by_counts(batches):
         for batch in batches:
             na, nb = (batch.column(c).to_pylist() for c in (2, 3))
             most = [most_shared(*x) for x in zip(na, batch.column(4).to_pylist(), nb, batch.column(5).to_pylist(), strict=True)]
@@ -311,12 +350,9 @@ def compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, all_of_them: bo
                 shared.append(int((y[at] == x).sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int64())], names=["a", "b", "na", "nb", "shared"])
 
-    likely = pairs
-    if not all_of_them:
-        marks = set_rows(docs, sets, pairs, "signature")
-        likely = written(joined(pairs, marks, "signature").mapInArrow(by_signature, "a long, b long"), "likely")
-    tokens = set_rows(docs, sets, likely, "tokens")
-    return joined(likely, tokens, "tokens").mapInArrow(by_tokens, "a long, b long, na long, nb long, shared long")
+    counts = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("fine").alias("fine"))
+    likely = written(joined(pairs, counts, "fine").mapInArrow(by_counts, "a long, b long"), "likely")
+    return joined(likely, set_rows(docs, sets, likely), "tokens").mapInArrow(by_tokens, "a long, b long, na long, nb long, shared long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -343,23 +379,33 @@ def join(docs: DataFrame) -> DataFrame:
 
     Null texts and texts without words have no shingles and are linked with nothing: component_id is their own id. Rows with a null id are linked by their
     text like others; a class of null ids alone has a null component_id. Repeated rows stay; other columns are ignored; an empty table gives no rows.
-    Shingles and sets are told apart by 64-bit hashes.
+    Shingles and sets are told apart by 64-bit hashes. A text is read in one piece by one task, however long.
     """
     spark = docs.sparkSession
     summary = written(summaries(docs), "summary")
-    sets = summary.where("n IS NOT NULL").select("doc_id", "n", "sid")
+    sets = summary.where("n IS NOT NULL").select("doc_id", "n", "sid", "coarse", "fine")
     often = summary.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "cell").limit(LAST_CELLS)
     last = often.select(F.col("cell").cast("int").alias("cell")).toArrow().column(0).to_numpy()[::-1].copy()
-    lists = written(shared_lists(postings(docs, last)), "lists")
-    pairs = written(hub_pairs(lists), "pairs")
     links = "shared >= ceil(4 * (na + nb) / 9)"
-    seen = written(compared(docs, sets, pairs, True), "compared")
-    linked = seen.where(links).select("a", "b")
-    classes = written(components(linked), "classes")
-    rest = written(open_pairs(lists, classes, seen).join(pairs, ["a", "b"], "left_anti"), "open")
+    lists = written(led_lists(postings(docs, last).withColumn("label", F.col("sid")), 0), "lists")
+    asked, seen, classes = None, None, None
+    for turn in range(1, ROUNDS + 1):
+        ask = asked_leaders(lists)
+        if asked is not None:
+            ask = ask.join(asked, ["a", "b"], "left_anti")
+        ask = written(ask, "asked")
+        got = written(compared(docs, sets, ask), "compared")
+        asked, seen = (ask, got) if asked is None else (asked.union(ask), seen.union(got))
+        linked = seen.where(links).select("a", "b")
+        if got.where(links).isEmpty() and classes is not None:
+            break
+        classes = written(components(linked), "classes")
+        lists = written(led_lists(labelled(lists, classes), turn), "lists")
+    known = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = written(open_pairs(lists, classes, seen, sets).join(known, ["a", "b"], "left_anti"), "open")
     ask = rest.where("NOT linked").select("a", "b")
     if not ask.isEmpty():
-        more = compared(docs, sets, ask, False).where(links).select("a", "b")
+        more = compared(docs, sets, ask).where(links).select("a", "b")
     else:
         more = spark.createDataFrame([], "a long, b long")
     more = written(more.union(rest.where("linked").select("a", "b")), "links")
