@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factsieve.llm.common import bit_filter, filter_place, may_hold, table, written
@@ -227,11 +227,12 @@ def open_pairs(lists: DataFrame, classes: DataFrame, seen: DataFrame, sets: Data
 
     Lists with one class are passed over. ``seen`` (a, b, na, shared) has overlaps p and q of two sets with a leader a of H tokens: the
     sets share at least p + q - H, and at most min(p, q) within the leader and min(n1 - p, n2 - q) outside. They share at most the smaller count of each
-    bucket, too. So most pairs are decided here, and only those left open are written out.
+    bucket, too. So most pairs are decided here, and only those left open are written out, in one of the first lists that both are in: not where an
+    earlier list of both is known from the two lists before.
     """
 
     def run(batches):
-        for token, sid, n, pos, label, hub, hub_n, p, counts in _lists(batches):
+        for token, sid, n, pos, label, hub, hub_n, p, last, last_but_one, counts in _lists(batches):
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             bounds = np.append(first, len(token))
             mixed_list = np.maximum.reduceat(label, first) != np.minimum.reduceat(label, first)
@@ -240,6 +241,8 @@ def open_pairs(lists: DataFrame, classes: DataFrame, seen: DataFrame, sets: Data
             def decided(k, m):
                 """Rows (a, b, linked) of the pairs of places k and m."""
                 ok = (label[k] != label[m]) & _possible(n[k], pos[k], n[m], pos[m])
+                for x in (last, last_but_one):  # they met in the list of an earlier token, where they were possible, too
+                    ok &= (x[k] != last[m]) & (x[k] != last_but_one[m])
                 k, m = k[ok], m[ok]
                 known = (p[k] >= 0) & (p[m] >= 0) & (hub[k] == hub[m])
                 need = least_overlap(n[k], n[m])
@@ -292,9 +295,11 @@ def open_pairs(lists: DataFrame, classes: DataFrame, seen: DataFrame, sets: Data
 
     near = seen.groupBy(F.col("b").alias("sid")).agg(F.max(F.struct("shared", "a", "na")).alias("near"))
     known = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.first("coarse").alias("coarse"))
-    rows = labelled(lists, classes).join(near, "sid", "left").join(known, "sid", "left").select(
+    by_place = Window.partitionBy("sid").orderBy("pos")
+    before = [F.coalesce(F.lag("token", i).over(by_place), "sid").alias(f"before_{i}") for i in (1, 2)]  # no two sets have a sid in common
+    rows = labelled(lists, classes).select("*", *before).join(near, "sid", "left").join(known, "sid", "left").select(
         "token", "sid", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "label", F.coalesce("near.a", F.lit(0)).alias("hub"),
-        F.coalesce("near.na", F.lit(0)).alias("hub_n"), F.coalesce("near.shared", F.lit(-1)).alias("p"), "coarse")
+        F.coalesce("near.na", F.lit(0)).alias("hub_n"), F.coalesce("near.shared", F.lit(-1)).alias("p"), "before_1", "before_2", "coarse")
     found = rows.repartition("token").sortWithinPartitions("token", "n", "pos", "sid").mapInArrow(run, "a long, b long, linked boolean")
     return found.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
