@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsieve.functions import values as V
-from factsieve.functions.arrays import unnest
+from factsieve.functions.arrays import let, unnest
 from factsieve.functions.reuse import Steps, reused
 from factsieve.functions.text import normalize_condition_text
 from factsieve.operators.verify import at
@@ -53,48 +53,46 @@ def _number_text(n: Column) -> Column:
     return F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("string"))
 
 
-def _reading(kind: str, text: Column, c: Column, wage_ctx: Column, tax_ctx: Column) -> tuple[Column, ...]:
-    """(group, value, number, tax); an incomparable side has a null value."""
+def _read(grp: Column, val: Column, num: Column | None = None, tax: Column | None = None) -> Column:
+    """A reading; one without value has no group either and is incomparable, as is one without group."""
+    return F.struct(grp.alias("grp"), val.alias("val"), (_null("double") if num is None else num).alias("num"), (_null() if tax is None else tax).alias("tax"))
+
+
+def _reading(kind: str, text: Column, c: Column, wage_ctx: Column, tax_ctx: Column) -> Column:
+    """struct(grp, val, num, tax); an incomparable side has a null value. What is used more than once is bound with ``let``."""
     if kind == "money":
-        amount = V.single(V.amounts(text))
-        unit = V.pay_unit(wage_ctx)
-        return unit, F.when(unit.isNotNull(), amount.cast("string")), amount.cast("double"), V.tax_basis(tax_ctx)
+        both = F.struct(V.single(V.amounts(text)).alias("amount"), V.pay_unit(wage_ctx).alias("unit"))
+        return let(both, lambda x: _read(
+            x["unit"], F.when(x["unit"].isNotNull(), x["amount"].cast("string")), x["amount"].cast("double"), V.tax_basis(tax_ctx)))
     if kind == "hours":
         derived = F.flatten(F.transform(
             F.coalesce(c["derived"], F.array().cast("array<struct<label:string,value:string,derivation:string>>")),
             lambda d: V.hours(d["value"])))
-        h = V.single(F.concat(derived, V.hours(text)))
-        return h["per"], _number_text(h["h"]), h["h"], _null()
+        return let(V.single(F.concat(derived, V.hours(text))), lambda h: _read(h["per"], _number_text(h["h"]), h["h"]))
     if kind == "times":
-        ranges = V.time_ranges(text, skip_breaks=True)
-        return F.lit("clock"), F.when(F.size(ranges) > 0, F.array_join(ranges, ",")), _null("double"), _null()
+        return _read(F.lit("clock"), let(V.time_ranges(text, skip_breaks=True), lambda r: F.when(F.size(r) > 0, F.array_join(r, ","))))
     if kind == "break":
-        m = V.single(V.break_minutes(text))
-        return F.lit("minutes"), m.cast("string"), m.cast("double"), _null()
+        return let(V.single(V.break_minutes(text)), lambda m: _read(F.lit("minutes"), m.cast("string"), m.cast("double")))
     if kind == "payday":
-        return F.lit("day"), V.single(V.paydays(text)), _null("double"), _null()
+        return _read(F.lit("day"), V.single(V.paydays(text)))
     if kind in ("place", "text"):
         # differing wording is never called a change: every wording is its own group
-        norm = F.nullif(normalize_condition_text(text, place=kind == "place"), F.lit(""))
-        return norm, norm, _null("double"), _null()
+        return let(F.nullif(normalize_condition_text(text, place=kind == "place"), F.lit("")), lambda norm: _read(norm, norm))
     if kind == "employment":
-        kinds = V.employment_kinds(text)
-        return F.lit("form"), F.when(F.size(kinds) > 0, F.array_join(kinds, ",")), _null("double"), _null()
+        return _read(F.lit("form"), let(V.employment_kinds(text), lambda kinds: F.when(F.size(kinds) > 0, F.array_join(kinds, ","))))
     if kind == "term":
-        return F.lit("term"), c["term_type"], _null("double"), _null()
+        return _read(F.lit("term"), c["term_type"])
     if kind == "period":
-        p = V.period(text)
-        return p["kind"], p["value"], _null("double"), _null()
+        return let(V.period(text), lambda p: _read(p["kind"], p["value"]))
     if kind == "probation":
-        return F.lit("probation"), F.when(c["finding"] == "negated", "none").otherwise("applies"), _null("double"), _null()
+        return _read(F.lit("probation"), F.when(c["finding"] == "negated", "none").otherwise("applies"))
     if kind == "duration":
-        d = V.single(V.durations(text))
-        return d["unit"], d["n"].cast("string"), d["n"].cast("double"), _null()
-    percent, amount = V.single(V.percents(text)), V.single(V.amounts(text))
-    return (
-        F.when(percent.isNotNull(), "percent").when(amount.isNotNull(), "amount"),
-        F.coalesce(_number_text(percent), amount.cast("string")),
-        F.coalesce(percent, amount.cast("double")), _null())
+        return let(V.single(V.durations(text)), lambda d: _read(d["unit"], d["n"].cast("string"), d["n"].cast("double")))
+    both = F.struct(V.single(V.percents(text)).alias("percent"), V.single(V.amounts(text)).alias("amount"))
+    return let(both, lambda x: _read(
+        F.when(x["percent"].isNotNull(), "percent").when(x["amount"].isNotNull(), "amount"),
+        F.coalesce(_number_text(x["percent"]), x["amount"].cast("string")),
+        F.coalesce(x["percent"], x["amount"].cast("double"))))
 
 
 def with_facets(evaluated: DataFrame, pack, items=K.RELATE_ITEMS) -> DataFrame:
@@ -109,30 +107,25 @@ def _facet_steps(pack, items) -> Steps:
         "_no_probation", F.coalesce((p["status"] == "CONFIRMED") & (p["finding"] == "negated"), F.lit(False)))
     df = df.withColumns({
         "_wage_ctx": ctx_text(crit("01-a"), crit("01-b")), "_tax_ctx": ctx_text(crit("01-a"), crit("01-g"))})
-    structs, no = [], 0
+    structs = []
     for item, _, facets in items:
         for nth, (facet, _, kind) in enumerate(facets):
-            c = crit(facet)
-            text = F.coalesce(c["source_value"], F.array_join(F.transform(c["evidence"], lambda q: q["text"]), "\n"))
-            side = side_kind(c, F.col("_no_probation"), facet)
-            group, value, number, tax = _reading(kind, text, c, F.col("_wage_ctx"), F.col("_tax_ctx"))
-            concrete = side == "concrete"
-            reading = F.when(concrete, F.struct(
-                group.alias("grp"), value.alias("val"), number.alias("num"), tax.alias("tax")))
-            structs.append(F.struct(
-                F.lit(facet).alias("facet_id"), F.lit(item).alias("item_id"), F.lit(no).alias("facet_no"),
-                F.lit(nth == 0).alias("first"), side.alias("side"),
-                presence_kind(c, F.col("_no_probation"), facet).alias("presence"),
-                c["status"].alias("status"), c["finding"].alias("finding"), reading.alias("r"),
-                c["source_value"].alias("value"), c["evidence"].alias("evidence")))
-            no += 1
-    flat = lambda f: F.struct(
-        *[f[n].alias(n) for n in ("facet_id", "item_id", "facet_no", "first", "side", "presence", "status", "finding")],
-        (f["r"]["val"].isNotNull() & f["r"]["grp"].isNotNull()).alias("comparable"),
-        F.when(f["r"]["val"].isNotNull(), f["r"]["grp"]).alias("grp"), f["r"]["val"].alias("val"),
-        f["r"]["num"].alias("num"), f["r"]["tax"].alias("tax"), f["value"].alias("value"), f["evidence"].alias("evidence"))
-    df = df.withColumn("_read", F.array(*structs))
-    return df.withColumn("facets", F.transform("_read", flat))
+            structs.append(_facet(facet, item, len(structs), nth == 0, kind, crit(facet)))
+    return df.withColumn("facets", F.array(*structs))
+
+
+def _facet(facet: str, item: str, no: int, first: bool, kind: str, c: Column) -> Column:
+    """One compared facet of a document; ``c`` is the criterion of that name."""
+    text = F.coalesce(c["source_value"], F.array_join(F.transform(c["evidence"], lambda q: q["text"]), "\n"))
+    side = side_kind(c, F.col("_no_probation"), facet)
+    reading = F.when(side == "concrete", let(text, lambda text: _reading(kind, text, c, F.col("_wage_ctx"), F.col("_tax_ctx"))))
+    return let(reading, lambda r: F.struct(
+        F.lit(facet).alias("facet_id"), F.lit(item).alias("item_id"), F.lit(no).alias("facet_no"), F.lit(first).alias("first"),
+        side.alias("side"), presence_kind(c, F.col("_no_probation"), facet).alias("presence"),
+        c["status"].alias("status"), c["finding"].alias("finding"),
+        (r["val"].isNotNull() & r["grp"].isNotNull()).alias("comparable"),
+        F.when(r["val"].isNotNull(), r["grp"]).alias("grp"), r["val"].alias("val"), r["num"].alias("num"), r["tax"].alias("tax"),
+        c["source_value"].alias("value"), c["evidence"].alias("evidence")))
 
 
 def facet_values(with_facets_df: DataFrame, *keys: str) -> DataFrame:
