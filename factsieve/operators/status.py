@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsieve import schemas
-from factsieve.functions.arrays import let, unnest, unnest_values
+from factsieve.functions.arrays import unnest, unnest_values
 from factsieve.functions.reuse import Steps, reused
 from factsieve.functions.text import SPACE_CHARS, as_digits, matches
 from factsieve.operators.verify import at, literals, verify_calc
@@ -213,58 +213,57 @@ def _evaluation(pack: RulePack, entries: str) -> Steps:
         conditions = {
             "fixed_term": F.coalesce(F.col("_term") == "fixed", false), "probation_applies": F.col("_probation"),
             "leave_granted": F.col("_leave")}
-        df = df.withColumn("_na", F.array_compact(F.array(
-            F.when(F.coalesce(F.col("_term") == "indefinite", false), F.struct(F.lit("06-b").alias("id"), F.lit("indefinite_term").alias("why"))),
-            F.when(F.col("_no_probation"), F.struct(F.lit("07-b").alias("id"), F.lit("no_probation").alias("why"))),
-            F.when(F.col("_no_leave"), F.struct(F.lit("10-b").alias("id"), F.lit("no_leave").alias("why"))))))
+        not_applicable = lambda cid: (
+            F.when((cid == "06-b") & F.coalesce(F.col("_term") == "indefinite", false), "indefinite_term")
+            .when((cid == "07-b") & F.col("_no_probation"), "no_probation").when((cid == "10-b") & F.col("_no_leave"), "no_leave"))
     else:
-        conditions = {}
+        conditions, not_applicable = {}, lambda cid: _none()
         df = df.withColumns({
-            "_limited": nothing, "_na": F.array().cast("array<struct<id:string,why:string>>"), "_part_time": false,
+            "_limited": nothing, "_part_time": false,
             "_fixed_term": false, "_probation": F.lit(True), "_no_probation": false,
             "_calc": _none(f"struct<ok:boolean,reason:string,derived:{_DERIVED}>")})
 
-    plain = [c.id for c in pack.criteria if c.role == "C" and not c.condition]
-    needed = literals(plain) if plain else nothing
-    for c in pack.criteria:
-        if c.condition:
-            needed = F.when(conditions[c.condition], F.array_append(needed, F.lit(c.id))).otherwise(needed)
+    # per criterion, without a list per document: what a lambda takes from outside is worked out again for each element
+    def needed(cid: Column) -> Column:
+        out = one_of(cid, [c.id for c in pack.criteria if c.role == "C" and not c.condition])
+        for c in pack.criteria:
+            if c.condition:
+                out = F.when(cid == c.id, conditions[c.condition]).otherwise(out)
+        return out
+
     # source codes per criterion, in pack order
+    usual = F.array(*[literals(c.codes) if c.codes else nothing for c in pack.criteria])
     bound = F.col("_fixed_term") | F.col("_part_time")
 
-    def codes(c) -> Column:
-        out = literals(c.codes) if c.codes else nothing
-        if c.codes_fixed_or_part_time:
-            out = F.when(bound, literals(c.codes_fixed_or_part_time)).otherwise(out)
-        return F.when(F.col("_part_time"), literals(c.codes_part_time)).otherwise(out) if c.codes_part_time else out
+    def codes(cid: Column, i: Column) -> Column:
+        out = F.get(usual, i)
+        for c in pack.criteria:
+            if c.codes_fixed_or_part_time:
+                out = F.when((cid == c.id) & bound, literals(c.codes_fixed_or_part_time)).otherwise(out)
+            if c.codes_part_time:
+                out = F.when((cid == c.id) & F.col("_part_time"), literals(c.codes_part_time)).otherwise(out)
+        return out
 
-    # bound with ``let`` below: what a lambda takes from outside would be worked out again for each criterion
-    facts = F.struct(F.col("_na").alias("na"), F.col("_limited").alias("limited"), needed.alias("needed"),
-                     F.array(*[codes(c) for c in pack.criteria]).alias("codes"))
     missing_limits = [c for c, (to, _, _) in limits.items() if to == "MISSING"]
     hours_id = F.lit(pack.hours_id)
 
-    def own_reason(e: Column) -> Column:
-        cid = e["criterion_id"]
-        return (
-            F.when(e["unavailable"], F.coalesce(e["reason"], F.lit("missing")))
-            .when(F.array_contains("_touched", cid), "ocr_low_confidence")
-            .when(one_of(cid, pack.core_ids) & F.array_contains("_affected", F.substring(cid, 1, 2)), "ocr_low_confidence_related"))
-
-    def judged(e: Column, facts: Column) -> Column:
+    def judged(e: Column, i: Column) -> Column:
         cid = e["criterion_id"]
         base = sub_status(e, pack)
         calc = F.when(cid == hours_id, F.col("_calc"))
         status = (
-            F.when(F.array_contains(facts["limited"], cid), F.when(one_of(cid, missing_limits), "MISSING").otherwise("PARTIAL"))
+            F.when(F.array_contains("_limited", cid), F.when(one_of(cid, missing_limits), "MISSING").otherwise("PARTIAL"))
             .when(calc.isNotNull() & ~calc["ok"] & (base == "CONFIRMED"), "PARTIAL").otherwise(base))
-        own = own_reason(e)
-        na = F.get(F.filter(facts["na"], lambda n: n["id"] == cid), F.lit(0))["why"]
-        return F.struct(base.alias("base"), status.alias("status"), own.alias("own"), na.alias("na"),
+        own = (
+            F.when(e["unavailable"], F.coalesce(e["reason"], F.lit("missing")))
+            .when(F.array_contains("_touched", cid), "ocr_low_confidence")
+            .when(one_of(cid, pack.core_ids) & F.array_contains("_affected", F.substring(cid, 1, 2)), "ocr_low_confidence_related"))
+        na = not_applicable(cid)
+        return F.struct(e.alias("e"), i.alias("i"), base.alias("base"), status.alias("status"), own.alias("own"), na.alias("na"),
                         (calc.isNotNull() & calc["ok"]).alias("calculated"))
 
-    def result(e: Column, i: Column, x: Column, facts: Column) -> Column:
-        na, own = x["na"], x["own"]
+    def result(x: Column) -> Column:
+        e, na, own = x["e"], x["na"], x["own"]
         cid, live = e["criterion_id"], na.isNull() & own.isNull()
         # a branch decided by the document outranks a failed check
         known = F.when(na.isNotNull() | own.isNull(), e["finding"])
@@ -284,12 +283,11 @@ def _evaluation(pack: RulePack, entries: str) -> Steps:
             F.when(live, kind).alias("value_kind"), F.coalesce(na, own).alias("reason"),
             F.when(na.isNotNull(), na).when(own.isNotNull(), own).when(known == "negated", "negated")
             .when(x["status"] == "UNCLEAR", known).alias("basis"),
-            F.array_contains(facts["needed"], cid).alias("required"),
+            needed(cid).alias("required"),
             F.when(live & (e["finding"] == "negated"), tag).alias("provisional"),
-            F.get(facts["codes"], i).alias("sources"), one_of(cid, pack.core_ids).alias("core"))
+            codes(cid, x["i"]).alias("sources"), one_of(cid, pack.core_ids).alias("core"))
 
-    df = df.withColumn("criteria", let(facts, lambda facts: F.transform(
-        entries, lambda e, i: let(judged(e, facts), lambda x: result(e, i, x, facts)))))
+    df = df.withColumn("_judged", F.transform(entries, judged)).withColumn("criteria", F.transform("_judged", result))
 
     # topics are slices of the criteria
     spans, first = [], 1
@@ -339,8 +337,8 @@ def _evaluation(pack: RulePack, entries: str) -> Steps:
 
     df = df.withColumn("topics", F.transform(F.transform(F.array(*spans), with_criteria), topic))
 
-    def diags(e: Column) -> Column:
-        cid = e["criterion_id"]
+    def diags(x: Column) -> Column:
+        e, cid = x["e"], x["e"]["criterion_id"]
         diagnosis, tag = _none(), _none()
         for c, (_, text, _) in limits.items():
             diagnosis = F.when(cid == c, text).otherwise(diagnosis)
@@ -350,13 +348,11 @@ def _evaluation(pack: RulePack, entries: str) -> Steps:
             F.when((cid == hours_id) & ~F.col("_calc.ok"), F.col("_calc.reason")),
             F.when(F.array_contains("_limited", cid), diagnosis),
             F.when(F.size(e["excluded"]) > 0, "excluded_quotes"), F.when(e["finding"] == "negated", tag)))
-        own = own_reason(e)
-        seen = own.isNull() | (own == "ocr_low_confidence_related")
-        return F.when(seen, F.transform(found, lambda d: F.struct(cid.alias("id"), d.alias("diag")))).otherwise(
-            F.array().cast("array<struct<id:string,diag:string>>"))
+        return F.transform(found, lambda d: F.struct(cid.alias("id"), d.alias("diag")))
 
+    seen = F.filter("_judged", lambda x: x["own"].isNull() | (x["own"] == "ocr_low_confidence_related"))
     related = F.transform("_affected", lambda t: F.struct(t.alias("id"), F.lit("ocr_low_confidence_core_context").alias("diag")))
-    return df.withColumn("diagnostics", F.concat(F.flatten(F.transform(entries, diags)), related))
+    return df.withColumn("diagnostics", F.concat(F.flatten(F.transform(seen, diags)), related))
 
 
 # ---- tables -------------------------------------------------------------------------
