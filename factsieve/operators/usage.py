@@ -7,6 +7,8 @@ own. Rows of one millisecond count in the order of ``event_id``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,26 +86,32 @@ def admit_batch(log: DataFrame, limit: int = PER_KEY, window_ms: int = WINDOW_MS
     rows = log.withColumn("slice", F.floor(F.col("ms") / slice_ms)).select("ip", "slice", "event_id", "ms", "cost")
     schema = "ip string, slice bigint, event_id bigint, ms bigint, cost int, admitted boolean, retry_after_sec bigint, carry array<bigint>"
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ms", "event_id"])
-        carried = group["carry_in"].iloc[0]
-        times = [] if carried is None else [int(t) for t in carried]
-        ok, wait = [], []
-        for now, cost in zip(group["ms"].tolist(), group["cost"].tolist()):
-            times, admitted, seconds = decide(times, now, cost, limit, window_ms)
-            ok.append(admitted)
-            wait.append(seconds)
-        out = group[["ip", "slice", "event_id", "ms", "cost"]].copy()
-        out["admitted"], out["retry_after_sec"] = ok, pd.array(wait, dtype="Int64")
-        out["carry"] = [times] * len(out)
-        return out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Slices one after the other, as they stand in the partition; ``carry`` is the state after each row."""
+        key, times = None, []
+        for batch in batches:
+            ok, wait, carry = [], [], []
+            for ip, part, now, cost, given in zip(*(batch[c].tolist() for c in ("ip", "slice", "ms", "cost", "carry_in")), strict=True):
+                if (ip, part) != key:
+                    key, times = (ip, part), [] if given is None else [int(t) for t in given]
+                times, admitted, seconds = decide(times, now, cost, limit, window_ms)
+                ok.append(admitted)
+                wait.append(seconds)
+                carry.append(times)
+            out = batch[["ip", "slice", "event_id", "ms", "cost"]].copy()
+            out["admitted"], out["retry_after_sec"] = ok, pd.array(wait, dtype="Int64")
+            out["carry"] = pd.Series(carry, index=out.index, dtype=object)
+            yield out
+
+    def decided(rows: DataFrame) -> DataFrame:
+        return rows.repartition("ip", "slice").sortWithinPartitions("ip", "slice", "ms", "event_id").mapInPandas(run, schema)
 
     empty = F.array().cast("array<bigint>")
     chain = Window.partitionBy("ip").orderBy("slice")
-    done = cut_lineage(rows.withColumn("carry_in", empty).groupBy("ip", "slice").applyInPandas(run, schema), "admit")
+    done = cut_lineage(decided(rows.withColumn("carry_in", empty)), "admit")
     assumed = done.select("ip", "slice").distinct().withColumn("carry_in", empty)
     for _ in range(max_rounds):
-        ends = done.groupBy("ip", "slice").agg(F.any_value("carry").alias("carry"))
+        ends = done.groupBy("ip", "slice").agg(F.max_by("carry", F.struct("ms", "event_id")).alias("carry"))
         due = F.filter(F.lag("carry").over(chain), lambda t: t > F.col("slice") * slice_ms - window_ms)
         wanted = ends.select("ip", "slice", F.coalesce(due, empty).alias("carry_in"))
         wanted = cut_lineage(wanted, "carry")
@@ -111,7 +119,7 @@ def admit_batch(log: DataFrame, limit: int = PER_KEY, window_ms: int = WINDOW_MS
             "ip", "slice", "w.carry_in")
         if wrong.isEmpty():
             return done.drop("carry", "slice")
-        again = rows.join(wrong, ["ip", "slice"]).groupBy("ip", "slice").applyInPandas(run, schema)
+        again = decided(rows.join(wrong, ["ip", "slice"]))
         done = cut_lineage(done.join(wrong, ["ip", "slice"], "left_anti").unionByName(again), "admit")
         assumed = wanted
     raise RuntimeError(f"slices did not agree after {max_rounds} rounds; use longer slices")
