@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsieve.functions.arrays import unnest
+from factsieve.functions.literals import STEP_CHARS, text_steps
 from factsieve.functions.text import SPACE_CHARS
 
 # A line longer than this is split, and where it may be split
@@ -57,8 +58,11 @@ def lines_column(text: Column, limit: int = LONG_LINE) -> Column:
 
     @F.arrow_udf("array<struct<line_no:int,text:string,start:int,end:int>>")
     def cut(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([whole(part) for part in text_steps(texts, STEP_CHARS)] or [whole([])])
+
+    def whole(texts: list[str | None]) -> pa.Array:
         ends, number, start, end, out = [0], [], [], [], []
-        for t in texts.to_numpy(zero_copy_only=False).tolist():
+        for t in texts:
             spans = line_spans(t, limit) if t else []
             number += range(1, len(spans) + 1)
             start += [a for a, _ in spans]
@@ -66,7 +70,7 @@ def lines_column(text: Column, limit: int = LONG_LINE) -> Column:
             out += [t[a:b] for a, b in spans]
             ends.append(len(out))
         lines = pa.StructArray.from_arrays([pa.array(number, pa.int32()), pa.array(out, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], fields=list(LINE))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines, mask=texts.is_null() if texts.null_count else None)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines, mask=pa.array([t is None for t in texts], pa.bool_()))
 
     return cut.asNondeterministic()(text)  # worked out once, wherever the lines are used
 
