@@ -7,7 +7,7 @@ come last in the order used here. Documents are listed under their first tokens,
   can still follow their places or all their sets are of one class.
 * Answers from similar sets: equal sets are one. In rounds, each set asks one other set only: of the leaders of its lists the one it shares most lists
   with. What is linked joins a class, and lists of one class go. For the pairs left, the overlaps with a common leader bound
-  the overlap of the pair from both sides, as do counts of tokens per bucket of each set, and only pairs that the bounds leave open are compared.
+  the overlap of the pair from both sides, as do parities of the tokens per bucket of each set, and only pairs that the bounds leave open are compared.
 
 A round asks at most one pair a set, so a passage or a class of many sets makes no pairs by the square. All pairs that could connect two classes are
 decided in the end, so the classes are exact. Pairs within a class are not written out.
@@ -25,16 +25,16 @@ from factsieve.llm.common import bit_filter, filter_place, may_hold, table, writ
 from factsieve.llm.packing import by_bytes
 from factsieve.llm.shingles import mixed, shingle_sets
 
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 #: Tokens fall into so many cells by their leading bits. Cells that stand out in a task are counted, and so many of the most frequent come last
 #: in the order of tokens. Any order gives the same result, so these bound a broadcast (4 MB) and memory, not the work done.
 CELL_BITS, LAST_CELLS = 22, 1 << 20
 #: Sets that meet at once in a list, and pairs that are looked at or held at once.
-BLOCK, PAIRS = 64, 1 << 18
+BLOCK, PAIRS = 64, 1 << 16
 #: Rounds in which sets ask leaders. They decide nothing that the last step would not; more of them leave it less to do.
 ROUNDS = 3
-#: Buckets whose tokens are counted for the bound that goes with each row of a list.
-BUCKETS = 64
+#: Buckets whose parities go with each row of a list, a bit each.
+BUCKETS = 512
 
 
 def _batches(column: int, batches, needed=None):
@@ -71,49 +71,47 @@ def cells(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def bucket_counts(tokens: np.ndarray, buckets: int) -> bytes | None:
-    """Tokens per bucket, a byte each; None, which bounds nothing, where a byte is too small."""
+def parities(tokens: np.ndarray, buckets: int) -> bytes:
+    """Whether the number of tokens in each bucket is odd, a bit each. What two sets share cancels out, so only tokens of one of them make a difference."""
     counts = np.bincount((mixed(tokens) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 255 else None
+    return np.packbits(counts & 1 == 1).tobytes()
 
 
 def fine_buckets(n: int) -> int:
-    """About 8 tokens a bucket; a power of two."""
-    return max(BUCKETS, 1 << max(0, (n // 8).bit_length()))
+    """At least 4 buckets a token; a power of two."""
+    return max(BUCKETS, 1 << (4 * n - 1).bit_length())
 
 
-def most_shared(na: int, ca: bytes | None, nb: int, cb: bytes | None) -> int:
-    """No more than this can two sets share: in each bucket the smaller count. The halves of the longer counts are added until both are alike."""
-    if ca is None or cb is None:
-        return min(na, nb)
-    a, b = np.frombuffer(ca, np.uint8).astype(np.int64), np.frombuffer(cb, np.uint8).astype(np.int64)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] + a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] + b[len(b) // 2 :]
-    return int(np.minimum(a, b).sum())
+def most_shared(na: int, a: bytes, nb: int, b: bytes) -> int:
+    """No more than this can two sets share: each bucket of different parity has a token of one of them only. The longer parities are folded until both are alike."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return min(na, nb, (na + nb - int(np.bitwise_count(x ^ y).sum())) // 2)
 
 
 def summaries(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n, sid, coarse, fine) of documents, and rows (cell, often) of cells of tokens that stand out among the texts of a task.
 
-    ``coarse`` and ``fine`` are ``bucket_counts``. A cell stands out if it has clearly more tokens than tokens of their own would give it.
+    ``coarse`` and ``fine`` are ``parities``. A cell stands out if it has clearly more tokens than tokens of their own would give it.
     """
     names = ["doc_id", "n", "sid", "coarse", "fine", "cell", "often"]
 
     def run(batches):
-        counts = np.zeros(1 << CELL_BITS, np.int64)
+        counts = np.zeros(1 << CELL_BITS, np.int32)
         for part, sets in _batches(1, batches):
             n = pa.array([len(s) for s in sets], pa.int64())
             sid = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-            coarse, fine = (pa.array([bucket_counts(s, of(len(s))) if len(s) else None for s in sets], pa.binary()) for of in (lambda _: BUCKETS, fine_buckets))
+            coarse, fine = (pa.array([parities(s, of(len(s))) if len(s) else None for s in sets], pa.binary()) for of in (lambda _: BUCKETS, fine_buckets))
             empty = pa.nulls(len(part), pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), n, sid, coarse, fine, empty, empty], names=names)
             np.add.at(counts, cells(np.concatenate([*sets, np.zeros(0, np.uint64)])), 1)
         mean = counts.mean()
         often = np.flatnonzero(counts > mean + 3 * np.sqrt(mean) + 2)
         empty, none = pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.binary())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, none, none, pa.array(often), pa.array(counts[often])], names=names)
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, none, none, pa.array(often), pa.array(counts[often], pa.int64())], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sid long, coarse binary, fine binary, cell long, often long")
 
@@ -148,9 +146,9 @@ def postings(docs: DataFrame, last: np.ndarray) -> DataFrame:
 
 
 def _column(c: pa.Array) -> np.ndarray:
-    """Numbers, or a row of ``BUCKETS`` bytes each; unknown counts are 255, which stands for nothing else."""
+    """Numbers, or ``BUCKETS`` bits each in words of 64."""
     if pa.types.is_binary(c.type):
-        return np.frombuffer(b"".join(c.fill_null(b"\xff" * BUCKETS).to_pylist()), np.uint8).reshape(-1, BUCKETS)
+        return np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, BUCKETS // 64)
     return c.to_numpy(zero_copy_only=False)
 
 
@@ -226,13 +224,13 @@ def open_pairs(lists: DataFrame, classes: DataFrame, seen: DataFrame, sets: Data
     """Pairs (a, b, linked) of different classes that share a list and are linked (true) or could be (false), by blocks of lists.
 
     Lists with one class are passed over. ``seen`` (a, b, na, shared) has overlaps p and q of two sets with a leader a of H tokens: the
-    sets share at least p + q - H, and at most min(p, q) within the leader and min(n1 - p, n2 - q) outside. They share at most the smaller count of each
-    bucket, too. So most pairs are decided here, and only those left open are written out, in one of the first lists that both are in: not where an
+    sets share at least p + q - H, and at most min(p, q) within the leader and min(n1 - p, n2 - q) outside. Parities bound
+    it, too. So most pairs are decided here, and only those left open are written out, in one of the first lists that both are in: not where an
     earlier list of both is known from the two lists before.
     """
 
     def run(batches):
-        for token, sid, n, pos, label, hub, hub_n, p, last, last_but_one, counts in _lists(batches):
+        for token, sid, n, pos, label, hub, hub_n, p, last, last_but_one, odd in _lists(batches):
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             bounds = np.append(first, len(token))
             mixed_list = np.maximum.reduceat(label, first) != np.minimum.reduceat(label, first)
@@ -249,8 +247,8 @@ def open_pairs(lists: DataFrame, classes: DataFrame, seen: DataFrame, sets: Data
                 most = np.minimum(p[k], p[m]) + np.minimum(n[k] - p[k], n[m] - p[m])
                 sure = known & (p[k] + p[m] - hub_n[k] >= need)
                 keep = sure | ~known | (most >= need)
-                in_buckets = np.minimum(counts[k], counts[m]).sum(1, dtype=np.int64)
-                keep &= (in_buckets >= need) | (counts[k, 0] == 255) | (counts[m, 0] == 255)
+                k, m, sure, need = k[keep], m[keep], sure[keep], need[keep]
+                keep = np.bitwise_count(odd[k] ^ odd[m]).sum(1, dtype=np.int64) <= n[k] + n[m] - 2 * need
                 k, m = k[keep], m[keep]
                 return np.stack([np.minimum(sid[k], sid[m]), np.maximum(sid[k], sid[m]), sure[keep]], 1)
 
@@ -331,14 +329,14 @@ def set_rows(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, na, nb, shared (their overlap) of the pairs whose counts by bucket let them be linked; the others are not."""
+    """a, b, na, nb, shared (their overlap) of the pairs whose parities let them be linked; the others are not."""
 
     def joined(some: DataFrame, rows: DataFrame, data: str) -> DataFrame:
         left = rows.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col(data).alias("da"))
         right = rows.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col(data).alias("db"))
         return some.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "da", "db")
 
-    def by_counts(batches):
+    def by_parities(batches):
         for batch in batches:
             na, nb = (batch.column(c).to_pylist() for c in (2, 3))
             most = [most_shared(*x) for x in zip(na, batch.column(4).to_pylist(), nb, batch.column(5).to_pylist(), strict=True)]
@@ -356,7 +354,7 @@ def compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int64())], names=["a", "b", "na", "nb", "shared"])
 
     counts = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("fine").alias("fine"))
-    likely = written(joined(pairs, counts, "fine").mapInArrow(by_counts, "a long, b long"), "likely")
+    likely = written(joined(pairs, counts, "fine").mapInArrow(by_parities, "a long, b long"), "likely")
     return joined(likely, set_rows(docs, sets, likely), "tokens").mapInArrow(by_tokens, "a long, b long, na long, nb long, shared long")
 
 
