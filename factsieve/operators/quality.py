@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factsieve.functions.arrays import let
 from factsieve.functions.text import char_similarity, extract_all, squeeze
 
 NUMBER = r"\d[\d,.:~-]*\d|\d"  # Fixed value: a group of digits as written
@@ -23,35 +24,43 @@ def best_line(truth: Column, read_lines: Column) -> Column:
 
     A cell holds the lines of one page, so the comparison stays inside its row.
     """
-    t = squeeze(truth)
+    return best_squeezed(squeeze(truth), F.transform(read_lines, squeeze))
 
-    def score(line: Column, i: Column) -> Column:
-        o = squeeze(line)
-        sim = F.when(F.contains(o, t), F.lit(1.0)).otherwise(char_similarity(t, o))
-        return F.struct(sim.alias("sim"), (-i).alias("at"))
 
-    best = F.array_max(F.transform(read_lines, score))
-    found = best["sim"] > 0
-    return F.struct(F.when(found, best["sim"]).otherwise(0.0).alias("sim"), F.when(found, -best["at"]).otherwise(-1).alias("at"))
+def best_squeezed(truth: Column, read_lines: Column) -> Column:
+    """``best_line`` of texts without blanks. A lambda keeps nothing, so what is used more than once is bound and nothing else is worked out per pair."""
+
+    def of_line(t: Column) -> Column:
+        def score(o: Column, i: Column) -> Column:
+            longest = F.greatest(F.length(t), F.length(o))
+            sim = F.when(F.contains(o, t), F.lit(1.0)).otherwise(F.lit(1.0) - F.levenshtein(t, o) / longest)
+            return F.struct(sim.alias("sim"), (-i).alias("at"))
+
+        return let(F.array_max(F.transform(read_lines, score)), shown)
+
+    def shown(best: Column) -> Column:
+        found = best["sim"] > 0
+        return F.struct(F.when(found, best["sim"]).otherwise(0.0).alias("sim"), F.when(found, -best["at"]).otherwise(-1).alias("at"))
+
+    return let(truth, of_line)
 
 
 def image_scores(pages: DataFrame) -> DataFrame:
     """Scores per page (K2-K6). ``pages``: page keys, truth array<string>, pairs array<struct<k,v>>, items
     array<string>, text."""
     lines = F.filter(F.split("text", "\n"), lambda l: F.length(squeeze(l)) > 0)
-    base = pages.withColumn("_lines", lines).withColumn("_sq", squeeze(F.col("text")))
-    sims = F.transform("truth", lambda t: best_line(t, F.col("_lines"))["sim"])
-    numbers = F.flatten(F.transform("truth", lambda t: extract_all(squeeze(t), NUMBER)))
+    base = pages.withColumns({"_lines": F.transform(lines, squeeze), "_truth": F.transform("truth", squeeze), "_sq": squeeze(F.col("text"))})
+    base = base.withColumn("_items", F.transform("items", lambda i: F.struct(i.alias("is"), squeeze(i).alias("sq"))))
+    sims = F.transform("_truth", lambda t: best_squeezed(t, F.col("_lines"))["sim"])
+    numbers = F.flatten(F.transform("_truth", lambda t: extract_all(t, NUMBER)))
 
     def pair_ok(p: Column) -> Column:
         k, v = squeeze(p["k"]), squeeze(p["v"])
-        return F.exists("_lines", lambda l: (F.position(k, squeeze(l)) > 0)
-                        & (F.position(v, squeeze(l), F.position(k, squeeze(l)) + F.length(k)) > 0))
+        return F.exists("_lines", lambda l: (F.position(k, l) > 0) & (F.position(v, l, F.position(k, l) + F.length(k)) > 0))
 
     def item_ok(it: Column) -> Column:
-        others = F.filter("items", lambda o: o != it)
-        return F.exists("_lines", lambda l: F.contains(squeeze(l), squeeze(it)) & ~F.exists(
-            others, lambda o: F.contains(squeeze(l), squeeze(o))))
+        return let(F.filter("_items", lambda o: o["is"] != it["is"]), lambda others: F.exists("_lines", lambda l: F.contains(l, it["sq"]) & ~F.exists(
+            others, lambda o: F.contains(l, o["sq"]))))
 
     return base.withColumns({"_sims": sims, "_numbers": numbers}).withColumns({
         "char_acc": char_similarity(F.array_join("truth", "\n"), F.col("text")),
@@ -60,9 +69,9 @@ def image_scores(pages: DataFrame) -> DataFrame:
         "pairs_total": F.size("pairs"), "pairs_ok": F.size(F.filter("pairs", pair_ok)),
         "nums_total": F.size("_numbers"),
         "nums_ok": F.size(F.filter("_numbers", lambda n: F.contains(F.col("_sq"), n))),
-        "items_total": F.size("items"), "items_ok": F.size(F.filter("items", item_ok)),
+        "items_total": F.size("items"), "items_ok": F.size(F.filter("_items", item_ok)),
     }).withColumn("line_recall", F.col("lines_ok") / F.nullif(F.col("lines_total"), F.lit(0))).drop(
-        "_lines", "_sq", "_sims", "_numbers")
+        "_lines", "_truth", "_items", "_sq", "_sims", "_numbers")
 
 
 def order_kept(sets: DataFrame) -> DataFrame:
