@@ -28,7 +28,7 @@ SEQUENCE, RUNS = 48, (3, 24)
 #: Steps after which running products are scaled; scores are bounded to 30, so doubles cannot run out.
 RESCALE = 12
 #: Text that one step of a task labels, and words whose scores a worker remembers.
-STEP_BYTES, REMEMBERED = 3 << 20, 400_000
+STEP_BYTES, REMEMBERED = 1 << 20, 200_000
 UNKNOWN = "und"
 
 
