@@ -12,12 +12,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 #: Characters that one pass looks at (one document at least).
 STEP_CHARS = 1 << 19
-SPOT = "struct<owner:int,line:int>"
 
 
 @lru_cache(maxsize=8)
@@ -58,25 +54,18 @@ def spots(texts: list[str], needs: tuple[tuple[str, ...], ...]) -> tuple[np.ndar
     return np.searchsorted(text, np.arange(len(texts)), side="right"), owner, line - start[text]
 
 
-def text_steps(texts: pa.Array, size: int) -> Iterator[list[str | None]]:
-    """A batch of texts as lists of about ``size`` bytes (one text at least), so that no batch is ever whole in Python."""
-    step = (np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) - 1) // size
+def row_steps(sizes: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Rows from and to of steps of about ``size`` (one row at least)."""
+    step = (np.cumsum(sizes, dtype=np.int64) - 1) // size
     starts = np.flatnonzero(np.diff(step, prepend=-2))
-    for i, j in zip(starts, np.append(starts, len(texts))[1:], strict=True):
-        yield texts.slice(i, j - i).to_pylist()
+    return zip(starts.tolist(), [*starts[1:].tolist(), len(sizes)], strict=True) if len(sizes) else iter(())
 
 
-def spot_column(lines: Column, needs: tuple[tuple[str, ...], ...]) -> Column:
-    """array<struct<owner,line>> for an array of lines without line feeds: owners by their position in ``needs``, lines from 0, each pair once, in order."""
+def byte_sizes(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
 
-    @F.arrow_udf(f"array<{SPOT}>")
-    def find(texts: pa.Array) -> pa.Array:
-        parts = []
-        for part in text_steps(texts, STEP_CHARS):
-            ends, owner, line = spots([v or "" for v in part], needs)
-            pairs = pa.StructArray.from_arrays([pa.array(owner, pa.int32()), pa.array(line, pa.int32())], names=["owner", "line"])
-            parts.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pairs))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct([("owner", pa.int32()), ("line", pa.int32())])))
 
-    # not to be repeated or moved into an aggregate by the optimizer
-    return find.asNondeterministic()(F.array_join(lines, "\n"))
+def text_steps(texts: pa.Array, size: int) -> Iterator[list[str | None]]:
+    """A batch of texts as lists of about ``size`` bytes (one text at least), so that no batch is ever whole in Python."""
+    for i, j in row_steps(byte_sizes(texts), size):
+        yield texts.slice(i, j - i).to_pylist()

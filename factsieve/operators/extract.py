@@ -1,63 +1,44 @@
 """Rule extraction: which lines speak about which criterion, and how.
 
 Each criterion names the words that its pattern needs. One automaton finds the words of all criteria in all lines (``functions.literals``), and
-a pattern is tried only where one of its words stands: ``hits`` is a sparse, ordered list per document, and what a document does not speak of
-costs nothing. First hits need no ranking window, as the list is ordered by criterion and line.
+a pattern is tried only where one of its words stands, once per distinct line of a batch (``functions.rules``): ``hits`` is a sparse, ordered list
+per document, and what a document does not speak of costs nothing. First hits need no ranking window, as the list is ordered by criterion and line.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsieve import schemas
 from factsieve.functions.arrays import let, unnest
-from factsieve.functions.literals import spot_column
 from factsieve.functions.reuse import reused
-from factsieve.functions.text import extract_all, matches, norm_ws
+from factsieve.functions.rules import hits, line_rules
+from factsieve.functions.text import compiled, extract_all, matches, norm_ws
 from factsieve.packs import korean as K
 from factsieve.packs.model import RulePack
 
-
-def _line_matches(pack: RulePack, criterion, text: Column) -> Column:
-    hit = matches(text, criterion.line)
-    if pack.rest_topic and criterion.topic == pack.rest_topic:
-        hit = hit & ~(matches(text, pack.workday_line) & ~matches(text, pack.holiday_line))
-    return hit
-
+HIT = pa.struct([("criterion_id", pa.string()), ("line_no", pa.int32()), ("text", pa.string())])
+SPOKEN = pa.struct([("criterion_id", pa.string()), ("finding", pa.string()), ("line_no", pa.int32()), ("text", pa.string()), ("term_type", pa.string())])
 
 def match_lines(docs: DataFrame, pack: RulePack) -> DataFrame:
     """Adds ``hits``: array<struct<criterion_id,line_no,text>>, the matching lines of all criteria, in the order of the pack and of the lines."""
-    ids = F.array(*[F.lit(c.id) for c in pack.criteria])
-
-    def hit(s: Column, lines: Column) -> Column:
-        line = F.get(lines, s["line"])
-        return F.struct(s["owner"].alias("owner"), line["line_no"].alias("line_no"), line["text"].alias("text"))
+    rules, ids = line_rules(pack), pa.array(pack.criterion_ids, pa.string())
 
-    def holds(h: Column) -> Column:
-        test = F.lit(False)
-        for i, c in reversed([*enumerate(pack.criteria)]):
-            if c.needs:
-                test = F.when(h["owner"] == i, _line_matches(pack, c, h["text"])).otherwise(test)
-        return test
+    @F.arrow_udf("array<struct<criterion_id:string,line_no:int,text:string>>")
+    def find(lists: pa.Array) -> pa.Array:
+        parts = [pa.array([], pa.list_(HIT))]
+        for n, texts, doc, rule, line, text in hits(lists, rules):
+            found = pa.StructArray.from_arrays([ids.take(pa.array(rule)), pa.array(line + 1, pa.int32()), texts.take(pa.array(text))], fields=list(HIT))
+            parts.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), found))
+        return pa.concat_arrays(parts)
 
-    def everywhere(i: int, c) -> Column:
-        """A pattern that needs no particular word is tried on each line."""
-        found = F.filter("lines", lambda l: _line_matches(pack, c, l["text"]))
-        return F.transform(found, lambda l: F.struct(F.lit(i).alias("owner"), l["line_no"].alias("line_no"), l["text"].alias("text")))
-
-    def build() -> Column:
-        # ``let``: what a lambda takes from outside would be worked out again for each element
-        found = F.filter(let(F.col("lines"), lambda lines: F.transform("_spots", lambda s: hit(s, lines))), holds)
-        more = [everywhere(i, c) for i, c in enumerate(pack.criteria) if not c.needs]
-        if more:
-            found = F.array_sort(F.concat(found, *more))  # by owner and line
-        return F.transform(found, lambda h: F.struct(F.get(ids, h["owner"]).alias("criterion_id"), h["line_no"].alias("line_no"), h["text"].alias("text")))
-
-    found = docs.withColumn("_spots", spot_column(F.transform("lines", lambda l: l["text"]), tuple(c.needs for c in pack.criteria)))
-    return found.withColumn("hits", reused(("hits", pack.digest), build)).drop("_spots")
+    # not to be repeated or moved into an aggregate by the optimizer
+    return docs.withColumn("hits", find.asNondeterministic()(F.col("lines")["text"]))
 
 
 def hit_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -119,9 +100,94 @@ def classify_finding(docs: DataFrame, pack: RulePack) -> DataFrame:
     return docs.withColumn("claims", reused(("claims", pack.digest), build)).drop("hits")
 
 
+def _findings(pack: RulePack):
+    """(finding, term type) that a text gives a criterion, as in ``classify_finding``."""
+    ids, negatable, hours_id, fixed_term_id = pack.criterion_ids, frozenset(pack.negation_status), pack.hours_id, pack.fixed_term_id
+    negated, undecided, external, hours, indefinite = pack.negated, pack.undecided, pack.external, pack.hours, pack.indefinite
+
+    def told(rule: int, text: str) -> tuple[str, str | None]:
+        cid, says = ids[rule], lambda pattern: compiled(pattern).search(text)
+        if cid in negatable and says(negated):
+            return "negated", None
+        if says(undecided):
+            return "undecided", None
+        if says(external) or (hours_id and cid == hours_id and not says(hours)):
+            return "coarse", None
+        return "specific", (("indefinite" if says(indefinite) else "fixed") if fixed_term_id and cid == fixed_term_id else None)
+
+    return told
+
+
+def _texts_at(texts: pa.Array, where: np.ndarray) -> list[str | None]:
+    return texts.take(pa.array(where, mask=where < 0)).to_pylist()
+
+
+def _spoken(docs: DataFrame, pack: RulePack) -> DataFrame:
+    """Adds ``_spoken``: per criterion of the pack what its first two lines say, and the first of them; worked out once per distinct wording of a batch."""
+    rules, told, ids = line_rules(pack), _findings(pack), pa.array(pack.criterion_ids, pa.string())
+    width = len(ids)
+
+    def given(n: int, texts: pa.Array, doc, rule, line, text) -> pa.Array:
+        new = np.ones(len(doc), bool)
+        new[1:] = (np.diff(doc) != 0) | (np.diff(rule) != 0)
+        head = np.flatnonzero(new)
+        last = np.append(head, len(doc))[1:] - 1
+        second = np.where(head < last, text[np.minimum(head + 1, last)], -1)
+        wordings = pa.array((rule[head] * (len(texts) + 1) + text[head]) * (len(texts) + 1) + second + 1).dictionary_encode()
+        which = wordings.indices.to_numpy(zero_copy_only=False)
+        rest, other = np.divmod(wordings.dictionary.to_numpy(zero_copy_only=False), len(texts) + 1)
+        of, one = np.divmod(rest, len(texts) + 1)
+        said = [told(r, a if b is None else f"{a} {b}") for r, a, b in zip(of.tolist(), _texts_at(texts, one), _texts_at(texts, other - 1), strict=True)]
+        finding, term = (pa.array([*column, None], pa.string()) for column in (zip(*said) if said else ((), ())))
+        slot = doc[head] * width + rule[head]
+
+        def place(values, empty):
+            out = np.full(n * width, empty, np.int64)
+            out[slot] = values
+            return out
+
+        first, kind = place(head, -1), place(which, len(said))
+        here = lambda values: pa.array(np.append(values, 0)[first], mask=first < 0)
+        findings = finding.take(pa.array(kind))
+        whole = pa.StructArray.from_arrays(
+            [ids.take(pa.array(np.tile(np.arange(width), n))), findings.fill_null("absent"), here(line + 1).cast(pa.int32()), texts.take(here(text)),
+             term.take(pa.array(kind))], fields=list(SPOKEN))
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), whole)
+
+    @F.arrow_udf("array<struct<criterion_id:string,finding:string,line_no:int,text:string,term_type:string>>")
+    def read(lists: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], pa.list_(SPOKEN)), *(given(*step) for step in hits(lists, rules))])
+
+    return docs.withColumn("_spoken", read.asNondeterministic()(F.col("lines")["text"]))
+
+
+def _claim(s: Column, pack: RulePack) -> Column:
+    """The claim that one element of ``_spoken`` makes."""
+    quoted = (s["finding"] == "specific") & (s["criterion_id"] == pack.hours_id) if pack.hours_id else F.lit(False)
+    none = F.lit(None).cast("string")
+    return F.struct(
+        s["criterion_id"].alias("criterion_id"), s["finding"].alias("finding"),
+        F.when(s["finding"] == "absent", F.array().cast(f"array<{schemas.QUOTE}>")).otherwise(
+            F.array(F.struct(s["line_no"].alias("line"), s["text"].alias("text")))).alias("quotes"),
+        none.alias("source_value"), s["term_type"].alias("term_type"), F.when(quoted, "quoted").alias("value_kind"),
+        F.lit(None).cast(schemas.CALC).alias("calc"))
+
+
 def rule_extractor(pack: RulePack) -> Callable[[DataFrame], DataFrame]:
-    """The default extractor: keyword rules. Adds ``claims``."""
-    return lambda docs: classify_finding(first_hits(match_lines(docs, pack)), pack)
+    """The default extractor: keyword rules. Adds ``claims``, those of ``classify_finding(first_hits(match_lines(docs, pack)), pack)``."""
+
+    def claims(docs: DataFrame) -> DataFrame:
+        build = lambda: F.transform("_spoken", lambda s: _claim(s, pack))
+        return _spoken(docs, pack).withColumn("claims", reused(("claims of rules", pack.digest), build)).drop("_spoken")
+
+    return claims
+
+
+def claim_rows(docs: DataFrame, pack: RulePack, *keep: str) -> DataFrame:
+    """The claims of ``rule_extractor`` as rows with ``claim`` and ``lines``: one per document and criterion, absent ones (without lines) included."""
+    each = unnest(_spoken(docs, pack), "_spoken", *keep, "lines", present="criterion_id")
+    s = {name: F.col(name) for name in SPOKEN.names}
+    return each.select(*keep, F.when(s["finding"] != "absent", F.col("lines")).alias("lines"), _claim(s, pack).alias("claim"))
 
 
 def extract(docs: DataFrame, extractor: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -9,12 +9,14 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsieve.functions.arrays import unnest
-from factsieve.functions.literals import STEP_CHARS, text_steps
+from factsieve.functions.literals import STEP_CHARS, byte_sizes, row_steps
 from factsieve.functions.text import SPACE_CHARS
 
 # A line longer than this is split, and where it may be split
@@ -53,24 +55,54 @@ def line_spans(text: str, limit: int) -> list[tuple[int, int]]:
     return spans
 
 
+def cut_lines(texts: pa.StringArray, limit: int) -> pa.ListArray:
+    """The lines of texts, as ``line_spans`` cuts them: all rows of a step at once, only long rows one by one."""
+    rows = pc.split_pattern(texts, "\n")
+    count = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    piece = rows.flatten()
+    size = _sizes(piece)
+    start = np.cumsum(size + 1) - size - 1
+    doc = np.repeat(np.arange(len(texts)), count)
+    start -= np.append(start, 0)[np.cumsum(count) - count][doc]  # counts from the start of its text
+    long = np.flatnonzero(size > limit)
+    if len(long):
+        parts, at, many = [], [], np.ones(len(piece), np.int64)
+        for i, row in zip(long.tolist(), piece.take(pa.array(long)).to_pylist(), strict=True):
+            spans = line_spans(row, limit)
+            parts += [row[a:b] for a, b in spans]
+            at += [a for a, _ in spans]
+            many[i] = len(spans)
+        take = np.repeat(np.arange(len(piece)), many)
+        own = size[take] > limit
+        doc, start = doc[take], start[take]
+        start[own] += np.array(at, np.int64)
+        take[own] = len(piece) + np.arange(len(parts))
+        piece = pa.concat_arrays([piece, pa.array(parts, pa.string())]).take(pa.array(take))
+        size = _sizes(piece)
+    left = pc.utf8_ltrim(piece, characters=_space())
+    start += size - _sizes(left)
+    text = pc.utf8_rtrim(left, characters=_space())
+    size = _sizes(text)
+    kept = np.flatnonzero(size)
+    doc, start, size = doc[kept], start[kept], size[kept]
+    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+    lines = pa.StructArray.from_arrays(
+        [pa.array(np.arange(len(kept)) - ends[doc] + 1, pa.int32()), text.take(pa.array(kept)), pa.array(start, pa.int32()), pa.array(start + size, pa.int32())],
+        fields=list(LINE))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines, mask=pc.is_null(texts))
+
+
+def _sizes(texts: pa.StringArray) -> np.ndarray:
+    return pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def lines_column(text: Column, limit: int = LONG_LINE) -> Column:
     """array<struct<line_no,text,start,end>>; offsets are half open, in characters of ``text``. Null for a null text."""
 
     @F.arrow_udf("array<struct<line_no:int,text:string,start:int,end:int>>")
     def cut(texts: pa.Array) -> pa.Array:
-        return pa.concat_arrays([whole(part) for part in text_steps(texts, STEP_CHARS)] or [whole([])])
-
-    def whole(texts: list[str | None]) -> pa.Array:
-        ends, number, start, end, out = [0], [], [], [], []
-        for t in texts:
-            spans = line_spans(t, limit) if t else []
-            number += range(1, len(spans) + 1)
-            start += [a for a, _ in spans]
-            end += [b for _, b in spans]
-            out += [t[a:b] for a, b in spans]
-            ends.append(len(out))
-        lines = pa.StructArray.from_arrays([pa.array(number, pa.int32()), pa.array(out, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], fields=list(LINE))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines, mask=pa.array([t is None for t in texts], pa.bool_()))
+        steps = [texts.slice(i, j - i) for i, j in row_steps(byte_sizes(texts), STEP_CHARS)]
+        return pa.concat_arrays([cut_lines(part, limit) for part in steps or [texts]])
 
     return cut.asNondeterministic()(text)  # worked out once, wherever the lines are used
 

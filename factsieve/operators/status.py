@@ -105,38 +105,47 @@ def range_contexts(r: Column, lines: Column) -> Column:
     return F.transform(touched, around)
 
 
+def _real(ranges: str) -> Column:
+    return F.filter(F.coalesce(F.col(ranges), F.array().cast(f"array<{schemas.RANGE}>")), lambda r: r["end"] > r["start"])
+
+
+def _placed(e: Column, lines: Column) -> Column:
+    """Where the quotes of an entry stand."""
+    where = F.transform(e["quotes"], lambda q: F.struct(q["text"].alias("text"), quote_range(q, lines).alias("r")))
+    return F.struct(
+        e["criterion_id"].alias("id"), e["source_value"].alias("value"),
+        F.filter(where, lambda w: w["r"].isNotNull()).alias("where"))
+
+
+def _touched(p: Column, low: Column, pack: RulePack) -> Column:
+    """Whether an uncertain range lies on the evidence of a placed entry."""
+    whole = F.exists(p["where"], lambda w: overlaps(w["r"], low))
+    # presence criteria: only where the stated value itself stands
+    spots = F.filter(
+        F.transform(p["where"], lambda w: F.struct(
+            F.position(p["value"], w["text"]).alias("at"), w["text"].alias("text"), w["r"].alias("r"))),
+        lambda s: (s["at"] > 0) & (s["r"]["end"] - s["r"]["start"] == F.length(s["text"])))
+    spot_hit = F.exists(spots, lambda s: overlaps(
+        F.struct((s["r"]["start"] + s["at"] - 1).alias("start"),
+                 (s["r"]["start"] + s["at"] - 1 + F.length(p["value"])).alias("end")), low))
+    narrow = p["id"].isin(*pack.presence_only) & p["value"].isNotNull() & (F.size(spots) > 0)
+    return F.when(narrow, spot_hit).otherwise(whole)
+
+
 def _with_uncertainty(df: DataFrame, pack: RulePack, entries: str, ranges: str | None) -> DataFrame:
     """Adds ``_touched`` (criteria whose evidence is uncertain) and ``_affected`` (topics)."""
     empty = F.array().cast("array<string>")
     if ranges is None:
         return df.withColumn("_touched", empty).withColumn("_affected", empty)
     lines = F.col("lines")
-    df = df.withColumn("_low", F.filter(
-        F.coalesce(F.col(ranges), F.array().cast(f"array<{schemas.RANGE}>")), lambda r: r["end"] > r["start"]))
+    df = df.withColumn("_low", _real(ranges))
     low = F.col("_low")
 
-    def placed(e: Column) -> Column:
-        where = F.transform(e["quotes"], lambda q: F.struct(q["text"].alias("text"), quote_range(q, lines).alias("r")))
-        return F.struct(
-            e["criterion_id"].alias("id"), e["source_value"].alias("value"),
-            F.filter(where, lambda w: w["r"].isNotNull()).alias("where"))
-
+    placed = lambda e: _placed(e, lines)
+    touched = lambda p: _touched(p, low, pack)
     live = F.filter(entries, lambda e: ~e["unavailable"] & (e["finding"] != "absent"))
     df = df.withColumn("_placed", F.when(F.size(low) > 0, F.transform(live, placed)))
 
-    def touched(p: Column) -> Column:
-        whole = F.exists(p["where"], lambda w: overlaps(w["r"], low))
-        # presence criteria: only where the stated value itself stands
-        spots = F.filter(
-            F.transform(p["where"], lambda w: F.struct(
-                F.position(p["value"], w["text"]).alias("at"), w["text"].alias("text"), w["r"].alias("r"))),
-            lambda s: (s["at"] > 0) & (s["r"]["end"] - s["r"]["start"] == F.length(s["text"])))
-        spot_hit = F.exists(spots, lambda s: overlaps(
-            F.struct((s["r"]["start"] + s["at"] - 1).alias("start"),
-                     (s["r"]["start"] + s["at"] - 1 + F.length(p["value"])).alias("end")), low))
-        narrow = p["id"].isin(*pack.presence_only) & p["value"].isNotNull() & (F.size(spots) > 0)
-        return F.when(narrow, spot_hit).otherwise(whole)
-
     core_ids = pack.core_ids
 
     def topics_named(r: Column) -> Column:
@@ -426,3 +435,10 @@ def low_conf_overlap(docs: DataFrame, pack: RulePack, ranges: str = "low_confide
         F.transform("_touched", lambda c: F.struct(c.alias("id"), F.lit("evidence").alias("scope"))),
         F.transform("_affected", lambda t: F.struct(t.alias("id"), F.lit("context").alias("scope"))))
     return unnest(df, hit, key, present="id")
+
+
+def low_conf_evidence(entries: DataFrame, pack: RulePack, ranges: str = "low_confidence", key: str = "doc_id") -> DataFrame:
+    """The part of ``low_conf_overlap`` that is about evidence (E5), for entries that are rows (``verify.entry_rows``): key, id."""
+    live = entries.filter(~F.col("unavailable") & (F.col("finding") != "absent")).withColumn("_low", _real(ranges)).filter(F.size("_low") > 0)
+    placed = live.withColumn("_p", _placed({n: F.col(n) for n in ("criterion_id", "source_value", "quotes")}, F.col("lines")))
+    return placed.filter(_touched(F.col("_p"), F.col("_low"), pack)).select(key, F.col("criterion_id").alias("id"))

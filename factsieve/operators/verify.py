@@ -107,11 +107,8 @@ def check_quotes(quotes: Column, lines: Column) -> Column:
         q["line"].alias("line"), q["text"].alias("text"), code(q, F.get(lines, q["line"] - 1)).alias("code")))
 
 
-def verify(docs: DataFrame, pack: RulePack, expected: Column | None = None, claims: str = "claims",
-           out: str = "entries") -> DataFrame:
-    """Adds ``out``: one verified entry per expected criterion (V1-V7)."""
-    lines = F.col("lines")
-    wanted = literals(pack.criterion_ids) if expected is None else expected
+def _entry_of(pack: RulePack, lines: Column):
+    """What makes the verified entry (V2-V7) of a claim ``c`` of criterion ``id`` that ``check_completeness`` gave a ``code`` or none."""
 
     # what a step binds with ``let`` is copied, so a step binds its own result and nothing else
     def quoted_in(value: Column, quotes: Column) -> Column:
@@ -243,10 +240,33 @@ def verify(docs: DataFrame, pack: RulePack, expected: Column | None = None, clai
             & p["c"]["source_value"].isNull())
         return F.when(plain, nothing(p)).when(whole_line(p), as_claimed(p)).otherwise(judged(p))
 
-    build = lambda: F.transform(check_completeness(F.col(claims), wanted), checked)
+    return checked
+
+
+def verify(docs: DataFrame, pack: RulePack, expected: Column | None = None, claims: str = "claims",
+           out: str = "entries") -> DataFrame:
+    """Adds ``out``: one verified entry per expected criterion (V1-V7)."""
+    wanted = literals(pack.criterion_ids) if expected is None else expected
+    build = lambda: F.transform(check_completeness(F.col(claims), wanted), _entry_of(pack, F.col("lines")))
     return docs.withColumn(out, reused(("verify", pack.digest, claims), build) if expected is None else build())
 
 
+def entry_rows(rows: DataFrame, pack: RulePack, *keep: str) -> DataFrame:
+    """The verified entries (V2-V7) of claims that are rows with ``claim`` and ``lines``, one row each.
+
+    The checks of ``verify``, but a claim is no element of an array here, so they are compiled and not interpreted. Completeness (V1) is for
+    the source of the rows: ``code`` says what is wrong with a claim that is not the only one of its criterion, if there is such a column.
+    """
+    code = F.col("code") if "code" in rows.columns else F.lit(None).cast("string")
+    asked = F.col("id") if "id" in rows.columns else F.col("claim.criterion_id")
+
+    def build() -> Column:
+        return F.array(_entry_of(pack, F.col("lines"))({"id": asked, "c": F.col("claim"), "code": code}))
+
+    made = rows.select(*keep, reused(("entry rows", pack.digest, "code" in rows.columns, "id" in rows.columns), build).alias("_entry"))
+    return unnest(made, "_entry", *keep, present="criterion_id")
+
+
 def failed(entry: Column) -> Column:
     return F.size(entry["errors"]) > 0
 
