@@ -264,7 +264,7 @@ def entry_rows(rows: DataFrame, pack: RulePack, *keep: str) -> DataFrame:
         return F.array(_entry_of(pack, F.col("lines"))({"id": asked, "c": F.col("claim"), "code": code}))
 
     made = rows.select(*keep, reused(("entry rows", pack.digest, "code" in rows.columns, "id" in rows.columns), build).alias("_entry"))
-    return unnest(made, "_entry", *keep, present="criterion_id")
+    return unnest(made, "_entry", *keep, present="unavailable")
 
 
 def failed(entry: Column) -> Column:
@@ -364,6 +364,16 @@ def error_rows(docs: DataFrame, key: str = "doc_id", entries: str = "entries") -
     return unnest_values(each, "e.errors", "code", key, F.col("e.criterion_id"))
 
 
+def answer_errors(docs: DataFrame, pack: RulePack, expected: Column, key: str = "doc_id", claims: str = "claims", call_error: str = "call_error") -> DataFrame:
+    """Error codes of stored answers as rows, in one pass over them: an answer that cannot be read has one row without a criterion, another the codes of its claims (V1-V7)."""
+    unread = F.coalesce(F.col(call_error), F.lit("malformed_response"))
+    asked = docs.withColumn("_asked", F.when(F.col(claims).isNotNull(), check_completeness(F.col(claims), expected)))
+    each = asked.select(key, "lines", unread.alias("_unread"), F.inline_outer("_asked"))
+    code = F.when(F.col("id").isNull(), F.col("_unread")).otherwise(F.col("code"))
+    entries = entry_rows(each.select(key, "lines", "id", F.col("c").alias("claim"), code.alias("code")), pack, key)
+    return unnest_values(entries, "errors", "code", key, "criterion_id")
+
+
 def error_summary(docs: DataFrame, key: str = "doc_id", entries: str = "entries") -> DataFrame:
     """Distinct codes per document and criterion, with the wording for a second pass."""
     words = F.create_map(*[F.lit(x) for pair in FEEDBACK.items() for x in pair])
