@@ -184,10 +184,10 @@ def rule_extractor(pack: RulePack) -> Callable[[DataFrame], DataFrame]:
 
 
 def claim_rows(docs: DataFrame, pack: RulePack, *keep: str) -> DataFrame:
-    """The claims of ``rule_extractor`` as rows with ``claim`` and ``lines``: one per document and criterion, absent ones (without lines) included."""
+    """The claims of ``rule_extractor`` as rows with ``claim`` and ``lines`` (the cited one): one per document and criterion, absent ones included."""
     each = unnest(_spoken(docs, pack), "_spoken", *keep, "lines", present="criterion_id")
     s = {name: F.col(name) for name in SPOKEN.names}
-    return each.select(*keep, F.when(s["finding"] != "absent", F.col("lines")).alias("lines"), _claim(s, pack).alias("claim"))
+    return each.select(*keep, F.array(F.get("lines", s["line_no"] - 1)).alias("lines"), _claim(s, pack).alias("claim"))
 
 
 def extract(docs: DataFrame, extractor: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -14,7 +14,7 @@ from factsieve import schemas
 from factsieve.functions.arrays import unnest, unnest_values
 from factsieve.functions.reuse import Steps, reused
 from factsieve.functions.text import SPACE_CHARS, as_digits, matches
-from factsieve.operators.verify import at, literals, verify_calc
+from factsieve.operators.verify import at, cited_line, literals, verify_calc
 from factsieve.packs import korean as K
 from factsieve.packs.model import RulePack
 
@@ -76,9 +76,8 @@ def boundary_limits(entries: str, pack: RulePack, calculated: Column) -> dict[st
 # ---- uncertain ranges ---------------------------------------------------------------
 
 
-def quote_range(q: Column, lines: Column) -> Column:
+def quote_range(q: Column, line: Column) -> Column:
     """Where a quote stands in the text; the whole line if it is not there literally."""
-    line = F.get(lines, q["line"] - 1)
     at = F.position(q["text"], line["text"])
     start = F.when(at > 0, line["start"] + at - 1).otherwise(line["start"])
     end = F.when(at > 0, line["start"] + at - 1 + F.length(q["text"])).otherwise(line["end"])
@@ -109,9 +108,9 @@ def _real(ranges: str) -> Column:
     return F.filter(F.coalesce(F.col(ranges), F.array().cast(f"array<{schemas.RANGE}>")), lambda r: r["end"] > r["start"])
 
 
-def _placed(e: Column, lines: Column) -> Column:
+def _placed(e: Column, line_of) -> Column:
     """Where the quotes of an entry stand."""
-    where = F.transform(e["quotes"], lambda q: F.struct(q["text"].alias("text"), quote_range(q, lines).alias("r")))
+    where = F.transform(e["quotes"], lambda q: F.struct(q["text"].alias("text"), quote_range(q, line_of(q)).alias("r")))
     return F.struct(
         e["criterion_id"].alias("id"), e["source_value"].alias("value"),
         F.filter(where, lambda w: w["r"].isNotNull()).alias("where"))
@@ -141,7 +140,7 @@ def _with_uncertainty(df: DataFrame, pack: RulePack, entries: str, ranges: str |
     df = df.withColumn("_low", _real(ranges))
     low = F.col("_low")
 
-    placed = lambda e: _placed(e, lines)
+    placed = lambda e: _placed(e, lambda q: F.get(lines, q["line"] - 1))
     touched = lambda p: _touched(p, low, pack)
     live = F.filter(entries, lambda e: ~e["unavailable"] & (e["finding"] != "absent"))
     df = df.withColumn("_placed", F.when(F.size(low) > 0, F.transform(live, placed)))
@@ -440,5 +439,5 @@ def low_conf_overlap(docs: DataFrame, pack: RulePack, ranges: str = "low_confide
 def low_conf_evidence(entries: DataFrame, pack: RulePack, ranges: str = "low_confidence", key: str = "doc_id") -> DataFrame:
     """The part of ``low_conf_overlap`` that is about evidence (E5), for entries that are rows (``verify.entry_rows``): key, id."""
     live = entries.filter(~F.col("unavailable") & (F.col("finding") != "absent")).withColumn("_low", _real(ranges)).filter(F.size("_low") > 0)
-    placed = live.withColumn("_p", _placed({n: F.col(n) for n in ("criterion_id", "source_value", "quotes")}, F.col("lines")))
+    placed = live.withColumn("_p", _placed({n: F.col(n) for n in ("criterion_id", "source_value", "quotes")}, lambda q: cited_line(F.col("lines"), q)))
     return placed.filter(_touched(F.col("_p"), F.col("_low"), pack)).select(key, F.col("criterion_id").alias("id"))

@@ -92,8 +92,14 @@ def check_completeness(claims: Column, expected: Column) -> Column:
     return F.when(as_asked, in_order).otherwise(F.transform(F.transform(expected, pick), judge))
 
 
-def check_quotes(quotes: Column, lines: Column) -> Column:
-    """Each quote with its error code, null if it stands on its line (V2)."""
+def cited_line(lines: Column, q: Column) -> Column:
+    """The line that a quote names, among some lines of its document of which the first is the likely one."""
+    first = F.get(lines, F.lit(0))
+    return F.when(first["line_no"] == q["line"], first).otherwise(F.get(F.filter(lines, lambda l: l["line_no"] == q["line"]), F.lit(0)))
+
+
+def check_quotes(quotes: Column, line_of) -> Column:
+    """Each quote with its error code, null if it stands on its line, ``line_of(quote)`` (V2)."""
 
     def code(q: Column, line: Column) -> Column:
         return (
@@ -104,10 +110,10 @@ def check_quotes(quotes: Column, lines: Column) -> Column:
         )
 
     return F.transform(quotes, lambda q: F.struct(
-        q["line"].alias("line"), q["text"].alias("text"), code(q, F.get(lines, q["line"] - 1)).alias("code")))
+        q["line"].alias("line"), q["text"].alias("text"), code(q, line_of(q)).alias("code")))
 
 
-def _entry_of(pack: RulePack, lines: Column):
+def _entry_of(pack: RulePack, line_of):
     """What makes the verified entry (V2-V7) of a claim ``c`` of criterion ``id`` that ``check_completeness`` gave a ``code`` or none."""
 
     # what a step binds with ``let`` is copied, so a step binds its own result and nothing else
@@ -189,7 +195,7 @@ def _entry_of(pack: RulePack, lines: Column):
             quotes = F.when(F.size(errors) == 0, kept).otherwise(_no(_QUOTES))
             return let(quotes, lambda quotes: entry(p, checked, value, errors, reasoned, quotes))
 
-        return let(check_quotes(p["c"]["quotes"], lines), with_good)
+        return let(check_quotes(p["c"]["quotes"], line_of), with_good)
 
     empty = F.struct(
         *[F.lit(None).cast("string").alias(n) for n in ("source_value", "term_type", "value_kind")],
@@ -213,7 +219,7 @@ def _entry_of(pack: RulePack, lines: Column):
         fine = (
             p["code"].isNull() & (F.size(c["quotes"]) == 1) & c["source_value"].isNull()
             & (finding.isin("specific", "coarse", "undecided") | ((finding == "negated") & p["id"].isin(*pack.negation_status)))
-            & (F.get(lines, q["line"] - 1)["text"] == text)
+            & (line_of(q)["text"] == text)
             & (F.length(text) > 0) & ~matches(F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1))), r"\s")
             & excluded_for(p, text).isNull())
         if pack.fixed_term_id:
@@ -247,12 +253,12 @@ def verify(docs: DataFrame, pack: RulePack, expected: Column | None = None, clai
            out: str = "entries") -> DataFrame:
     """Adds ``out``: one verified entry per expected criterion (V1-V7)."""
     wanted = literals(pack.criterion_ids) if expected is None else expected
-    build = lambda: F.transform(check_completeness(F.col(claims), wanted), _entry_of(pack, F.col("lines")))
+    build = lambda: F.transform(check_completeness(F.col(claims), wanted), _entry_of(pack, lambda q: F.get(F.col("lines"), q["line"] - 1)))
     return docs.withColumn(out, reused(("verify", pack.digest, claims), build) if expected is None else build())
 
 
 def entry_rows(rows: DataFrame, pack: RulePack, *keep: str) -> DataFrame:
-    """The verified entries (V2-V7) of claims that are rows with ``claim`` and ``lines``, one row each.
+    """The verified entries (V2-V7) of claims that are rows with ``claim`` and ``lines`` (those it cites at least), one row each.
 
     The checks of ``verify``, but a claim is no element of an array here, so they are compiled and not interpreted. Completeness (V1) is for
     the source of the rows: ``code`` says what is wrong with a claim that is not the only one of its criterion, if there is such a column.
@@ -261,7 +267,7 @@ def entry_rows(rows: DataFrame, pack: RulePack, *keep: str) -> DataFrame:
     asked = F.col("id") if "id" in rows.columns else F.col("claim.criterion_id")
 
     def build() -> Column:
-        return F.array(_entry_of(pack, F.col("lines"))({"id": asked, "c": F.col("claim"), "code": code}))
+        return F.array(_entry_of(pack, lambda q: cited_line(F.col("lines"), q))({"id": asked, "c": F.col("claim"), "code": code}))
 
     made = rows.select(*keep, reused(("entry rows", pack.digest, "code" in rows.columns, "id" in rows.columns), build).alias("_entry"))
     return unnest(made, "_entry", *keep, present="unavailable")
