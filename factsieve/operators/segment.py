@@ -107,6 +107,30 @@ def lines_column(text: Column, limit: int = LONG_LINE) -> Column:
     return cut.asNondeterministic()(text)  # worked out once, wherever the lines are used
 
 
+def stands(text: str, starts: list[int], ends: list[int], parts: list[str]) -> bool:
+    """Whether each part stands in its place, one after the other, with nothing but white space around them."""
+    space, at = _space(), 0
+    for a, b, part in zip(starts, ends, parts, strict=True):
+        if a < at or text[a:b] != part or text[at:a].strip(space):
+            return False
+        at = b
+    return not text[at:].strip(space)
+
+
+def lines_stand(text: Column, lines: Column) -> Column:
+    """Whether the lines are the parts of ``text`` that their offsets name and nothing is lost between them; in time linear in the text."""
+
+    @F.arrow_udf("boolean")
+    def stand(texts: pa.Array, starts: pa.Array, ends: pa.Array, parts: pa.Array) -> pa.Array:
+        out = []
+        for i, j in row_steps(byte_sizes(texts), STEP_CHARS):
+            rows = zip(*(c.slice(i, j - i).to_pylist() for c in (texts, starts, ends, parts)), strict=True)
+            out += [None if t is None or x is None else stands(t, s, e, x) for t, s, e, x in rows]
+        return pa.array(out, pa.bool_())
+
+    return stand(text, lines["start"], lines["end"], lines["text"])
+
+
 def with_lines(docs: DataFrame, text: str = "text", limit: int = LONG_LINE) -> DataFrame:
     return docs.withColumn("lines", lines_column(F.col(text), limit))
 
