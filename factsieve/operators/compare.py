@@ -25,9 +25,11 @@ def build_pairs(requests: DataFrame, docs: DataFrame, *carry: str) -> tuple[Data
 
     Exactly two documents of two known types; the earlier stage is A. One join on doc_id and
     one aggregation on pair_id; a request with any number of documents keeps a constant state.
+    What documents carry can be far larger than what they are made from, by which their size is
+    estimated, so both sides are shuffled and no side is ever gathered in the driver.
     """
     body = [F.col(c) for c in ("doc_id", "doc_type", *carry)]
-    sides = requests.join(docs.select(*body), "doc_id", "left").withColumn("_stage", stage(F.col("doc_type")))
+    sides = requests.join(docs.select(*body).hint("merge"), "doc_id", "left").withColumn("_stage", stage(F.col("doc_type")))
     both = F.struct("doc_id", "doc_type", *carry)
     judged = sides.groupBy("pair_id").agg(
         F.count("*").alias("n"), F.count("_stage").alias("known"),
