@@ -100,7 +100,7 @@ def classify_finding(docs: DataFrame, pack: RulePack) -> DataFrame:
     return docs.withColumn("claims", reused(("claims", pack.digest), build)).drop("hits")
 
 
-def _findings(pack: RulePack):
+def findings_of(pack: RulePack):
     """(finding, term type) that a text gives a criterion, as in ``classify_finding``."""
     ids, negatable, hours_id, fixed_term_id = pack.criterion_ids, frozenset(pack.negation_status), pack.hours_id, pack.fixed_term_id
     negated, undecided, external, hours, indefinite = pack.negated, pack.undecided, pack.external, pack.hours, pack.indefinite
@@ -118,26 +118,34 @@ def _findings(pack: RulePack):
     return told
 
 
-def _texts_at(texts: pa.Array, where: np.ndarray) -> list[str | None]:
+def texts_at(texts: pa.Array, where: np.ndarray) -> list[str | None]:
     return texts.take(pa.array(where, mask=where < 0)).to_pylist()
 
 
+def wordings(texts: pa.Array, doc: np.ndarray, rule: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of hits in order of document, rule and line: the first one of each document and rule, the number of its wording, and the rule, first and second text of each wording.
+
+    A wording is a rule and the texts of the first two of its lines; the second is -1 if there is only one.
+    """
+    new = np.ones(len(doc), bool)
+    new[1:] = (np.diff(doc) != 0) | (np.diff(rule) != 0)
+    head = np.flatnonzero(new)
+    last = np.append(head, len(doc))[1:] - 1
+    second = np.where(head < last, text[np.minimum(head + 1, last)], -1)
+    coded = pa.array((rule[head] * (len(texts) + 1) + text[head]) * (len(texts) + 1) + second + 1).dictionary_encode()
+    rest, other = np.divmod(coded.dictionary.to_numpy(zero_copy_only=False), len(texts) + 1)
+    of, one = np.divmod(rest, len(texts) + 1)
+    return head, coded.indices.to_numpy(zero_copy_only=False), of, one, other - 1
+
+
 def _spoken(docs: DataFrame, pack: RulePack) -> DataFrame:
     """Adds ``_spoken``: per criterion of the pack what its first two lines say, and the first of them; worked out once per distinct wording of a batch."""
-    rules, told, ids = line_rules(pack), _findings(pack), pa.array(pack.criterion_ids, pa.string())
+    rules, told, ids = line_rules(pack), findings_of(pack), pa.array(pack.criterion_ids, pa.string())
     width = len(ids)
 
     def given(n: int, texts: pa.Array, doc, rule, line, text) -> pa.Array:
-        new = np.ones(len(doc), bool)
-        new[1:] = (np.diff(doc) != 0) | (np.diff(rule) != 0)
-        head = np.flatnonzero(new)
-        last = np.append(head, len(doc))[1:] - 1
-        second = np.where(head < last, text[np.minimum(head + 1, last)], -1)
-        wordings = pa.array((rule[head] * (len(texts) + 1) + text[head]) * (len(texts) + 1) + second + 1).dictionary_encode()
-        which = wordings.indices.to_numpy(zero_copy_only=False)
-        rest, other = np.divmod(wordings.dictionary.to_numpy(zero_copy_only=False), len(texts) + 1)
-        of, one = np.divmod(rest, len(texts) + 1)
-        said = [told(r, a if b is None else f"{a} {b}") for r, a, b in zip(of.tolist(), _texts_at(texts, one), _texts_at(texts, other - 1), strict=True)]
+        head, which, of, one, other = wordings(texts, doc, rule, text)
+        said = [told(r, a if b is None else f"{a} {b}") for r, a, b in zip(of.tolist(), texts_at(texts, one), texts_at(texts, other), strict=True)]
         finding, term = (pa.array([*column, None], pa.string()) for column in (zip(*said) if said else ((), ())))
         slot = doc[head] * width + rule[head]
 
