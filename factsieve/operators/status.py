@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsieve import schemas
-from factsieve.functions.arrays import unnest, unnest_values
+from factsieve.functions.arrays import let, unnest, unnest_values
 from factsieve.functions.reuse import Steps, reused
 from factsieve.functions.text import SPACE_CHARS, as_digits, matches
 from factsieve.operators.verify import at, cited_line, literals, verify_calc
@@ -396,35 +396,30 @@ def status_counts(evaluated: DataFrame, key: str = "doc_id") -> DataFrame:
           for s in ("MAIN_FOUND", "MAIN_PARTIAL", "MAIN_MISSING", "MAIN_UNAVAILABLE")])
 
 
-def merge_in_row(ranges: Column) -> Column:
-    """Sorted, touching or overlapping ranges of one row merged (array<struct<start,end>>)."""
-    ordered = F.array_sort(ranges)
+def highlight_ranges(evaluated: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Merged ranges to mark per line; offsets count from the line's start (E19). Touching or overlapping ranges are one."""
+    quotes = F.array_distinct(F.flatten(F.transform("criteria", lambda c: c["evidence"])))
+    marked = evaluated.select(key, "lines", quotes.alias("_quotes"))
+
+    def spot(q: Column) -> Column:
+        at = lambda l: F.position(q["text"], l["text"])
+        return let(F.get("lines", q["line"] - 1), lambda l: F.struct(
+            l["line_no"].alias("line_no"), F.when(at(l) > 0, at(l) - 1).otherwise(0).alias("start"),
+            F.when(at(l) > 0, at(l) - 1 + F.length(q["text"])).otherwise(F.length(l["text"])).alias("end")))
 
     def step(acc: Column, r: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
-        return F.when(last.isNotNull() & (r["start"] <= last["end"]),
+        joined = F.struct(last["line_no"].alias("line_no"), last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        return F.when(last.isNotNull() & (r["line_no"] == last["line_no"]) & (r["start"] <= last["end"]),
                       F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), joined)).otherwise(F.array_append(acc, r))
 
-    return F.aggregate(ordered, F.array().cast("array<struct<start:int,end:int>>"), step)
-
-
-def highlight_ranges(evaluated: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Merged ranges to mark per line; offsets count from the line's start."""
-    quotes = F.flatten(F.transform("criteria", lambda c: c["evidence"]))
-    marked = evaluated.select(key, "lines", quotes.alias("quotes"))
-
-    def per_line(l: Column) -> Column:
-        mine = F.filter("quotes", lambda q: q["line"] == l["line_no"])
-        at = lambda q: F.position(q["text"], l["text"])
-        ranges = F.transform(mine, lambda q: F.struct(
-            F.when(at(q) > 0, at(q) - 1).otherwise(0).alias("start"),
-            F.when(at(q) > 0, at(q) - 1 + F.length(q["text"])).otherwise(F.length(l["text"])).alias("end")))
-        return F.struct(l["line_no"].alias("line_no"), merge_in_row(ranges).alias("ranges"))
-
-    spots = F.filter(F.transform("lines", per_line), lambda x: F.size(x["ranges"]) > 0)
-    each = unnest_values(marked, spots, "s", key)
-    return unnest(each, "s.ranges", key, F.col("s.line_no"), present="start")
+    # sorted by line and place, so one pass merges the ranges of all lines
+    spots = F.array_sort(F.array_distinct(F.filter(F.transform("_quotes", spot), lambda s: s["line_no"].isNotNull())))
+    merged = F.aggregate(F.col("_spots"), F.array().cast("array<struct<line_no:int,start:int,end:int>>"), step)
+    placed = marked.select(key, spots.alias("_spots"))
+    # ranges on different lines have nothing to merge
+    apart = F.size(F.array_distinct(F.col("_spots.line_no"))) == F.size("_spots")
+    return unnest(placed, F.when(apart, F.col("_spots")).otherwise(merged), key, present="start")
 
 
 def low_conf_overlap(docs: DataFrame, pack: RulePack, ranges: str = "low_confidence", key: str = "doc_id") -> DataFrame:
