@@ -71,17 +71,13 @@ def facet_relations(facets: DataFrame) -> DataFrame:
     value = kind == "value"
     rows = facets.select(
         *key, "seq", kind.alias("kind"), *[F.when(value, F.col(c)).alias(c) for c in ("grp", "val", "tax")])
-    # one row per distinct reading
-    readings = rows.groupBy(*key, "kind", "grp", "val", "tax").agg(
-        F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
 
     def by_tax(tax: str) -> Column:
-        return F.sum(F.when(F.col("tax") == tax, F.col("n")).otherwise(0))
+        return F.count_if(F.col("tax") == tax)
 
-    # pairs that agree: same value, not one before and one after tax
-    values = readings.groupBy(*key, "kind", "grp", "val").agg(
-        F.sum("n").alias("n"), by_tax("pre").alias("pre"), by_tax("post").alias("post"),
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # one row per distinct reading; pairs that agree: same value, not one before and one after tax
+    values = rows.groupBy(*key, "kind", "grp", "val").agg(
+        F.count("*").alias("n"), by_tax("pre").alias("pre"), by_tax("post").alias("post"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
     values = values.withColumn("same", F.when(
         F.col("kind") == "value", _pairs(F.col("n")) - F.col("pre") * F.col("post")).otherwise(0))
     groups = values.groupBy(*key, "kind", "grp").agg(
