@@ -12,6 +12,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +83,7 @@ def excluded(pack: RulePack):
 def judged(step, pack: RulePack, marks=None) -> SimpleNamespace:
     """The criteria of a step of documents (``rules.hits``) as tables, documents by criteria.
 
-    ``marks``, if any, tells of uncertain ranges: (documents by criteria whose cited line is touched, documents by topics that are affected), given the tables of lines.
+    ``marks``, if any, tells of uncertain ranges (``uncertain``): documents by criteria whose quote is touched, and documents by topics that are affected.
     """
     n, texts, doc, rule, line, text = step
     ids, width = pack.criterion_ids, len(pack.criteria)
@@ -276,26 +277,98 @@ def facets_of(s: SimpleNamespace, pack: RulePack, items, quotes: bool) -> pa.Lis
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * many, pa.int32()), rows)
 
 
+def around(text: str, a: int, b: int) -> str:
+    """A part of a line, widened to word edges plus one word each side."""
+    words = compiled(r"\S*\s*\S*").match
+    return words(text[:a][::-1]).group()[::-1] + text[a:b] + words(text[b:]).group()
+
+
+def as_digits(text: str) -> str:
+    """``text.as_digits`` of one text."""
+    for letters, digit in (("Oo", "0"), ("Il|", "1"), ("S", "5")):
+        text = compiled(rf"(?<=\d)[{letters}]|[{letters}](?=\d)").sub(digit, text)
+    return text
+
+
+def uncertain(pack: RulePack, texts: pa.Array, starts: pa.Array, ends: pa.Array, ranges: pa.Array):
+    """What uncertain ranges bear on, for ``judged`` (E4-E7): lists of lines and ranges of the documents of a step."""
+    cores = [pattern(t.core) for t in pack.topics]
+    seen: dict[tuple[str, int, int], list[bool]] = {}
+
+    def topics_at(text: str, a: int, b: int) -> list[bool]:
+        if (text, a, b) not in seen:
+            context = around(text, a, b)
+            seen[text, a, b] = [bool(core(context) or core(as_digits(context))) for core in cores]
+        return seen[text, a, b]
+
+    def numbers(lists: pa.Array) -> np.ndarray:
+        return pc.fill_null(lists, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def marks(s: SimpleNamespace) -> tuple[np.ndarray, np.ndarray]:
+        width, many = len(pack.criteria), len(pack.topics)
+        touched, affected = np.zeros((s.n, width), bool), np.zeros((s.n, many), bool)
+        doc, spots = np.repeat(np.arange(s.n), numbers(pc.list_value_length(ranges))), ranges.flatten()
+        low, high = numbers(spots.field("start")), numbers(spots.field("end"))
+        real = pc.fill_null(pc.greater(spots.field("end"), spots.field("start")), False).to_numpy(zero_copy_only=False).astype(bool)
+        doc, low, high = doc[real], low[real], high[real]
+        if not len(doc):
+            return touched, affected
+        count = numbers(pc.list_value_length(texts))
+        offset = np.cumsum(count) - count
+        start, end = numbers(starts.flatten()), numbers(ends.flatten())
+        # quotes of the criteria that a range lies on
+        cited = s.text[doc] >= 0
+        line = np.where(cited, offset[doc][:, None] + s.line[doc] - 1, 0)
+        on = cited & (low[:, None] < np.append(end, 0)[line]) & (np.append(start, 0)[line] < high[:, None])
+        np.logical_or.at(touched, doc, on)
+        # topics that the words around a range name, where it lies on none of their own core quotes
+        topic_of = np.array([pack.topic_ids.index(c.topic) for c in pack.criteria])
+        core = np.array([c.role == "C" for c in pack.criteria])
+        spoken = np.logical_or.reduceat(on & core, np.searchsorted(topic_of, np.arange(many)), axis=1)
+        of = np.repeat(np.arange(len(doc)), count[doc])
+        each = np.arange(len(of)) - np.repeat(np.cumsum(count[doc]) - count[doc], count[doc]) + offset[doc][of]
+        met = (end[each] > low[of]) & (start[each] < high[of])
+        of, each = of[met], each[met]
+        a, b = np.maximum(low[of], start[each]) - start[each], np.minimum(high[of], end[each]) - start[each]
+        named_ = np.zeros((len(doc), many), bool)
+        told = [topics_at(*x) for x in zip(texts_at(texts.flatten(), each), a.tolist(), b.tolist(), strict=True)]
+        np.logical_or.at(named_, of, np.array(told, bool).reshape(-1, many))
+        np.logical_or.at(affected, doc, named_ & ~spoken)
+        return touched, affected
+
+    return marks
+
+
 def tables(pack: RulePack, ddl: str, make):
-    """An Arrow function from the lines of documents to the rows that ``make`` gets from their tables."""
+    """An Arrow function from the lines of documents, and where uncertain ranges lie if asked, to the rows that ``make`` gets from their tables."""
     rules = line_rules(pack)
 
     @F.arrow_udf(ddl)
     def rows(lists: pa.Array) -> pa.Array:
-        return pa.concat_arrays([make(judged(step, pack), pack) for step in [*hits(lists, rules)] or [none_of(lists)]])
+        return pa.concat_arrays([make(judged(step, pack), pack) for step in hits(lists, rules)] or [make(judged(none_of(lists), pack), pack)])
+
+    @F.arrow_udf(ddl)
+    def marked(lists: pa.Array, starts: pa.Array, ends: pa.Array, ranges: pa.Array) -> pa.Array:
+        parts, at = [], 0
+        for step in hits(lists, rules):
+            marks = uncertain(pack, *(x.slice(at, step[0]) for x in (lists, starts, ends, ranges)))
+            parts.append(make(judged(step, pack, marks), pack))
+            at += step[0]
+        return pa.concat_arrays(parts or [make(judged(none_of(lists), pack), pack)])
 
-    return rows.asNondeterministic()
+    lines = F.col("lines")
+    return lambda ranges=None: (rows.asNondeterministic()(lines["text"]) if ranges is None else
+                                marked.asNondeterministic()(lines["text"], lines["start"], lines["end"], F.col(ranges)))
 
 
-def judge(docs: DataFrame, pack: RulePack) -> DataFrame:
+def judge(docs: DataFrame, pack: RulePack, ranges: str | None = None) -> DataFrame:
     """Adds ``criteria`` and ``topics`` to documents with ``lines``; what a query does not use of the two is not worked out."""
-    lines = F.col("lines")["text"]
-    return docs.withColumns({"criteria": tables(pack, CRITERIA, criteria_of)(lines), "topics": tables(pack, TOPICS, topics_of)(lines)})
+    return docs.withColumns({"criteria": tables(pack, CRITERIA, criteria_of)(ranges), "topics": tables(pack, TOPICS, topics_of)(ranges)})
 
 
-def judge_facets(docs: DataFrame, pack: RulePack, items=K.RELATE_ITEMS, quotes: bool = True) -> DataFrame:
+def judge_facets(docs: DataFrame, pack: RulePack, items=K.RELATE_ITEMS, quotes: bool = True, ranges: str | None = None) -> DataFrame:
     """Adds ``facets`` to documents with ``lines``, those of ``facets.with_facets``; without ``quotes`` their ``evidence`` is left empty."""
-    return docs.withColumn("facets", tables(pack, FACETS, lambda s, pack: facets_of(s, pack, items, quotes))(F.col("lines")["text"]))
+    return docs.withColumn("facets", tables(pack, FACETS, lambda s, pack: facets_of(s, pack, items, quotes))(ranges))
 
 
 def none_of(lists: pa.Array) -> tuple:
