@@ -34,3 +34,17 @@ def merge_intervals(ranges: DataFrame, keys: list[str], start: str = "start", en
         islands.withColumn("_island", F.coalesce("_own", "_before"))
         .groupBy(*keys, "_island").agg(F.max(e).alias(end))
         .withColumnRenamed("_island", start).select(*keys, start, end))
+
+
+def merge_few(ranges: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: Column | float = 0, touching: bool = True) -> DataFrame:
+    """The islands of ``merge_intervals`` for keys with a bounded number of distinct ranges, such as places on a page.
+
+    Equal ranges fall together before the shuffle; the distinct ones of a key are scanned once, in order, so the input is read once.
+    """
+    s, e = F.col(start), F.col(end)
+    rows = ranges.filter(e > s).select(*keys, s, e).distinct()
+    order = Window.partitionBy(*keys).orderBy(start, end)
+    limit = F.max(e).over(order.rowsBetween(Window.unboundedPreceding, -1)) + (gap if isinstance(gap, Column) else F.lit(gap))
+    head = F.when(limit.isNull() | ((s > limit) if touching else (s >= limit)), s)
+    islands = rows.withColumn("_head", head).withColumn("_island", F.max("_head").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return islands.groupBy(*keys, "_island").agg(F.max(e).alias(end)).withColumnRenamed("_island", start).select(*keys, start, end)
