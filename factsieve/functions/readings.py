@@ -9,7 +9,7 @@ import math
 import re
 
 from factsieve.functions.text import compiled
-from factsieve.functions.values import AMOUNT
+from factsieve.functions.values import _AMOUNT
 from factsieve.packs import korean as K
 
 #: group and value, what a number is worth, and the basis of tax
@@ -74,7 +74,7 @@ def won_value(written: str) -> int | None:
 
 
 def amounts(text: str) -> list[int]:
-    return [v for m in compiled(AMOUNT).finditer(text) if (v := won_value(m.group(1))) is not None]
+    return [v for m in compiled(_AMOUNT).finditer(text) if (v := won_value(m.group(1))) is not None]
 
 
 def pay_unit(text: str) -> str | None:

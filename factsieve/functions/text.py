@@ -8,6 +8,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factsieve.functions.arrays import let
+
 # The white space characters that count as a space.
 # Written so that both the JVM's and other regular expression engines accept them.
 SPACE_CHARS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -97,8 +99,7 @@ def strip_ocr_junk(col: Column) -> Column:
 
 
 def clip(col: Column, n: int = 60) -> Column:
-    flat = norm_ws(F.coalesce(col, F.lit("")))
-    return F.when(F.length(flat) > n, F.concat(F.substring(flat, 1, n), F.lit("…"))).otherwise(flat)
+    return let(norm_ws(F.coalesce(col, F.lit(""))), lambda flat: F.when(F.length(flat) > n, F.concat(F.substring(flat, 1, n), F.lit("…"))).otherwise(flat))
 
 
 def as_digits(col: Column) -> Column:
@@ -115,6 +116,12 @@ def josa(col: Column, with_final: str, without: str) -> Column:
     return F.concat(col, F.when(closed, F.lit(with_final)).otherwise(F.lit(without)))
 
 
+def josa_of(word: str, with_final: str, without: str) -> str:
+    """``josa`` of one word."""
+    code = ord(word[-1]) - 0xAC00
+    return word + (with_final if 0 <= code <= 11171 and code % 28 else without)
+
+
 def normalize_condition_text(col: Column, place: bool = False) -> Column:
     """Spelling-independent form of a condition: no leading label, blanks or punctuation."""
     out = replace(F.coalesce(col, F.lit("")), r"^[^:：\n]{1,15}[:：]\s*")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factsieve.functions.arrays import unnest
-from factsieve.functions.text import clip, josa, norm_ws
+from factsieve.functions.arrays import let, unnest
+from factsieve.functions.text import clip, josa_of, norm_ws
 from factsieve.packs import korean as K
 
 # Wording of the questions
@@ -23,6 +23,7 @@ TOPIC = {
     "09": ("휴일", "주휴일 등 쉬는 날이 어떻게 정해지는지와 유급 여부를 알려 주실 수 있을까요?"),
     "10": ("연차 유급휴가", "연차 유급휴가가 어떻게 부여되는지(대상, 일수, 산정방법)를 알려 주실 수 있을까요?"),
 }
+LABELS = {f: name for _, _, fs in K.COMPARE_ITEMS for f, name, _ in fs}
 HELLO, THANKS = "안녕하세요. ", " 감사합니다."
 NOT_FOUND, UNSETTLED = "에 관한 내용을 찾지 못해 여쭤봅니다.", "에 관한 내용 중 정해지지 않았거나 일부만 적힌 부분이 있어 여쭤봅니다."
 
@@ -57,11 +58,11 @@ def _shown(side: Column) -> Column:
     return clip(F.coalesce(side["value"], F.get(side["evidence"], F.lit(0))["text"]))
 
 
-def _sentence(f: Column, label: Column, item_label: Column, ask: Column, la: Column, lb: Column) -> Column:
-    """Sentence for one compared facet, null if nothing has to be asked (Q2)."""
-    a, b = _shown(f["a"]), _shown(f["b"])
-    subject = josa(label, "이", "가")
-    object_ = josa(label, "을", "를")
+def _sentence(x: Column, item_label: Column, ask: Column, la: Column, lb: Column) -> Column:
+    """Sentence for one compared facet with what its sides show, null if nothing has to be asked (Q2)."""
+    f, a, b = x["f"], x["a"], x["b"]
+    word = lambda forms: _lookup(forms, f["facet_id"])
+    label, subject, object_ = word(LABELS), word({k: josa_of(v, "이", "가") for k, v in LABELS.items()}), word({k: josa_of(v, "을", "를") for k, v in LABELS.items()})
     blank = lambda s: F.when(s == "", "해당 없음").otherwise(s)
     c = F.concat
     l = F.lit
@@ -78,35 +79,41 @@ def _sentence(f: Column, label: Column, item_label: Column, ask: Column, la: Col
         .when((f["state"] == "both_missing") & f["first"], c(l("두 문서 모두에서 "), item_label, l("에 관한 내용을 찾지 못했습니다. "), ask)))
 
 
-def _new_condition(mine: Column, labels: dict[str, str], item_label: Column, la: Column, lb: Column) -> Column:
+def _new_condition(mine: Column, item_label: Column, la: Column, lb: Column) -> Column:
     """Conditions that the later document states for the first time (Q3)."""
-    added = F.filter(mine, lambda f: f["state"].isin("added", "not_comparable") & (f["a"]["status"] == "MISSING")
-                     & (f["b"]["status"] == "CONFIRMED") & (_shown(f["b"]) != ""))
-    values = F.array_distinct(F.transform(added, lambda f: _shown(f["b"])))
-    listed = F.array_join(F.transform(added, lambda f: F.concat(_lookup(labels, f["facet_id"]), F.lit(": "), _shown(f["b"]))), " / ")
-    shown = F.when(F.size(values) == 1, F.get(values, F.lit(0))).otherwise(listed)
-    return F.when(F.size(added) > 0, F.concat(
-        la, F.lit("에서는 "), item_label, F.lit("에 관한 내용을 찾지 못했고, "), lb, F.lit("에는 다음과 같이 적혀 있습니다("), shown,
-        F.lit("). 이 조건으로 확정된 것인지, 따로 정해질 내용이 있는지 확인 부탁드립니다.")))
+    added = F.filter(mine, lambda x: x["f"]["state"].isin("added", "not_comparable") & (x["f"]["a"]["status"] == "MISSING")
+                     & (x["f"]["b"]["status"] == "CONFIRMED") & (x["b"] != ""))
+
+    def told(added: Column) -> Column:
+        values = F.array_distinct(F.transform(added, lambda x: x["b"]))
+        listed = F.array_join(F.transform(added, lambda x: F.concat(_lookup(LABELS, x["f"]["facet_id"]), F.lit(": "), x["b"])), " / ")
+        shown = F.when(F.size(values) == 1, F.get(values, F.lit(0))).otherwise(listed)
+        return F.when(F.size(added) > 0, F.concat(
+            la, F.lit("에서는 "), item_label, F.lit("에 관한 내용을 찾지 못했고, "), lb, F.lit("에는 다음과 같이 적혀 있습니다("), shown,
+            F.lit("). 이 조건으로 확정된 것인지, 따로 정해질 내용이 있는지 확인 부탁드립니다.")))
+
+    return let(added, told)
 
 
 def compare_questions(compared: DataFrame) -> DataFrame:
-    """One question per pair and item, equal texts of a pair only once (Q2-Q5)."""
-    la, lb = _lookup(K.DOC_TYPES, F.col("type_a")), _lookup(K.DOC_TYPES, F.col("type_b"))
-    labels = {f: name for _, _, fs in K.COMPARE_ITEMS for f, name, _ in fs}
+    """One question per pair and item, equal texts of a pair only once (Q2-Q5). What a side shows is worked out once per facet."""
+    shown = F.transform("compared", lambda f: F.struct(f.alias("f"), _shown(f["a"]).alias("a"), _shown(f["b"]).alias("b")))
+    pairs = compared.select("pair_id", shown.alias("_shown"), _lookup(K.DOC_TYPES, F.col("type_a")).alias("_la"), _lookup(K.DOC_TYPES, F.col("type_b")).alias("_lb"))
+    la, lb = F.col("_la"), F.col("_lb")
 
     def item(item_id: str, name: str) -> Column:
-        mine = F.filter("compared", lambda f: f["item_id"] == item_id)
-        said = F.transform(mine, lambda f: _sentence(
-            f, _lookup(labels, f["facet_id"]), F.lit(name), F.lit(TOPIC[item_id][1]), la, lb))
-        if item_id in K.NEW_CONDITION_ITEMS:
-            said = F.array_append(said, _new_condition(mine, labels, F.lit(name), la, lb))
-        said = F.array_distinct(F.array_compact(said))
-        text = F.concat(F.lit(f"{HELLO}{name} 관련해 여쭤봅니다. "), F.array_join(said, " "), F.lit(THANKS))
-        return F.struct(F.lit(item_id).alias("item_id"), F.when(F.size(said) > 0, text).alias("text"))
-
-    items = F.array(*[item(i, n) for i, n, _ in K.COMPARE_ITEMS])
-    return unnest(compared, F.filter(items, lambda x: x["text"].isNotNull()), "pair_id", present="item_id")
+        def text(mine: Column) -> Column:
+            said = F.transform(mine, lambda x: _sentence(x, F.lit(name), F.lit(TOPIC[item_id][1]), la, lb))
+            if item_id in K.NEW_CONDITION_ITEMS:
+                said = F.array_append(said, _new_condition(mine, F.lit(name), la, lb))
+            return let(F.array_distinct(F.array_compact(said)), lambda said: F.when(F.size(said) > 0, F.concat(
+                F.lit(f"{HELLO}{name} 관련해 여쭤봅니다. "), F.array_join(said, " "), F.lit(THANKS))))
+
+        mine = F.filter("_shown", lambda x: x["f"]["item_id"] == item_id)
+        return F.struct(F.lit(item_id).alias("item_id"), let(mine, text).alias("text"))
+
+    asked = pairs.select("pair_id", F.array(*[item(i, n) for i, n, _ in K.COMPARE_ITEMS]).alias("_items"))
+    return unnest(asked, "_items", "pair_id", present="item_id").filter(F.col("text").isNotNull())
 
 
 def dedupe(rows: DataFrame, keys: list[str], text: str, order: str) -> DataFrame:
